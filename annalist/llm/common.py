@@ -58,17 +58,12 @@ def plain_words(text: Column) -> Column:
 
 def shingles(tokens: Column, k: int) -> Column:
     """64-bit hashes of all runs of ``k`` tokens; a shorter text is one shingle, an empty one has none."""
-    whole = F.xxhash64(F.concat_ws(" ", tokens))
-    return (
-        F.when(F.size(tokens) == 0, F.array().cast("array<bigint>"))
-        .when(F.size(tokens) < k, F.array(whole))
-        .otherwise(
-            F.transform(
-                F.sequence(F.lit(0), F.size(tokens) - k),
-                lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(k)])),
-            )
-        )
-    )
+
+    def hashed(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - k, F.lit(0))), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(t, i + j) for j in range(k)])))
+        return F.when(F.size(t) == 0, F.array().cast("array<bigint>")).otherwise(runs)
+
+    return let(tokens, hashed)  # bound once: a text's words must not be cut anew for every shingle
 
 
 def key128(*columns: Column) -> list[Column]:

@@ -25,7 +25,7 @@ def item_sketches(items: DataFrame, shingle: int = SHINGLE, share: float = SHARE
     """``(item_id, set, n, need, size_class, sketch)``; items without a word are left out."""
     sets = items.select("item_id", F.array_sort(F.array_distinct(shingles(plain_words(F.col("text")), shingle))).alias("set")).where(F.size("set") > 0)
     n = F.size("set")
-    least = F.shiftleft(F.lit(1), F.floor(F.log2(n)).cast("int"))  # the smallest size of the partition
+    least = F.pow(F.lit(2.0), F.floor(F.log2(n))).cast("int")  # the smallest size of the partition
     top = least * 2 - 1
     # what a document may miss, for the largest size of the partition
     s = F.least(n, top - F.ceil(F.lit(share) * top).cast("int") + 1)

@@ -41,14 +41,17 @@ def permute(value: Column, left: int | Column, right: int | Column, key: str, ki
     """A keyed permutation of 0 .. left * right - 1: Feistel rounds over Z_left x Z_right."""
     left, right = (F.lit(x).cast("bigint") if isinstance(x, int) else x.cast("bigint") for x in (left, right))
     pair = F.struct(F.floor(value / right).cast("bigint").alias("l"), F.pmod(value, right).cast("bigint").alias("r"))
-    for turn in range(ROUNDS):
 
-        def step(s: Column, turn: int = turn) -> Column:
+    def rounds(turn: int):
+        def step(s: Column) -> Column:
             if turn % 2:
                 return F.struct(s["l"].alias("l"), F.pmod(s["r"] + _prf(key, kind, turn, s["l"], right), right).alias("r"))
             return F.struct(F.pmod(s["l"] + _prf(key, kind, turn, s["r"], left), left).alias("l"), s["r"].alias("r"))
 
-        pair = let(pair, step)
+        return step
+
+    for turn in range(ROUNDS):
+        pair = let(pair, rounds(turn))
     return let(pair, lambda s: s["l"] * right + s["r"])
 
 
