@@ -70,4 +70,67 @@ QUERIES = {
     f.__name__: f
     for f in (op1_quality, op2_substring_dedup, op3_simhash, op4_line_dedup, op5_quality_rules, op6_packing, op7_pii, op8_decontamination, op9_sharding, op10_licenses)
 }
-ORACLE: dict[str, str] = {}
+_SPACE = "[\\x20\\x09-\\x0D]+"
+_NORM = "trim(regexp_replace({x}, '" + _SPACE + "', ' ', 'g'))"
+#: The least of (doc_id, first) of equal contents stays; pieces in the others' windows go.
+_DEDUP = """n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS k FROM raw WHERE norm <> ''),
+later AS (SELECT doc_id, first, len FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, first) AS r FROM w) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, first + unnest(range(len)) AS k FROM later),
+kept AS (SELECT raw.doc_id, coalesce(string_agg(raw.piece, '{glue}' ORDER BY raw.raw) FILTER (g.k IS NULL), '') AS text, count(n.k) AS n_all, count(g.k) AS n_removed
+FROM raw LEFT JOIN n ON n.doc_id = raw.doc_id AND n.raw = raw.raw LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.k = n.k GROUP BY raw.doc_id)
+SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN kept.text END AS text, n_all AS {name}, n_removed FROM documents d JOIN kept USING (doc_id)"""
+_BOUNDARY = "'([.!?][\\t\\n\\v\\f\\r ]|\\n)([^\\x01\\t\\n\\v\\f\\r ])', '\\1' || chr(1) || '\\2', 'g'"
+_OP2 = (
+    "WITH p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), " + _BOUNDARY + "), " + _BOUNDARY + "), chr(1)) AS ps FROM documents), "
+    "raw AS (SELECT doc_id, raw, ps[raw] AS piece, " + _NORM.format(x="ps[raw]") + " AS norm FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS raw FROM p)), "
+    "w AS (SELECT a.doc_id, a.k AS first, 2 AS len, a.norm || ' ' || b.norm AS content FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.k = a.k + 1 WHERE len(string_split(a.norm || ' ' || b.norm, ' ')) >= 8), "
+)
+_OP4 = (
+    "WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ps FROM documents), "
+    "raw AS (SELECT doc_id, raw, ps[raw] AS piece, " + _NORM.format(x="ps[raw]") + " AS norm FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS raw FROM p)), "
+    "w AS (SELECT a.doc_id, a.k AS first, 2 AS len, a.norm || chr(10) || b.norm AS content FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.k = a.k + 1 "
+    "UNION ALL SELECT doc_id, k, 1, norm FROM n WHERE len(string_split(norm, ' ')) >= 10), "
+)
+
+
+def _dedup(head: str, glue: str, name: str) -> str:
+    first, n = _DEDUP.format(glue=glue, name=name).split(",\nlater", 1)
+    at = head.index("), w AS (") + 3
+    return head[:at] + first + ", " + head[at:] + "later" + n
+
+
+_OP5 = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t)),
+rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, c) > 1), (SELECT unnest(range(5)) AS o) GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT s) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM t) WHERE regexp_matches(s, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(ln.dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(ln.n, 0) AS n_lines
+FROM t LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)),
+f AS (SELECT *, CAST(n_words < 10 AS INTEGER) + 2 * CAST(100 * n_repeat_words > 20 * n_words AS INTEGER) + 4 * CAST(10 * n_symbols > 2 * n_words AND n_symbols >= 5 AS INTEGER)
++ 8 * CAST(2 * n_dup_lines > n_lines AND n_lines >= 4 AS INTEGER) + 16 * CAST(word_chars > 25 * n_words AND n_words > 0 AS INTEGER) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed & 15 = 0 AS kept, failed FROM f"""
+
+
+def _grams(table: str, key: str, text: str) -> str:
+    """Distinct 5-word shingles of a table, as SQL: key, position, content."""
+    return (
+        f"SELECT {key}, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS c FROM (SELECT {key}, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM "
+        f"(SELECT {key}, regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}) WHERE len(w) > 0)"
+    )
+
+
+_OP8 = f"""WITH d AS (SELECT DISTINCT doc_id, c FROM ({_grams('documents', 'doc_id', 'text')})), q AS (SELECT DISTINCT item_id, c FROM ({_grams('benchmark', 'item_id', 'text')})),
+n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id)
+SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_shared FROM d JOIN q USING (c) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(0.8 * n)"""
+_FORMS = "forms AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, t in licenses.TEMPLATES) + ") AS v(license, template))"
+_OP10 = f"""WITH {_FORMS}, d AS ({_grams('documents', 'doc_id', 'text')}), q AS (SELECT DISTINCT license, c FROM ({_grams('forms', 'license', 'template')})),
+n AS (SELECT license, count(*) AS n FROM q GROUP BY license), size AS (SELECT max(n) AS q FROM n),
+x AS (SELECT doc_id, license, n, p // size.q + o AS win, c FROM d JOIN q USING (c) JOIN n USING (license), size, (SELECT unnest([0, -1]) AS o)),
+y AS (SELECT doc_id, license, n, win, count(DISTINCT c) AS k FROM x WHERE win >= 0 GROUP BY ALL HAVING count(DISTINCT c) >= ceil(0.8 * n))
+SELECT doc_id, license, n AS n_shingles, max(k) AS n_shared, min(win) AS first_window FROM y GROUP BY ALL"""
+ORACLE: dict[str, str] = {
+    "op2_substring_dedup": _dedup(_OP2, "", "n_sentences"),
+    "op4_line_dedup": _dedup(_OP4, "\n", "n_lines"),
+    "op5_quality_rules": _OP5,
+    "op8_decontamination": _OP8,
+    "op10_licenses": _OP10,
+}
