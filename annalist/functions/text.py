@@ -122,5 +122,10 @@ def clipped_overlap(a: Column, b: Column) -> Column:
 
 def rouge_n(candidate: Column, reference: Column, n: int) -> Column:
     """F-measure of shared n-grams of two word arrays."""
-    c, r = ngrams(candidate, n), ngrams(reference, n)
-    return F.coalesce(F.try_divide(2.0 * clipped_overlap(c, r), (F.size(c) + F.size(r)).cast("double")), F.lit(0.0))
+
+    def measure(p: Column) -> Column:
+        return F.coalesce(F.try_divide(2.0 * clipped_overlap(p["c"], p["r"]), (F.size(p["c"]) + F.size(p["r"])).cast("double")), F.lit(0.0))
+
+    words = F.struct(candidate.alias("c"), reference.alias("r"))
+    bound = F.transform(F.array(words), lambda w: F.struct(ngrams(w["c"], n).alias("c"), ngrams(w["r"], n).alias("r")))
+    return F.transform(bound, measure)[0]

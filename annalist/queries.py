@@ -207,9 +207,9 @@ def _(spark, d):
     return V.facts(spark, d).selectExpr("doc_id % 20 subject", "(fact_idx + 12 * (doc_id div 20)) div 500 batch").groupBy("subject", "batch").agg(F.count("*").alias("n"))
 
 
-@query("chk_08", "SELECT subject_id, note_idx, used FROM (SELECT subject_id, note_idx, sum(len(string_split_regex(trim(text), '\\s+'))) OVER (PARTITION BY subject_id ORDER BY note_idx) AS used FROM v_notes) WHERE used <= 5000")
+@query("chk_08", "SELECT subject_id, note_idx, CAST(used AS BIGINT) AS used FROM (SELECT subject_id, note_idx, sum(len(string_split_regex(trim(text), '\\s+'))) OVER (PARTITION BY subject_id ORDER BY note_idx) AS used FROM v_notes) WHERE used <= 5000")
 def _(spark, d):
-    return S.budget_prefix(V.notes(spark, d), ["subject_id"], [F.asc("note_idx")], F.size(F.split(F.trim("text"), r"\s+")), 5000).select("subject_id", "note_idx", F.col("used").cast("decimal(38,0)").alias("used"))
+    return S.budget_prefix(V.notes(spark, d), ["subject_id"], [F.asc("note_idx")], F.size(F.split(F.trim("text"), r"\s+")), 5000).select("subject_id", "note_idx", "used")
 
 
 @query("chk_10")
