@@ -679,3 +679,98 @@ def _(spark, d):
     return r.select("response_id", F.round(T.rouge_n(c, g, 1), 6).alias("rouge1"), F.round(T.rouge_n(c, g, 2), 6).alias("rouge2"))
 
 
+@query("fn_03", "SELECT event_id, [event_id % 3, event_id % 5] AS a FROM events WHERE event_id % 100 = 0")
+def _(spark, d):
+    s = F.concat(F.lit("["), F.col("event_id") % 3, F.lit(", "), F.col("event_id") % 5, F.lit("]"))
+    return V.read(spark, d, "events").where("event_id % 100 = 0").select("event_id", F.from_json(s, "array<bigint>").alias("a"))
+
+
+@query("fn_04", "SELECT unit, rater, CASE WHEN unit % 9 = 0 THEN NULL ELSE label END AS winner FROM v_choices")
+def _(spark, d):
+    raw = F.when(F.col("unit") % 9 > 0, F.concat(F.lit('{"winner": "'), F.lower("label"), F.lit('"}')))
+    return V.choices(spark, d).select("unit", "rater", T.parse_winner(raw).alias("winner"))
+
+
+@query("fn_07", "SELECT event_id, CAST(ts AS TIMESTAMP) = ts AS same FROM events")
+def _(spark, d):
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return V.read(spark, d, "events").select("event_id", (T.timestamp(text).cast("timestamp_ntz") == F.col("ts")).alias("same"))
+
+
+@query("fn_19", "SELECT DISTINCT model AS base FROM v_responses")
+def _(spark, d):
+    return V.responses(spark, d).select(T.model_base(F.concat("model", F.lit("_sandbox"))).alias("base")).distinct()
+
+
+@query("agr_25", "SELECT x.unit, CASE WHEN y.label IS NULL THEN '' WHEN x.label = y.label THEN x.label ELSE y.label END AS human FROM (SELECT * FROM v_choices WHERE rater = 'j1') x LEFT JOIN (SELECT * FROM v_choices WHERE rater = 'human' AND unit % 4 > 0) y USING (unit)")
+def _(spark, d):
+    c = V.choices(spark, d)
+    y = c.where("rater = 'human' and unit % 4 > 0").select("unit", F.col("label").alias("y"))
+    return c.where("rater = 'j1'").join(y, "unit", "left").select("unit", F.coalesce(F.when(F.col("y") == F.col("label"), F.col("label")).otherwise(F.col("y")), F.lit("")).alias("human"))
+
+
+@query("agr_26", "SELECT unit, arg_min(label, CAST(substr(rater, 2) AS INTEGER)) AS label FROM (SELECT unit, rater, max(label) AS label FROM v_raters WHERE label IS NOT NULL GROUP BY ALL) GROUP BY unit")
+def _(spark, d):
+    per = V.raters(spark, d).where("label is not null").groupBy("unit", "rater").agg(F.max("label").alias("label"))
+    return per.groupBy("unit").agg(F.min_by("label", F.substring("rater", 2, 9).cast("int")).alias("label"))
+
+
+@query("agr_27", f"SELECT rater_b AS judge, round(avg(strict), 6) AS strict, round(avg(flip), 6) AS flip FROM (SELECT rater_b, unit % 3 AS dim, avg(CAST(a = b AS INT)) AS strict, avg(CAST(a <> b AND a <> 'TIE' AND b <> 'TIE' AS INT)) AS flip FROM {_CP} WHERE rater_a = 'human' GROUP BY ALL) GROUP BY 1")
+def _(spark, d):
+    p = A.pairs(V.choices(spark, d), ["unit"]).where("rater_a = 'human'").withColumn("dim", F.col("unit") % 3)
+    per = p.groupBy("rater_b", "dim").agg(F.avg((F.col("a") == F.col("b")).cast("int")).alias("s"), F.avg(F.expr("int(a <> b and a <> 'TIE' and b <> 'TIE')")).alias("f"))
+    return per.groupBy(F.col("rater_b").alias("judge")).agg(F.round(F.avg("s"), 6).alias("strict"), F.round(F.avg("f"), 6).alias("flip")).orderBy("flip")
+
+
+@query("set_01", "SELECT doc_id AS id, source AS v FROM documents UNION ALL SELECT page_id, url FROM pages")
+def _(spark, d):
+    return V.read(spark, d, "documents").selectExpr("doc_id id", "source v").unionByName(V.read(spark, d, "pages").selectExpr("page_id id", "url v"))
+
+
+@query("set_06", "(SELECT question_id FROM v_questions EXCEPT SELECT question_id FROM v_responses) UNION (SELECT question_id FROM v_responses EXCEPT SELECT question_id FROM v_questions)")
+def _(spark, d):
+    q, r = (x.select("question_id").distinct() for x in (V.questions(spark, d), V.responses(spark, d)))
+    return q.subtract(r).union(r.subtract(q))
+
+
+@query("set_08", "SELECT 'id' AS level, count(*) AS shared FROM (SELECT question_id FROM v_questions INTERSECT SELECT question_id FROM v_responses) UNION ALL SELECT 'subject', count(*) FROM (SELECT subject_id FROM v_questions INTERSECT SELECT string_split(question_id, '_')[1] FROM v_responses)")
+def _(spark, d):
+    q, r = V.questions(spark, d), V.responses(spark, d)
+    ids = q.select("question_id").intersect(r.select("question_id")).agg(F.count("*").alias("shared")).select(F.lit("id").alias("level"), "shared")
+    subjects = q.select("subject_id").intersect(r.select(F.split_part("question_id", F.lit("_"), F.lit(1)).alias("subject_id")))
+    return ids.unionByName(subjects.agg(F.count("*").alias("shared")).select(F.lit("subject").alias("level"), "shared"))
+
+
+@query("chk_09", "SELECT subject_id, count(*) FILTER (used <= 20000) AS n_included, count(*) AS n_total FROM (SELECT subject_id, sum(length(text)) OVER (PARTITION BY subject_id ORDER BY note_idx) AS used FROM v_notes) GROUP BY subject_id")
+def _(spark, d):
+    n = V.notes(spark, d)
+    total = n.groupBy("subject_id").agg(F.count("*").alias("n_total"))
+    part = S.budget_prefix(n, ["subject_id"], [F.asc("note_idx")], F.length("text"), 20000).groupBy("subject_id").agg(F.count("*").alias("n"))
+    return total.join(part, "subject_id", "left").select("subject_id", F.coalesce("n", F.lit(0)).alias("n_included"), "n_total")
+
+
+@query("smp_05", "SELECT question_id, ['a', 'b', 'c'][length(natural_query) % 3 + 1] AS persona FROM v_questions")
+def _(spark, d):
+    return V.questions(spark, d).select("question_id", F.element_at(F.lit(["a", "b", "c"]), (F.length("natural_query") % 3 + 1).cast("int")).alias("persona"))
+
+
+@query("oth_18", "SELECT question_id, position, model_a, model_b, CASE completeness WHEN 'A' THEN model_a WHEN 'B' THEN model_b ELSE 'TIE' END AS winner FROM v_pairwise")
+def _(spark, d):
+    return V.pairwise(spark, d).select("question_id", "position", "model_a", "model_b", P.winner_model(F.col("completeness")).alias("winner"))
+
+
+@query("oth_21", "SELECT ord, unnest(['completeness', 'relevancy', 'concision']) AS dimension, unnest([completeness, relevancy, concision]) AS label FROM v_pairwise")
+def _(spark, d):
+    return V.pairwise(spark, d).unpivot("ord", list(P.DIMENSIONS), "dimension", "label").withColumn("ord", F.col("ord").cast("bigint"))
+
+
+@query("oth_23", "SELECT role, count(*) FILTER (trim(text) = '') AS blank, count(*) AS n FROM conversations GROUP BY role")
+def _(spark, d):
+    return V.read(spark, d, "conversations").groupBy("role").agg(F.count_if(F.trim("text") == "").alias("blank"), F.count("*").alias("n"))
+
+
+@query("udf_01")
+def _(spark, d):
+    from .operators.providers import complete, echo
+
+    return complete(V.questions(spark, d).select("question_id", F.col("natural_query").alias("prompt")), echo, "question_id")
