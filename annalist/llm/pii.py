@@ -18,7 +18,7 @@ from .common import let
 ROUNDS = 8
 #: The kinds and their patterns, in order of precedence.
 PATTERNS = (
-    ("mail", r"[A-Za-z0-9._%+\-À-ɏ]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
+    ("mail", r"[A-Za-z0-9._%+\-À-ɏ]{1,64}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
     ("secret", r"(?:password|passwd|pwd|token|secret|api_key|apikey)\s*[=:]\s*\"?[A-Za-z0-9+/_\-]{8,}\"?"),
     ("access_key", r"\bAKIA[A-Z0-9]{16}\b"),
     ("phone", r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}|\(\d{3}\) \d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"),
