@@ -774,3 +774,180 @@ def _(spark, d):
     from .operators.providers import complete, echo
 
     return complete(V.questions(spark, d).select("question_id", F.col("natural_query").alias("prompt")), echo, "question_id")
+
+
+# Further joins, votes, parsers and windows
+
+
+@query("join_05", "SELECT r.response_id, q.cutoff, count(n.note_idx) AS n_visible FROM v_responses r JOIN v_questions q USING (question_id) LEFT JOIN v_notes n ON n.subject_id = q.subject_id AND n.note_date <= q.cutoff GROUP BY ALL")
+def _(spark, d):
+    r = V.responses(spark, d).join(V.questions(spark, d), "question_id").select("response_id", "subject_id", "cutoff")
+    n = V.notes(spark, d).select("subject_id", "note_idx", "note_date")
+    return r.join(n, (r.subject_id == n.subject_id) & (n.note_date <= r.cutoff), "left").groupBy("response_id", "cutoff").agg(F.count("note_idx").alias("n_visible"))
+
+
+@query("join_13", "SELECT record_id, question_id, label FROM (SELECT substr(sha1(question_id || '|' || subject_id), 1, 12) AS record_id, question_id FROM v_questions) JOIN (SELECT substr(sha1(question_id || '|' || subject_id), 1, 12) AS record_id, item_id % 3 AS label FROM v_questions WHERE item_id % 4 > 0) USING (record_id)")
+def _(spark, d):
+    q = V.questions(spark, d).withColumn("record_id", T.record_id(F.col("question_id"), F.col("subject_id")))
+    marks = S.first_per_key(q.where("item_id % 4 > 0"), ["record_id"], [F.asc("item_id")]).select("record_id", (F.col("item_id") % 3).alias("label"))
+    return q.select("record_id", "question_id").join(marks, "record_id")
+
+
+@query("join_14", "SELECT q.question_id, COALESCE(a.m, b.m) AS n FROM v_questions q LEFT JOIN (SELECT question_id, count(*) AS m FROM v_responses WHERE model = 'm0' GROUP BY 1) a USING (question_id) LEFT JOIN (SELECT string_split(question_id, '_')[1] AS subject_id, count(*) AS m FROM v_responses GROUP BY 1) b USING (subject_id)")
+def _(spark, d):
+    r = V.responses(spark, d)
+    exact = r.where("model = 'm0'").groupBy("question_id").agg(F.count("*").alias("a"))
+    loose = r.groupBy(F.split_part("question_id", F.lit("_"), F.lit(1)).alias("subject_id")).agg(F.count("*").alias("b"))
+    return V.questions(spark, d).join(exact, "question_id", "left").join(loose, "subject_id", "left").select("question_id", F.coalesce("a", "b").alias("n"))
+
+
+@query("agg_03", "SELECT doc_id, fact, count(*) FILTER (vote AND juror <> 1) >= 2 AS entailed, count(*) FILTER (juror <> 1) AS others FROM v_verdicts JOIN v_facts USING (doc_id, fact_idx) GROUP BY doc_id, fact")
+def _(spark, d):
+    v = V.verdicts(spark, d).join(V.facts(spark, d).select("doc_id", "fact_idx", "fact"), ["doc_id", "fact_idx"])
+    return v.groupBy("doc_id", "fact").agg((F.count_if(F.col("vote") & (F.col("juror") != 1)) >= 2).alias("entailed"), F.count_if(F.col("juror") != 1).alias("others"))
+
+
+@query("agg_06", "SELECT doc_id, round(avg(CAST(hit AS INT)), 6) AS recall FROM (SELECT doc_id, fact_idx, bool_or(vote) AS hit FROM v_verdicts GROUP BY ALL) GROUP BY doc_id")
+def _(spark, d):
+    per = V.verdicts(spark, d).groupBy("doc_id", "fact_idx").agg(F.bool_or("vote").alias("hit"))
+    return per.groupBy("doc_id").agg(F.round(F.avg(F.col("hit").cast("int")), 6).alias("recall"))
+
+
+@query("agg_07", "WITH p AS (SELECT c.doc_id // 2 AS k, c.fact_idx AS ci, r.fact_idx AS ri FROM v_facts c JOIN v_facts r ON c.doc_id // 2 = r.doc_id // 2 AND c.doc_id % 2 = 1 AND r.doc_id % 2 = 0 AND COALESCE(CAST(c.fact_date AS VARCHAR), '') = COALESCE(CAST(r.fact_date AS VARCHAR), '') WHERE (c.fact_idx * 7 + r.fact_idx * 3) % 10 >= 9) SELECT k, count(DISTINCT ci) AS cand_hit, count(DISTINCT ri) AS ref_hit FROM p GROUP BY k")
+def _(spark, d):
+    f = V.facts(spark, d).withColumn("k", F.expr("doc_id div 2"))
+    p = X.same_date_pairs(f.where("doc_id % 2 = 1"), f.where("doc_id % 2 = 0"), "k").where("(cand_idx * 7 + ref_idx * 3) % 10 >= 9")
+    return p.groupBy("k").agg(F.countDistinct("cand_idx").alias("cand_hit"), F.countDistinct("ref_idx").alias("ref_hit"))
+
+
+@query("agr_03", f"WITH p AS {_CP}, m AS (SELECT rater_a, rater_b, count(*) AS n, avg(CAST(a = b AS INT)) AS po, avg(CAST(a = 'A' AS INT)) * avg(CAST(b = 'A' AS INT)) + avg(CAST(a = 'B' AS INT)) * avg(CAST(b = 'B' AS INT)) + avg(CAST(a = 'TIE' AS INT)) * avg(CAST(b = 'TIE' AS INT)) AS pe FROM p GROUP BY ALL) SELECT rater_a, rater_b, n, round((po - pe) / (1 - pe), 6) AS kappa FROM m")
+def _(spark, d):
+    return A.nominal_agreement(A.pairs(V.choices(spark, d), ["unit"]), ["rater_a", "rater_b"]).select("rater_a", "rater_b", "n", "kappa")
+
+
+@query("agr_01", f"SELECT rater_a, rater_b, round(avg(CAST(a = b AS INT)), 6) AS agreement FROM {_RP} GROUP BY ALL")
+def _(spark, d):
+    return A.binary_agreement(A.pairs(V.raters(spark, d), ["unit"]), ["rater_a", "rater_b"]).select("rater_a", "rater_b", "agreement")
+
+
+@query("agr_04", f"SELECT rater_a, rater_b, round(CASE WHEN abs(1 - pe) <= 1e-12 THEN 1 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM (SELECT rater_a, rater_b, avg(CAST(a = b AS INT)) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS pe FROM {_RP} GROUP BY ALL)")
+def _(spark, d):
+    k = A.binary_agreement(A.pairs(V.raters(spark, d), ["unit"]), ["rater_a", "rater_b"])
+    return k.select("rater_a", "rater_b", F.coalesce("kappa", F.lit(1.0)).alias("kappa"))
+
+
+@query("agr_06", f"SELECT rater_a, rater_b, round(2 * avg(CAST(a = b AS INT)) - 1, 6) AS pabak FROM {_RP} GROUP BY ALL")
+def _(spark, d):
+    return A.binary_agreement(A.pairs(V.raters(spark, d), ["unit"]), ["rater_a", "rater_b"]).select("rater_a", "rater_b", "pabak")
+
+
+@query("chk_06", "SELECT doc_id % 20 AS subject, (fact_idx + 12 * (doc_id // 20)) // 30000 AS batch, count(*) AS n FROM v_facts GROUP BY 1, 2")
+def _(spark, d):
+    return V.facts(spark, d).selectExpr("doc_id % 20 subject", "(fact_idx + 12 * (doc_id div 20)) div 30000 batch").groupBy("subject", "batch").agg(F.count("*").alias("n"))
+
+
+@query("chk_02")
+def _(spark, d):
+    n = V.notes(spark, d).select("subject_id", "note_idx", F.posexplode(T.split_chunks(F.col("text"), 4000, 400)).alias("chunk_idx", "text"))
+    return n.withColumn("chunk_id", F.concat_ws("_", "subject_id", "note_idx", "chunk_idx"))
+
+
+@query("win_03", "SELECT subject_id, note_idx, CAST(sum(length(text)) OVER (PARTITION BY subject_id ORDER BY note_idx) AS BIGINT) AS used FROM v_notes")
+def _(spark, d):
+    return S.budget_prefix(V.notes(spark, d), ["subject_id"], [F.asc("note_idx")], F.length("text"), 1 << 60).select("subject_id", "note_idx", "used")
+
+
+@query("win_05", "SELECT conv_id, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
+def _(spark, d):
+    return S.first_per_key(V.read(spark, d, "conversations"), ["conv_id"], [F.desc("turn")]).select("conv_id", "turn", "text")
+
+
+@query("win_06", "SELECT conv_id, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1")
+def _(spark, d):
+    return S.first_per_key(V.read(spark, d, "conversations"), ["conv_id"], [F.asc("turn")]).select("conv_id", "turn", "text")
+
+
+@query("win_08", "SELECT doc_id || '_fact_' || fact_idx AS fact_id, fact FROM v_facts")
+def _(spark, d):
+    return V.facts(spark, d).select(F.concat_ws("_fact_", "doc_id", "fact_idx").alias("fact_id"), "fact")
+
+
+@query("smp_02", "WITH b AS (SELECT ord, completeness AS stratum FROM v_pairwise), q AS (SELECT stratum, greatest(1, CAST(round(30 * CAST(count(*) AS DOUBLE) / sum(count(*)) OVER ()) AS INTEGER)) AS quota FROM b GROUP BY stratum) SELECT ord, stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(CAST(ord AS VARCHAR)), ord) AS r FROM b) JOIN q USING (stratum) WHERE r <= quota")
+def _(spark, d):
+    b = V.pairwise(spark, d).select(F.col("ord").cast("bigint").alias("ord"), F.col("completeness").alias("stratum"))
+    return S.stratified_quota(b, "stratum", 30, F.col("ord"))
+
+
+@query("fn_16", "SELECT conv_id, string_agg(CASE role WHEN 'assistant' THEN 'model' ELSE role END || ': ' || text, chr(10) ORDER BY turn) AS messages FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    m = V.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return m.select("conv_id", F.array_join(F.transform("m", lambda x: F.concat(F.when(x["role"] == "assistant", "model").otherwise(x["role"]), F.lit(": "), x["text"])), "\n").alias("messages"))
+
+
+@query("fn_17", "SELECT conv_id, count(*) FILTER (role = 'user') AS n_user, count(*) AS n FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    m = V.read(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("m"))
+    return m.select("conv_id", F.size(F.filter("m", lambda r: r == "user")).cast("bigint").alias("n_user"), F.size("m").cast("bigint").alias("n"))
+
+
+@query("fn_20", "SELECT event_id, event_id % 3 = 0 AS stop FROM events")
+def _(spark, d):
+    said = F.when(F.col("event_id") % 3 == 0, "True").otherwise("no")
+    return V.read(spark, d, "events").select("event_id", (F.lower(said) == "true").alias("stop"))
+
+
+@query("fn_21", "SELECT doc_id, string_agg('- ' || fact, chr(10) ORDER BY fact_idx) AS block FROM v_facts GROUP BY doc_id")
+def _(spark, d):
+    g = V.facts(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("fact_idx", "fact"))).alias("f"))
+    return g.select("doc_id", F.array_join(F.transform("f", lambda x: F.concat(F.lit("- "), x["fact"])), "\n").alias("block"))
+
+
+@query("fn_23", "SELECT DISTINCT CASE position WHEN 'ab' THEN 'ba' ELSE 'ab' END AS position FROM v_pairwise")
+def _(spark, d):
+    return P.flip(V.pairwise(spark, d)).select("position").distinct()
+
+
+@query("srt_01", "SELECT rater, count(*) FILTER (label = 'TIE') AS ties FROM v_choices GROUP BY rater ORDER BY ties DESC, rater")
+def _(spark, d):
+    return V.choices(spark, d).groupBy("rater").agg(F.count_if(F.col("label") == "TIE").alias("ties")).orderBy(F.desc("ties"), "rater")
+
+
+@query("lim_01", "SELECT item_id FROM benchmark ORDER BY item_id LIMIT 10")
+def _(spark, d):
+    return V.read(spark, d, "benchmark").select("item_id").orderBy("item_id").limit(10)
+
+
+@query("inc_01", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(spark, d):
+    return S.pending(V.read(spark, d, "documents").select("doc_id"), V.read(spark, d, "labels"), ["doc_id"])
+
+
+@query("inc_04", "SELECT (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) = 0 AS contained, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) = 0 AS equal")
+def _(spark, d):
+    a, b = V.read(spark, d, "labels").select("doc_id"), V.read(spark, d, "documents").select("doc_id")
+    n = a.withColumn("x", F.lit(1)).unionByName(b.withColumn("x", F.lit(2))).groupBy("doc_id").agg(F.bit_or("x").alias("x"))
+    return n.agg((F.count_if(F.col("x") == 1) == 0).alias("contained"), (F.count_if(F.col("x") != 3) == 0).alias("equal"))
+
+
+@query("inc_05", "SELECT question_id, 'missing' AS reason FROM v_questions WHERE question_id NOT IN (SELECT question_id FROM v_responses)")
+def _(spark, d):
+    lines = V.responses(spark, d).select("question_id", F.lit("").alias("status"), F.lit("x").alias("text")).dropDuplicates(["question_id"])
+    return S.keyed_results(V.questions(spark, d).select("question_id"), lines, ["question_id"]).where("reason is not null").select("question_id", "reason")
+
+
+@query("oth_20", f"SELECT rater_a, rater_b, count(*) AS n, round(avg(CAST(a = b AS INT)), 6) AS agreement, round(avg(CAST(a <> b AND a <> 'TIE' AND b <> 'TIE' AS INT)), 6) AS flip_rate FROM {_CP} GROUP BY ALL")
+def _(spark, d):
+    return A.nominal_agreement(A.pairs(V.choices(spark, d), ["unit"]), ["rater_a", "rater_b"]).select("rater_a", "rater_b", "n", "agreement", "flip_rate")
+
+
+@query("oth_22", "SELECT DISTINCT source, regexp_extract(source || '.csv', '^(.*)[.]csv$', 1) AS stem FROM documents")
+def _(spark, d):
+    return V.read(spark, d, "documents").select("source").distinct().select("source", F.regexp_extract(F.concat("source", F.lit(".csv")), r"^(.*)\.csv$", 1).alias("stem"))
+
+
+@query("ret_08")
+def _(spark, d):
+    """A stub scorer over the fused candidates: length of the note, then its place."""
+    q, n = V.questions(spark, d), V.notes(spark, d)
+    pool = R.as_of(q, n).select("question_id", "note_idx", F.length("text").alias("score"))
+    return R.top_k(pool, ["question_id"], [F.desc("score"), F.asc("note_idx")], 10)
