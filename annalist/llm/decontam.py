@@ -7,18 +7,29 @@ each partition keeps the s smallest hashes of every item's shingles, with s the
 least for which a document that holds the asked share of the shingles must hold
 one of the s.  Documents ask the sketches with every shingle; candidates are
 verified by exact shingle containment.
+
+Benchmarks are small as a rule: up to a checked size their sketches and sets go
+to every task, and one narrow pass over the documents finds and verifies.
+Larger ones meet the documents in a shuffled join.
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, plain_words, shingles
 
 SHINGLE, SHARE = 5, 0.8
-#: Sketches up to this many rows (16 bytes each) are broadcast; beyond it the join shuffles.
-SMALL = 200_000
+#: Items up to this many characters in all go to every task; beyond it the join shuffles.
+SMALL = 8_000_000
+_WORD = re.compile(r"[^\W_]+")
 
 
 def item_sketches(items: DataFrame, shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
@@ -40,10 +51,69 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, shar
     shingle, the whole sequence.  Null and blank texts and null ids match
     nothing; repeated rows give one row; no rows on either side give none.
     """
-    sketches = cut(item_sketches(items.where("item_id is not null"), shingle, share).groupBy("item_id").agg(*[F.first(c).alias(c) for c in ("set", "n", "need", "size_class", "sketch")]))
+    named = items.where("item_id is not null")
+    if (named.agg(F.sum(F.length("text"))).first()[0] or 0) <= small:
+        rows = named.groupBy("item_id").agg(F.first("text").alias("text")).collect()  # bounded by the check above
+        return _narrow(docs, {r["item_id"]: r["text"] for r in rows}, shingle, share)
+    return _shuffled(docs, named, shingle, share)
+
+
+def _runs(ids: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of all runs of k word numbers (a shorter text is one run); runs with an unknown word (0) are left out."""
+    k = min(k, len(ids))
+    if not k:
+        return np.zeros(0, np.uint64)
+    n = len(ids) - k + 1
+    h, known = np.full(n, k, np.uint64), np.ones(n, bool)
+    for j in range(k):
+        part = ids[j : j + n]
+        known &= part > 0
+        h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h[known]
+
+
+def _narrow(docs: DataFrame, items: dict[int, str | None], shingle: int, share: float) -> DataFrame:
+    number: dict[str, int] = {}
+    sets, index = {}, defaultdict(list)
+    for item, text in items.items():
+        ids = [number.setdefault(w, len(number) + 1) for w in _WORD.findall((text or "").lower())]
+        runs = np.unique(_runs(np.array(ids, np.uint64), shingle))
+        if not len(runs):
+            continue
+        need = -(-len(runs) * round(share * 1000) // 1000)
+        top = 2 ** (len(runs).bit_length()) - 1  # the largest size of the item's partition
+        s = min(len(runs), top - -(-top * round(share * 1000) // 1000) + 1)
+        sets[item] = (runs, need)
+        for h in runs[:s]:  # the s smallest hashes
+            index[int(h)].append(item)
+    shared = docs.sparkSession.sparkContext.broadcast((number, sets, dict(index), np.array(sorted(index), np.uint64)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, sets, index, keys = shared.value
+        get = number.get
+        for batch in batches:
+            out = []
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                found = _WORD.findall((text or "").lower())
+                runs = _runs(np.fromiter((get(w, 0) for w in found), np.uint64, len(found)), shingle)
+                if not len(runs) or not len(keys):
+                    continue
+                met = runs[keys[np.minimum(np.searchsorted(keys, runs), len(keys) - 1)] == runs]
+                for item in sorted({i for h in np.unique(met) for i in index[int(h)]}):
+                    own, need = sets[item]
+                    n = int(np.isin(own, runs).sum())
+                    if n >= need:
+                        out.append((doc, item, len(own), n))
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_shingles", "n_shared"], dtype="int64")
+
+    hits = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, item_id bigint, n_shingles bigint, n_shared bigint")
+    return hits.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared"))
+
+
+def _shuffled(docs: DataFrame, items: DataFrame, shingle: int, share: float) -> DataFrame:
+    sketches = cut(item_sketches(items, shingle, share).groupBy("item_id").agg(*[F.first(c).alias(c) for c in ("set", "n", "need", "size_class", "sketch")]))
     index = sketches.select("item_id", F.explode("sketch").alias("h"))
-    if index.count() <= small:
-        index = F.broadcast(index)
     hashed = docs.where("doc_id is not null").select("doc_id", shingles(plain_words(F.col("text")), shingle).alias("hs"))
     candidates = cut(hashed.select("doc_id", F.explode("hs").alias("h")).join(index, "h").select("doc_id", "item_id").distinct())
     held = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", shingles(plain_words(F.col("text")), shingle).alias("hs"))
