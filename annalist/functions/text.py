@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ast
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def parse_list(s: Column) -> Column:
@@ -129,3 +133,46 @@ def rouge_n(candidate: Column, reference: Column, n: int) -> Column:
     words = F.struct(candidate.alias("c"), reference.alias("r"))
     bound = F.transform(F.array(words), lambda w: F.struct(ngrams(w["c"], n).alias("c"), ngrams(w["r"], n).alias("r")))
     return F.transform(bound, measure)[0]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _literal(s: pd.Series) -> pd.Series:
+    def read(x):
+        try:
+            out = ast.literal_eval(x)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+        return [str(v) for v in out] if isinstance(out, (list, tuple)) else None
+
+    return s.map(read, na_action="ignore")
+
+
+def parse_literals(s: Column) -> Column:
+    """Like ``parse_list``, with any Python literal; only strings that aren't JSON are sent to Python."""
+    json = F.from_json(s, "array<string>")
+    return F.coalesce(json, _literal(F.when(json.isNull(), s)), F.array().cast("array<string>"))
+
+
+def parse_atoms(s: Column) -> Column:
+    """Atomic facts as structs: objects need a text and a source_idx, else null; plain strings have no source; [] is empty."""
+    kind = "array<struct<text:string,source_idx:bigint>>"
+    flat, pairs = F.from_json(s, "array<string>"), F.from_json(s, kind)
+    plain = F.transform(flat, lambda x: F.struct(x.alias("text"), F.lit(None).cast("bigint").alias("source_idx")))
+    whole = F.forall(pairs, lambda x: x["text"].isNotNull() & x["source_idx"].isNotNull())
+    return F.when(F.forall(flat, lambda x: x.isNotNull() & ~x.startswith("{")), plain).when(whole, pairs)
+
+
+def bleu(candidate: Column, reference: Column, n: int) -> Column:
+    """Sentence BLEU of two word arrays up to ``n``-grams; an order without a match counts 0.1, no shared word is 0."""
+
+    def measure(p: Column) -> Column:
+        logs = []
+        for k in range(1, n + 1):
+            c, r = ngrams(p["c"], k), ngrams(p["r"], k)
+            hits = clipped_overlap(c, r).cast("double")
+            logs.append(F.log(F.when(hits == 0, 0.1).otherwise(hits) / F.greatest(F.size(c), F.lit(1))))
+        short = F.least(F.lit(0.0), 1 - F.size(p["r"]) / F.size(p["c"]))
+        score = F.exp(short + sum(logs[1:], logs[0]) / n)
+        return F.when(F.arrays_overlap(p["c"], p["r"]), score).otherwise(0.0)
+
+    return F.transform(F.array(F.struct(candidate.alias("c"), reference.alias("r"))), measure)[0]

@@ -76,3 +76,17 @@ def rate_window(events: DataFrame, by: str, at: str, size: str, seconds: int = 6
     """Trailing sum over a time range, as a rate limiter sees it."""
     w = Window.partitionBy(by).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("in_window", F.sum(size).over(w))
+
+
+def jobs(requests: DataFrame, key: str, limit: int = 200_000, block: int = 65_536) -> DataFrame:
+    """``requests`` with ``job``: at most ``limit`` requests a job, in the order of the integer ``key``.
+
+    Ranks come from counts of key blocks and ranks within a block, so no task
+    orders more than ``block`` different keys; only the counts meet in one.
+    """
+    placed = requests.withColumn("_block", F.expr(f"`{key}` div {block}"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_block").agg(F.count("*").alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy(key)) - 1
+    ranked = placed.withColumn("_rank", rank).join(starts, "_block")
+    return ranked.withColumn("job", F.floor((F.col("_start") + F.col("_rank")) / limit)).drop("_block", "_rank", "_start")

@@ -951,3 +951,190 @@ def _(spark, d):
     q, n = V.questions(spark, d), V.notes(spark, d)
     pool = R.as_of(q, n).select("question_id", "note_idx", F.length("text").alias("score"))
     return R.top_k(pool, ["question_id"], [F.desc("score"), F.asc("note_idx")], 10)
+
+
+# Requests, results and lookups
+
+
+@query("chk_07", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS job FROM orders")
+def _(spark, d):
+    return S.jobs(V.read(spark, d, "orders").select("o_orderkey"), "o_orderkey", 1000)
+
+
+@query("agg_19", "SELECT doc_id, count(*) AS total_items, count(*) FILTER (votes >= 2) AS items_met, count(*) FILTER (votes >= 2) / count(*) AS rubric_score FROM (SELECT doc_id, fact_idx, count(*) FILTER (vote) AS votes FROM v_verdicts GROUP BY ALL) GROUP BY doc_id")
+def _(spark, d):
+    items = V.verdicts(spark, d).groupBy("doc_id", "fact_idx").agg(F.count_if("vote").alias("votes"))
+    out = items.groupBy("doc_id").agg(F.count("*").alias("total_items"), F.count_if(F.col("votes") >= 2).alias("items_met"))
+    return out.withColumn("rubric_score", F.col("items_met") / F.col("total_items"))
+
+
+@query("srt_02", "SELECT unit, direction, rater FROM v_raters ORDER BY ALL")
+def _(spark, d):
+    return V.raters(spark, d).select("unit", "direction", "rater").orderBy("unit", "direction", "rater")
+
+
+@query("srt_03", "SELECT subject_id, note_idx FROM v_notes ORDER BY subject_id, note_idx DESC")
+def _(spark, d):
+    return V.notes(spark, d).select("subject_id", "note_idx").orderBy("subject_id", F.desc("note_idx"))
+
+
+@query("fn_01", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a, b|c' WHEN 1 THEN 'it''s|1' ELSE '' END AS items FROM documents")
+def _(spark, d):
+    text = F.when(F.col("doc_id") % 3 == 0, '["a, b", "c"]').when(F.col("doc_id") % 3 == 1, "[\"it's\", 1, ]").otherwise("none")
+    return V.read(spark, d, "documents").select("doc_id", F.array_join(T.parse_literals(text), "|").alias("items"))
+
+
+@query("fn_10", "SELECT doc_id, text AS excerpt FROM v_notes")
+def _(spark, d):
+    whole = F.concat(F.lit("Note Title: "), "note_title", F.lit("\nNote Excerpt: "), "text")
+    at = F.locate("Note Excerpt: ", whole)
+    return V.notes(spark, d).select("doc_id", F.when(at > 0, F.substr(whole, at + 14)).otherwise(whole).alias("excerpt"))
+
+
+@query("fn_12")
+def _(spark, d):
+    """BLEU-1 to 4 of responses against the reference of their question."""
+    q = V.questions(spark, d).select("question_id", "reference")
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    both = V.responses(spark, d).join(q, "question_id").select("response_id", "conv_id", words("response").alias("c"), words("reference").alias("r"))
+    return both.select("response_id", "conv_id", *[T.bleu(F.col("c"), F.col("r"), n).alias(f"bleu_{n}") for n in range(1, 5)])
+
+
+@query("fn_18", "SELECT DISTINCT source, source AS provider, 'bm25' AS method FROM documents")
+def _(spark, d):
+    parts = T.source_parts(F.concat("source", F.lit("_bm25")))
+    return V.read(spark, d, "documents").select("source").distinct().select("source", parts["provider"].alias("provider"), parts["method"].alias("method"))
+
+
+@query("fn_22", "SELECT event_id, CASE WHEN event_id % 7 > 0 THEN event_id % 6 END AS score, CASE WHEN event_id % 7 > 0 THEN event_type END AS explanation FROM events")
+def _(spark, d):
+    said = F.when(F.col("event_id") % 7 == 0, "no score").otherwise(F.to_json(F.struct((F.col("event_id") % 6).alias("score"), F.col("event_type").alias("explanation"))))
+    return V.read(spark, d, "events").select("event_id", F.from_json(said, "score bigint, explanation string").alias("j")).select("event_id", "j.score", "j.explanation")
+
+
+@query("fn_24", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 END AS n, CASE WHEN doc_id % 4 = 0 THEN doc_id END AS source_idx FROM documents")
+def _(spark, d):
+    i = F.col("doc_id")
+    text = F.when(i % 4 == 0, F.format_string('[{"text":"a","source_idx":%d}]', i)).when(i % 4 == 1, '["a","b"]').when(i % 4 == 2, "[]").otherwise('[{"text":"a"},"b"]')
+    atoms = V.read(spark, d, "documents").select("doc_id", T.parse_atoms(text).alias("f"))
+    return atoms.select("doc_id", F.when(F.col("f").isNotNull(), F.size("f")).alias("n"), F.get("f", F.lit(0))["source_idx"].alias("source_idx"))
+
+
+@query("inc_02", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 5 > 0)")
+def _(spark, d):
+    line = F.when(F.col("doc_id") % 5 == 0, "{broken").otherwise(F.to_json(F.struct("doc_id")))
+    done = V.read(spark, d, "labels").select(F.from_json(line, "doc_id bigint").alias("j")).select("j.doc_id").where("doc_id is not null")
+    return S.pending(V.read(spark, d, "documents").select("doc_id"), done, ["doc_id"])
+
+
+@query("inc_08", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 - quality ELSE quality END AS quality FROM labels")
+def _(spark, d):
+    """Rows of forced keys are dropped and computed anew; the others stay."""
+    old = V.read(spark, d, "labels").select("doc_id", "quality")
+    again = old.where("doc_id % 3 = 0").withColumn("quality", 1 - F.col("quality"))
+    return S.upsert(old, again, ["doc_id"])
+
+
+@query("inc_09", "SELECT question_id, arg_min(response_id, conv_id * 1000 + turn) AS response_id FROM v_responses GROUP BY question_id")
+def _(spark, d):
+    return V.responses(spark, d).groupBy("question_id").agg(F.min_by("response_id", F.struct("conv_id", "turn")).alias("response_id"))
+
+
+@query("oth_02", "SELECT subject_id || ':' || note_idx || ':' || c AS request_id, md5(substr(text, c * 500 + 1, 500)) AS digest FROM (SELECT *, unnest(range(greatest(1, CAST(ceil(length(text) / 500) AS BIGINT)))) AS c FROM v_notes)")
+def _(spark, d):
+    chunks = V.notes(spark, d).select("subject_id", "note_idx", F.posexplode(T.fixed_chunks(F.col("text"), 500)).alias("c", "chunk"))
+    return chunks.select(F.concat_ws(":", "subject_id", "note_idx", "c").alias("request_id"), F.md5("chunk").alias("digest"))
+
+
+@query("oth_04", "SELECT question_id, CASE item_id % 3 WHEN 0 THEN 'Use the facts and the summary.' WHEN 1 THEN 'Use the facts.' ELSE 'Use the summary.' END AS prompt FROM v_questions")
+def _(spark, d):
+    part = F.col("item_id") % 3
+    return V.questions(spark, d).select("question_id", F.when(part == 0, "Use the facts and the summary.").when(part == 1, "Use the facts.").otherwise("Use the summary.").alias("prompt"))
+
+
+@query("oth_05", "SELECT subject_id, note_idx, text FROM v_notes WHERE note_title = 'src1'")
+def _(spark, d):
+    return V.notes(spark, d).where("note_title = 'src1'").select("subject_id", "note_idx", "text")
+
+
+@query("oth_06", "SELECT subject_id, question_id, row_number() OVER (PARTITION BY subject_id ORDER BY item_id) - 1 AS ordinal, CASE WHEN item_id % 2 = 0 THEN 'Rewritten: ' || natural_query ELSE natural_query END AS natural_query FROM v_questions")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    rewrite = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("Rewritten: "), "natural_query"))
+    ordinal = F.row_number().over(Window.partitionBy("subject_id").orderBy("item_id")) - 1
+    return V.questions(spark, d).select("subject_id", "question_id", ordinal.alias("ordinal"), F.coalesce(rewrite, "natural_query").alias("natural_query"))
+
+
+@query("oth_07", "SELECT question_id, natural_query, 'why ' || item_id AS rationale FROM v_questions WHERE item_id % 2 = 0")
+def _(spark, d):
+    q = V.questions(spark, d)
+    said = q.where("item_id % 2 = 0").select(F.to_json(F.array(F.struct("question_id", F.concat(F.lit("why "), "item_id").alias("rationale")))).alias("j"))
+    chosen = said.select(F.inline(F.from_json("j", "array<struct<question_id:string,rationale:string>>")))
+    return q.join(chosen, "question_id").select("question_id", "natural_query", "rationale")
+
+
+@query("oth_08", "SELECT doc_id, fact_idx, md5('Fact: ' || fact || chr(10) || 'Note: ' || text) AS digest FROM v_facts JOIN v_notes USING (doc_id)")
+def _(spark, d):
+    prompt = T.fill("Fact: {fact}\nNote: {note}", fact=F.col("fact"), note=F.col("text"))
+    return V.facts(spark, d).join(V.notes(spark, d).select("doc_id", "text"), "doc_id").select("doc_id", "fact_idx", F.md5(prompt).alias("digest"))
+
+
+@query("oth_09", "SELECT doc_id, fact_idx, direction, bool_or(vote) FILTER (juror = 0) AS juror_0, bool_or(vote) FILTER (juror = 2) AS juror_2 FROM v_verdicts, (SELECT unnest(['precision', 'recall']) AS direction) WHERE juror IN (0, 2) GROUP BY ALL")
+def _(spark, d):
+    jurors = (0, 2)
+    votes = V.verdicts(spark, d).where(F.col("juror").isin(*jurors)).groupBy("doc_id", "fact_idx").agg(*[F.bool_or(F.when(F.col("juror") == j, F.col("vote"))).alias(f"juror_{j}") for j in jurors])
+    return votes.select("*", F.explode(F.lit(["precision", "recall"])).alias("direction"))
+
+
+@query("oth_10", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'decompose' ELSE 'extract' END AS prompt FROM documents WHERE doc_id % 2 = 0 OR trim(coalesce(text, '')) <> ''")
+def _(spark, d):
+    kind = F.when(F.col("doc_id") % 2 == 0, "decompose").when(F.trim(F.coalesce("text", F.lit(""))) != "", "extract")
+    return V.read(spark, d, "documents").select("doc_id", kind.alias("prompt")).where("prompt is not null")
+
+
+@query("oth_13", "SELECT doc_id, unnest(['2024-01-0' || (doc_id % 9 + 1), '2024-02-01']) AS note_date FROM documents")
+def _(spark, d):
+    mixed = F.parse_json(F.format_string('[{"note_date": "2024-01-0%d"}, "2024-02-01"]', F.col("doc_id") % 9 + 1)).cast("array<variant>")
+    rows = V.read(spark, d, "documents").select("doc_id", F.explode(mixed).alias("v"))
+    return rows.select("doc_id", F.coalesce(F.try_variant_get("v", "$.note_date", "string"), F.try_variant_get("v", "$", "string")).alias("note_date"))
+
+
+@query("oth_14", "SELECT doc_id, fact_idx, string_agg(CASE WHEN vote THEN 'Y' ELSE 'N' END, '' ORDER BY juror) AS votes, count(*) FILTER (vote) >= 2 AS consensus FROM v_verdicts GROUP BY ALL")
+def _(spark, d):
+    g = V.verdicts(spark, d).groupBy("doc_id", "fact_idx").agg(F.array_sort(F.collect_list(F.struct("juror", "vote"))).alias("v"), (F.count_if("vote") >= 2).alias("consensus"))
+    return g.select("doc_id", "fact_idx", F.array_join(F.transform("v", lambda x: F.when(x["vote"], "Y").otherwise("N")), "").alias("votes"), "consensus")
+
+
+@query("oth_17", "SELECT question_id, arg_max(response_id, conv_id * 1000 + turn) AS response_id FROM v_responses GROUP BY question_id")
+def _(spark, d):
+    return V.responses(spark, d).groupBy("question_id").agg(F.max_by("response_id", F.struct("conv_id", "turn")).alias("response_id"))
+
+
+@query("oth_19", "SELECT rater, count(*) AS n, count(label) AS marked FROM (SELECT rater, label FROM v_choices UNION ALL SELECT rater, CAST(label AS VARCHAR) FROM v_raters) GROUP BY rater")
+def _(spark, d):
+    people = V.choices(spark, d).select("rater", "label")
+    judges = V.raters(spark, d).select("rater", F.col("label").cast("string").alias("label"))
+    return people.unionByName(judges).groupBy("rater").agg(F.count("*").alias("n"), F.count("label").alias("marked"))
+
+
+@query("oth_24", "SELECT question_id, model_a, model_b, position FROM v_pairwise WHERE completeness = 'TIE'")
+def _(spark, d):
+    keys = ["question_id", "model_a", "model_b", "position"]
+    judged = V.pairwise(spark, d).select(*keys, F.when(F.col("completeness") != "TIE", F.col("completeness")).otherwise(" ").alias("completeness"))
+    return S.pending(V.pairwise(spark, d).select(*keys), judged, keys, "completeness")
+
+
+@query("oth_27", "SELECT question_id, model_a, model_b, CASE completeness WHEN 'TIE' THEN 'tie' ELSE completeness END AS winner FROM v_pairwise")
+def _(spark, d):
+    won = T.normal_label(F.col("completeness"))
+    return V.pairwise(spark, d).select("question_id", "model_a", "model_b", F.when(won == "TIE", "tie").otherwise(won).alias("winner"))
+
+
+@query("win_09")
+def _(spark, d):
+    """An answer carried through the turns of a conversation, by the stub provider."""
+    from .operators import providers as M
+
+    turns = V.read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").alias("batch"), "text")
+    return M.rolling_answers(turns, M.echo, "conv_id", "{answer}\n{text}")

@@ -140,3 +140,52 @@ def test_stream_scores_each_key_once(spark, tmp_path):
         stream = spark.readStream.schema(schema).json(str(src))
         incremental.score_new(stream, lambda df: df, str(sink), ["id"], str(tmp_path / "cp"), schema).awaitTermination()
     assert sorted(r["id"] for r in spark.read.schema(schema).json(str(sink)).collect()) == ["a", "x0", "x1"]
+
+
+def plain_bleu(c, r, n):
+    """BLEU by counting, one order at a time."""
+    import math
+    from collections import Counter
+
+    if not set(c) & set(r):
+        return 0.0
+    total = 0.0
+    for k in range(1, n + 1):
+        grams = [Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1)) for x in (c, r)]
+        hits = sum((grams[0] & grams[1]).values())
+        total += math.log((hits or 0.1) / max(1, sum(grams[0].values())))
+    return math.exp(min(0.0, 1 - len(r) / len(c)) + total / n)
+
+
+def test_bleu(spark):
+    pairs = [("a b c d", "a b c d"), ("a b", "a b c d e"), ("a a a b", "a b a"), ("x", "y"), ("", "a"), ("a", ""), ("", "")]
+    df = spark.createDataFrame([(c.split(), r.split()) for c, r in pairs], "c array<string>, r array<string>")
+    got = df.select("c", "r", *[T.bleu(F.col("c"), F.col("r"), n).alias(f"b{n}") for n in (1, 2, 3, 4)]).collect()
+    for row in got:
+        for n in (1, 2, 3, 4):
+            assert abs(row[f"b{n}"] - plain_bleu(row.c, row.r, n)) < 1e-12
+
+
+def test_literals_and_atoms(spark):
+    texts = ['["a"]', "['it\\'s', 'b']", "('a', 2)", "{'a': 1}", "[", "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.parse_literals(F.col("t")).alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == [["a"], ["it's", "b"], ["a", "2"], [], [], [], []]
+    texts = ['[{"text":"a","source_idx":3}]', '["a"]', "[]", '[{"text":"a"}]', '["a",{"text":"b","source_idx":1}]', "oops", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.parse_atoms(F.col("t")).alias("v")).orderBy("i").collect()
+    assert [None if r.v is None else [tuple(x) for x in r.v] for r in got] == [[("a", 3)], [("a", None)], [], None, None, None, None]
+
+
+def test_jobs_fill_to_the_limit(spark):
+    from annalist.operators import tables as S
+
+    keys = [(k,) for k in [5, 1, 9, 9, 200, 7, 3]]
+    got = S.jobs(spark.createDataFrame(keys, "k bigint"), "k", limit=3, block=4).orderBy("job", "k").collect()
+    assert [(r.k, r.job) for r in got] == [(1, 0), (3, 0), (5, 0), (7, 1), (9, 1), (9, 1), (200, 2)]
+    assert S.jobs(spark.createDataFrame([], "k bigint"), "k").count() == 0
+
+
+def test_stub_queries_run(spark):
+    from annalist.queries import QUERIES
+
+    assert QUERIES["win_09"](spark, "/root/testdata/sf0.001").count() > 0
+    assert QUERIES["fn_12"](spark, "/root/testdata/sf0.001").where("bleu_1 between 0 and 1").count() == QUERIES["fn_12"](spark, "/root/testdata/sf0.001").count()
