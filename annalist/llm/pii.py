@@ -17,15 +17,44 @@ from .common import let
 
 ROUNDS = 8
 #: The kinds and their patterns, in order of precedence.
+_MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 PATTERNS = (
     ("mail", r"[A-Za-z0-9._%+\-À-ɏ]{1,64}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
-    ("secret", r"(?:password|passwd|pwd|token|secret|api_key|apikey)\s*[=:]\s*\"?[A-Za-z0-9+/_\-]{8,}\"?"),
+    ("secret", r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s*[=:]\s*[\"']?[A-Za-z0-9+/_\-]{8,}[\"']?"),
     ("access_key", r"\bAKIA[A-Z0-9]{16}\b"),
-    ("phone", r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}|\(\d{3}\) \d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"),
+    (
+        "phone",
+        r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
+        r"|\+\d(?:[ .()-]{0,2}\d){7,14}(?!\d)|(?<!\d[ .-]?)\d{3}\.\d{3}\.\d{4}(?![ .-]?\d)|(?<!\d[ .-]?)\d{3} \d{3} \d{4}(?![ .-]?\d)",
+    ),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("date", r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"),
+    (
+        "date",
+        r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])(?:\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4})(?![\d/])|(?<![\d.])(?:\d{4}\.\d{2}\.\d{2}|\d{1,2}\.\d{1,2}\.\d{4})(?!\d|\.\d)"
+        rf"|(?<!\d)\d{{1,2}} {_MONTH} \d{{4}}(?!\d)|\b{_MONTH} \d{{1,2}}, \d{{4}}(?!\d)",
+    ),
     ("ip", r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d)"),
-    ("card", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"),
+)
+#: A run of digits at single spaces and hyphens, up to where another kind begins; possessive, so its length costs no stack.
+_OTHERS = "|".join(f"(?:{p})" for _, p in PATTERNS)
+PATTERNS += (("card", rf"(?<!\d)(?=\d(?:[ -]?\d){{12}})\d(?:(?:[ -](?!{_OTHERS}))?\d)*+"),)
+#: How dates are read, in order: a date in slashes is month first where that is a date.
+DATE_FORMS = tuple(
+    (regex, form)
+    for regex, forms in (
+        (r"\d{4}-\d{2}-\d{2}", ("yyyy-MM-dd",)),
+        (r"\d{4}/\d{2}/\d{2}", ("yyyy/MM/dd",)),
+        (r"\d{4}\.\d{2}\.\d{2}", ("yyyy.MM.dd",)),
+        (r"\d{2}/\d{2}/\d{4}", ("MM/dd/yyyy", "dd/MM/yyyy")),
+        (r"\d{1,2}/\d{1,2}/\d{4}", ("M/d/yyyy", "d/M/yyyy")),
+        (r"\d{2}\.\d{2}\.\d{4}", ("dd.MM.yyyy",)),
+        (r"\d{1,2}\.\d{1,2}\.\d{4}", ("d.M.yyyy",)),
+        (r"\d{1,2} [A-Za-z]{3} \d{4}", ("d MMM yyyy",)),
+        (r"\d{1,2} [A-Za-z]+ \d{4}", ("d MMMM yyyy",)),
+        (r"[A-Za-z]{3} \d{1,2}, \d{4}", ("MMM d, yyyy",)),
+        (r"[A-Za-z]+ \d{1,2}, \d{4}", ("MMMM d, yyyy",)),
+    )
+    for form in forms
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 DAYS, LEFT, RIGHT = 146097, 233, 627  # days in 400 years, as a product
@@ -101,13 +130,49 @@ def _card(s: Column, key: str) -> Column:
         body = F.concat(F.substring(d, 1, 1), _permute_digits(F.substr(d, F.lit(2), F.length(d) - 2), key, "card"))
         return let(body, lambda b: F.concat(b, F.pmod(10 - F.pmod(_luhn_sum(b, 0), F.lit(10)), F.lit(10)).cast("string")))
 
-    return F.when(luhn_valid(_digits(s)), _refill(s, let(_digits(s), run))).otherwise(s)
+    return _refill(s, let(_digits(s), run))
+
+
+def _cards(s: Column, key: str) -> Column:
+    """A run of digit groups with its cards rewritten: from each group on, the longest valid number of 13 to 19 digits that ends with a group."""
+
+    def walk(groups: Column) -> Column:
+        state = "struct<out:string,next:int>"
+
+        def piece(i: Column, n: Column) -> Column:
+            return F.array_join(F.slice(groups, i + 1, n), "")
+
+        def step(acc: Column, i: Column) -> Column:
+            def valid(n: Column) -> Column:
+                return let(_digits(piece(i, n)), lambda d: F.when(F.length(d).between(13, 19), luhn_valid(d)).otherwise(F.lit(False)))
+
+            sizes = F.filter(F.sequence(F.lit(1), F.least(F.size(groups) - i, F.lit(19))), valid)
+            taken = let(
+                F.coalesce(F.array_max(sizes), F.lit(0)),
+                lambda n: F.when(n > 0, F.struct(F.concat(acc["out"], _card(piece(i, n), key)).alias("out"), (i + n).alias("next")).cast(state)).otherwise(
+                    F.struct(F.concat(acc["out"], piece(i, F.lit(1))).alias("out"), (i + 1).alias("next")).cast(state)
+                ),
+            )
+            return F.when(i < acc["next"], acc).otherwise(taken)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), F.struct(F.lit("").alias("out"), F.lit(0).alias("next")).cast(state), step)["out"]
+
+    return let(F.regexp_extract_all(s, F.lit(r"[ -]?\d+"), F.lit(0)), walk)
 
 
 def _date(s: Column, key: str) -> Column:
-    day = F.datediff(F.to_date(F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))), F.lit(FIRST_DAY).cast("date"))
-    new = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), permute(day.cast("bigint"), LEFT, RIGHT, key, "date").cast("int")), "yyyy-MM-dd")
-    return F.when((day >= 0) & (day < DAYS), new).otherwise(s)
+    """The date in the notation it has; impossible ones stay."""
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def read(regex: str, form: str) -> Column:
+        day = F.when(s.rlike(f"^{regex}$"), F.datediff(F.to_date(F.try_to_timestamp(s, F.lit(form))), first))
+        return let(day, lambda d: F.when((d >= 0) & (d < DAYS), F.struct(d.cast("bigint").alias("day"), F.lit(form).alias("form"))))
+
+    def moved(found: Column) -> Column:
+        new = F.date_add(first, permute(found["day"], LEFT, RIGHT, key, "date").cast("int"))
+        return F.when(found.isNotNull(), F.call_function("date_format", new.cast("timestamp"), found["form"])).otherwise(s)
+
+    return let(F.coalesce(*[read(*x) for x in DATE_FORMS]), moved)
 
 
 def _ip(s: Column, key: str) -> Column:
@@ -121,9 +186,9 @@ def _hexed(s: Column, key: str, kind: str) -> Column:
 
 
 def _secret(s: Column, key: str) -> Column:
-    head = F.regexp_extract(s, r"^(\w+\s*[=:]\s*\"?)", 1)
-    tail = F.regexp_extract(s, r"(\"?)$", 1)
-    body = F.regexp_replace(F.substr(s, F.length(head) + 1, F.length(s)), r"\"$", "")
+    head = F.regexp_extract(s, r"^([\w-]+[\"']?\s*[=:]\s*[\"']?)", 1)
+    tail = F.regexp_extract(s, r"([\"']?)$", 1)
+    body = F.regexp_replace(F.substr(s, F.length(head) + 1, F.length(s)), r"[\"']$", "")
     return F.concat(head, F.substr(F.repeat(_hexed(body, key, "secret"), 4), F.lit(1), F.least(F.length(body), F.lit(256))), tail)
 
 
@@ -141,7 +206,7 @@ def pseudonym(s: Column, key: str) -> Column:
         .when(kind("ssn"), _refill(s, _permute_digits(_digits(s), key, "ssn")))
         .when(kind("date"), _date(s, key))
         .when(kind("ip"), _ip(s, key))
-        .otherwise(_card(s, key))
+        .otherwise(_cards(s, key))
     )
 
 
