@@ -46,7 +46,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path()).drop("tokens")
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), special=True).drop("tokens")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
