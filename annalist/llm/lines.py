@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, key128, let
 
 WINDOW, LONG_WORDS = 2, 10
+#: A bound no line reaches, for windows of one line.
+NEVER = 2**31 - 1
 
 
 def postings(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
@@ -77,3 +79,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WO
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))
     out = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     return joined.withColumn("_full", full).select(*out, text.alias("text"), n_lines.cast("bigint").alias("n_lines"), F.coalesce(F.size("_cut"), F.lit(0)).cast("bigint").alias("n_removed"))
+
+
+def dedup_all_lines(docs: DataFrame) -> DataFrame:
+    """``dedup_lines`` with every line that holds a word as a fingerprint: of equal lines only the first in (doc_id, line) order stays."""
+    return dedup_lines(docs, window=1, long_words=NEVER)
