@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +73,30 @@ def max_sim(q: Column, d: Column) -> Column:
     return F.aggregate(F.transform(q, lambda x: F.array_max(F.transform(d, lambda y: dot(x, y)))), F.lit(0.0), lambda s, x: s + x)
 
 
+def max_sim_search(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = 64, chunk: int = 1024) -> DataFrame:
+    """Late-interaction search of ``queries(query_id, q)`` in ``corpus(item_id, c)``; q and c are arrays of vectors.
+
+    Blocks of queries meet chunks of the corpus; a chunk gives each query its k best scores, all ties at the
+    rounded last one included.  Neither side is broadcast by the program or collected.
+    """
+    asked = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))).alias("b")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+    held = corpus.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-corpus.count() // chunk)))).alias("p")).agg(F.collect_list(F.struct("item_id", "c")).alias("cs"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for qs, cs in zip(batch["qs"], batch["cs"]):
+                c = np.array([[list(v) for v in x["c"]] for x in cs], dtype=np.float64)
+                items = np.array([x["item_id"] for x in cs])
+                for x in qs:
+                    q = np.array([list(v) for v in x["q"]], dtype=np.float64)
+                    s = np.einsum("qd,ncd->nqc", q, c).max(axis=2).sum(axis=1)
+                    at = np.flatnonzero(s >= np.sort(s)[-min(k, len(s))] - 2e-6)
+                    yield pd.DataFrame({"query_id": x["query_id"], "item_id": items[at], "score": s[at]})
+
+    scored = asked.crossJoin(held).select("qs", "cs").repartition(max(1, queries.sparkSession.sparkContext.defaultParallelism)).mapInPandas(score, "query_id bigint, item_id bigint, score double")
+    return top_k(scored.withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.asc("item_id")], k)
+
+
 def fuse(first: DataFrame, second: DataFrame, key: str, item: str, k: int = 100, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of two complete rankings (1-based ``rank``)."""
     both = first.select(key, item, F.col("rank").alias("r1")).join(second.select(key, item, F.col("rank").alias("r2")), [key, item])

@@ -295,10 +295,8 @@ def _(spark, d):
 def _(spark, d):
     e = V.read(spark, d, "embeddings")
     cut = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(F.col("embedding"), i * 16 + 1, F.lit(16)))
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), cut.alias("q"))
-    c = e.where("vec_id >= 20").select(F.col("vec_id").alias("item_id"), cut.alias("c"))
-    s = c.join(F.broadcast(q)).select("query_id", "item_id", F.round(R.max_sim(F.col("q"), F.col("c")), 6).alias("score"))
-    return R.top_k(s, ["query_id"], [F.desc("score"), F.asc("item_id")], 10)
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), cut.alias("q"))
+    return R.max_sim_search(q, e.select(F.col("vec_id").alias("item_id"), cut.alias("c")), 10)
 
 
 @query("ret_11", "SELECT subject_id, string_agg('[' || rank || '] Note Title: ' || note_title || chr(10) || 'Note Date: ' || COALESCE(CAST(note_date AS VARCHAR), '') || chr(10) || 'Text: ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT *, note_idx + 1 AS rank FROM v_notes WHERE note_idx < 3) GROUP BY subject_id")
