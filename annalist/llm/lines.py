@@ -1,12 +1,10 @@
-"""Operator 4: line dedup by winnowing over line hashes.
+"""Operator 4: line dedup by a join of all line windows.
 
-The lines of a document that hold a word form a sequence of hashes.  Every
-window of ``window`` consecutive lines, and every single line of at least
-``long_words`` words, selects its minimal hash as fingerprint, so a repeated
-run that fills a window is certain to meet.  Occurrences of a fingerprint
-meet at the contents around it: each anchored window is slid over every offset
-that holds the anchor, which extends a match both ways, and overlapping hits
-merge into maximal runs.  All windows but the first in (doc_id, line) order go.
+The lines of a document that hold a word form a sequence.  Every window of
+``window`` consecutive lines, and every single line of at least ``long_words``
+words, is posted with the 128-bit key of its content; none is selected, so this
+isn't winnowing (see the README's deviations).  Equal contents meet by key, and
+overlapping hits merge.  All windows but the first in (doc_id, line) order go.
 """
 
 from __future__ import annotations
