@@ -51,7 +51,7 @@ def _repeat_words(w: Column, k: int) -> Column:
 def measure(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id`` and the measurements of its text (null: none)."""
     text = F.coalesce("text", F.lit(""))
-    full = F.filter(F.transform(F.split(text, "\n"), lambda s: F.struct(s.alias("s"), (F.regexp_replace(s, r"[\x20\x09-\x0D]+", "") != "").alias("full"))), lambda x: x["full"])
+    full = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     long = "bigint"
     return docs.select(
         "doc_id",
