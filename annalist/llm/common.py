@@ -23,10 +23,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is set, as in tests."""
+    """The folder all executors share; a local one only where none is set and all runs in one process, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="annalist-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="annalist-"))
     return sc.getCheckpointDir()
 
 
@@ -69,3 +72,60 @@ def shingles(tokens: Column, k: int) -> Column:
 def key128(*columns: Column) -> list[Column]:
     """Two 64-bit hashes, so that equal keys mean equal values even over 10**12 rows."""
     return [F.xxhash64(*columns).alias("key_a"), F.xxhash64(F.lit(0x5EED), *columns).alias("key_b")]
+
+
+#: A key is hot if it holds more than this share of the rows that have a partner; so at most 1 / HOT keys are.
+HOT, HOT_ROWS = 1 / 1000, 1000
+
+
+def hot_join(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``one``, which has a row per key and ``n``, the number of ``rows`` of that key.
+
+    A hot key may hold a third of all rows.  The few hot rows of ``one`` (1000
+    at most, since each holds over a thousandth) are broadcast, so that the rows
+    of a hot key stay where they are; all others meet in a shuffle.  ``one``
+    should be materialised: it is read more than once.
+    """
+    total = one.agg(F.sum("n")).first()[0] or 0
+    hot = one.where(F.col("n") > max(total * HOT, HOT_ROWS))
+    if not hot.take(1):
+        return rows.join(one, keys, how)
+    few = F.broadcast(hot)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one.where(F.col("n") <= max(total * HOT, HOT_ROWS)), keys, how)
+    return rows.join(few, keys).unionByName(cold)
+
+
+def later_copies(posted: DataFrame, place: list[str], carried: list[str] = ()) -> DataFrame:
+    """The rows of ``posted(key_a, key_b, ...)`` whose key stands earlier too, with ``source``, the first place and what it carries.
+
+    Keys are counted by partial aggregation; places without an id are never
+    cut.  ``posted`` should be materialised: it is read more than once.
+    """
+    keys = ["key_a", "key_b"]
+    first = F.min_by(F.struct(*place, *carried), F.struct(*place))
+    firsts = cut(posted.groupBy(*keys).agg(first.alias("source"), F.count("*").alias("n")).where("n > 1"))
+    own = F.struct(*place)
+    source = F.struct(*[F.col(f"source.{c}").alias(c) for c in place])
+    return hot_join(posted, firsts, keys).where(~own.eqNullSafe(source)).where(F.col(place[0]).isNotNull())
+
+
+def kept_pieces(pieces: Column, full: Column, gone: Column) -> Column:
+    """``pieces`` without those that ``gone`` names, as indices into ``full``, the places of the pieces that hold a word; linear in both."""
+
+    def kept(p: Column) -> Column:
+        places = F.when(F.size(p) > 0, F.sequence(F.lit(0), F.size(p) - 1)).otherwise(F.array().cast("array<int>"))
+        dropped = let(full, lambda at: F.transform(gone, lambda i: F.get(at, i)))
+        return F.transform(F.array_except(places, dropped), lambda i: F.get(p, i))
+
+    return let(pieces, kept)
+
+
+#: Ids up to this number may be broadcast.
+FEW_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids(doc_id)``; whole texts are shuffled only if the ids are too many to broadcast."""
+    ids = cut(ids.where("doc_id is not null").distinct())
+    side = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+    return docs.join(side, "doc_id", "left_anti").select(*docs.columns)

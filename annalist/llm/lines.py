@@ -1,58 +1,92 @@
-"""Operator 4: line dedup by a join of all line windows.
+"""Operator 4: line dedup by winnowing over line hashes.
 
-The lines of a document that hold a word form a sequence.  Every window of
-``window`` consecutive lines, and every single line of at least ``long_words``
-words, is posted with the 128-bit key of its content; none is selected, so this
-isn't winnowing (see the README's deviations).  Equal contents meet by key, and
-overlapping hits merge.  All windows but the first in (doc_id, line) order go.
+The lines of a document that hold a word form a sequence.  Fingerprints are
+selected from it: a line of at least ``long_words`` words is one by itself, and
+among runs of shorter lines, where single lines are noise, every window of
+``window`` consecutive grams of two lines selects its least gram.  Only the
+selected fingerprints are posted, with the hashes of the lines beside them.
+Positions of equal fingerprints are joined to the first one, matches are
+extended both ways while the neighbours agree, and all later runs go.
+
+Guarantee: no later line of ``long_words`` words stays, and of a repeated run of
+``window + 1`` shorter lines at least one gram is found.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, key128, let
+from .common import SPACE, key128, kept_pieces, later_copies, let, stored
+
+WINDOW, LONG_WORDS = 2, 3
+
+
+def _norm(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, SPACE, " "))
+
+
+def _split(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
-WINDOW, LONG_WORDS = 2, 10
-#: A bound no line reaches, for windows of one line.
-NEVER = 2**31 - 1
+
+def selected(grams: Column, window: int) -> Column:
+    """Booleans: which grams (null: none here) are the least of a whole window of them, or in a run too short for one."""
+
+    def pick(g: Column, i: Column) -> Column:
+        def whole(j: Column) -> Column:
+            return (j >= 0) & (j + window <= F.size(grams)) & F.forall(F.slice(grams, F.greatest(j, F.lit(0)) + 1, window), lambda x: x.isNotNull())
+
+        windows = F.filter(F.sequence(i - (window - 1), i), whole)
+        least = F.exists(windows, lambda j: F.forall(F.slice(grams, j + 1, window), lambda x: g <= x))
+        return g.isNotNull() & ((F.size(windows) == 0) | least)
+
+    return F.transform(grams, pick)
 
 
 def postings(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
-    """``(doc_id, first, length, anchor, key_a, key_b)`` for every window; first counts lines with a word from 0."""
-    lines = docs.select(
-        "doc_id", F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: F.trim(F.regexp_replace(s, SPACE, " "))), lambda s: s != "").alias("lines")
-    )
-    hashed = lines.select("doc_id", "lines", F.transform("lines", lambda s: F.xxhash64(s)).alias("hashes"))
-    spans = hashed.select(
-        "doc_id",
-        "lines",
-        "hashes",
-        F.explode(
-            F.concat(
-                F.when(F.size("lines") >= window, F.transform(F.sequence(F.lit(0), F.greatest(F.size("lines") - window, F.lit(0))), lambda i: F.struct(i.alias("first"), F.lit(window).alias("length")))).otherwise(
-                    F.array().cast("array<struct<first:int,length:int>>")
-                ),
-                F.filter(
-                    F.transform("lines", lambda s, i: F.struct(F.when(F.size(F.split(s, " ")) >= long_words, i).alias("first"), F.lit(1).alias("length"))),
-                    lambda x: x["first"].isNotNull(),
-                ),
-            )
-        ).alias("w"),
-    )
-    at, n = F.col("w.first"), F.col("w.length")
-    content = F.concat_ws("\n", F.slice("lines", at + 1, n))
-    return spans.select("doc_id", at.alias("first"), n.alias("length"), F.array_min(F.slice("hashes", at + 1, n)).alias("anchor"), *key128(content))
+    """``(doc_id, first, length, key_a, key_b, before, after)`` of the selected fingerprints; first counts lines with a word from 0.
 
+    before and after are the hashes of up to window + 1 lines beside it, the nearest first, and null where a long line or none is next to it.
+    """
+    reach = window + 1
+    hashes = lambda part: F.transform(part, lambda x: F.xxhash64(x))
 
-def repeated(windows: DataFrame) -> DataFrame:
-    """The windows that equal an earlier one, by their (anchor, content) group's first place."""
-    keys = ["anchor", "key_a", "key_b"]
-    firsts = (
-        windows.groupBy(*keys).agg(F.min(F.struct("doc_id", "first")).alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
-    )
-    return windows.join(firsts, keys).where(~F.struct("doc_id", "first").eqNullSafe(F.col("source"))).where("doc_id is not null").select("doc_id", "first", "length", "source")
+    # all of a text's fingerprints are built inside one expression, so that an exploded row never carries the text's lines
+    def fingerprints(s: Column, long: Column, chosen: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            n = F.when(F.get(long, i), 1).when(F.get(chosen, i), 2)
+            content = F.when(F.get(long, i), x).otherwise(F.concat(x, F.lit("\n"), F.get(s, i + 1)))
+            before = F.when(~F.get(long, i - 1), hashes(F.reverse(F.slice(s, F.greatest(i - reach + 1, F.lit(1)), F.least(i, F.lit(reach))))))
+            after = F.when(~F.get(long, i + n), hashes(F.slice(s, i + n + 1, reach)))
+            return F.when(n.isNotNull(), let(content, lambda c: F.struct(i.alias("first"), n.alias("length"), *key128(c), before.alias("before"), after.alias("after"))))
+
+        return F.filter(F.transform(s, one), lambda f: f.isNotNull())
+
+    def gram(s: Column, long: Column) -> Column:
+        return F.transform(s, lambda x, i: F.when(~F.get(long, i) & ~F.get(long, i + 1), F.md5(F.concat(x, F.lit("\n"), F.get(s, i + 1)))))
+
+    def picked(s: Column, long: Column) -> Column:
+        none = F.array().cast("array<boolean>")
+        return F.when(F.exists(long, lambda x: ~x), let(gram(s, long), lambda g: selected(g, window))).otherwise(none)
+
+    is_long = (lambda x: F.substring_index(x, " ", long_words - 1) != x) if long_words > 1 else (lambda x: x != "")
+    lines = F.filter(F.transform(_split(F.col("text")), _norm), lambda x: x != "")
+    found = let(lines, lambda s: let(F.transform(s, is_long), lambda long: let(picked(s, long), lambda chosen: fingerprints(s, long, chosen))))
+    return docs.select("doc_id", found.alias("f")).select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.*")
+
+
+def _agreeing(own: Column, other: Column) -> Column:
+    """How many of the first elements agree."""
+    same = F.zip_with(own, other, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.when(own.isNull() | other.isNull(), 0).otherwise(F.array_position(F.array_append(same, F.lit(False)), False).cast("int") - 1)
+
+
+def repeated(posted: DataFrame) -> DataFrame:
+    """``(doc_id, first, length)``: the later runs, each extended both ways along the first place of its fingerprint."""
+    later = later_copies(posted, ["doc_id", "first"], ["before", "after"])
+    left, right = _agreeing(F.col("before"), F.col("source.before")), _agreeing(F.col("after"), F.col("source.after"))
+    return later.select("doc_id", (F.col("first") - left).alias("first"), (F.col("length") + left + right).alias("length"))
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
@@ -63,22 +97,21 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WO
     as one document: all get the same deletions, and none removes the other.
     Rows without a doc_id are never cut.  No rows give none; other columns stay.
     """
-    hits = repeated(postings(docs, window, long_words))
+    hits = repeated(stored(postings(docs, window, long_words)))
     cuts = (
         hits.select("doc_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("length") - 1)).alias("at"))
         .groupBy("doc_id")
         .agg(F.collect_set("at").alias("_cut"))
     )
     joined = docs.join(cuts, "doc_id", "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    full = F.filter(F.transform(lines, lambda s, i: F.when(F.trim(F.regexp_replace(s, SPACE, " ")) != "", i)), lambda i: i.isNotNull())
-    kept = let(F.transform("_cut", lambda n: F.get(F.col("_full"), n)), lambda gone: F.filter(lines, lambda s, i: ~F.array_contains(gone, i)))
+    lines = _split(F.col("text"))
+    full = F.filter(F.transform(lines, lambda s, i: F.when(s.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
     n_lines = F.size("_full")
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))
+    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept_pieces(lines, F.col("_full"), F.col("_cut"))))
     out = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     return joined.withColumn("_full", full).select(*out, text.alias("text"), n_lines.cast("bigint").alias("n_lines"), F.coalesce(F.size("_cut"), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
 def dedup_all_lines(docs: DataFrame) -> DataFrame:
     """``dedup_lines`` with every line that holds a word as a fingerprint: of equal lines only the first in (doc_id, line) order stays."""
-    return dedup_lines(docs, window=1, long_words=NEVER)
+    return dedup_lines(docs, long_words=1)

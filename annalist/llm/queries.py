@@ -79,24 +79,35 @@ gone AS (SELECT DISTINCT doc_id, first + unnest(range(len)) AS k FROM later),
 kept AS (SELECT raw.doc_id, coalesce(string_agg(raw.piece, '{glue}' ORDER BY raw.raw) FILTER (g.k IS NULL), '') AS text, count(n.k) AS n_all, count(g.k) AS n_removed
 FROM raw LEFT JOIN n ON n.doc_id = raw.doc_id AND n.raw = raw.raw LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.k = n.k GROUP BY raw.doc_id)
 SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN kept.text END AS text, n_all AS {name}, n_removed FROM documents d JOIN kept USING (doc_id)"""
-_BOUNDARY = "'([.!?][\\t\\n\\v\\f\\r ]|\\n)([^\\x01\\t\\n\\v\\f\\r ])', '\\1' || chr(1) || '\\2', 'g'"
 _OP2 = (
-    "WITH p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), " + _BOUNDARY + "), " + _BOUNDARY + "), chr(1)) AS ps FROM documents), "
+    "WITH p AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?][\\x20\\x09-\\x0D]+|\\n[\\x20\\x09-\\x0D]*)', '\\1' || chr(1) || chr(2), 'g'), chr(1) || chr(2)) AS ps FROM documents), "
     "raw AS (SELECT doc_id, raw, ps[raw] AS piece, " + _NORM.format(x="ps[raw]") + " AS norm FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS raw FROM p)), "
-    "w AS (SELECT a.doc_id, a.k AS first, 2 AS len, a.norm || ' ' || b.norm AS content FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.k = a.k + 1 WHERE len(string_split(a.norm || ' ' || b.norm, ' ')) >= 8), "
+    "runs AS (SELECT doc_id, k AS first, count(*) OVER r AS len, string_agg(norm, ' ') OVER r AS content, count(*) OVER (PARTITION BY doc_id) AS m FROM n WINDOW r AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)), "
+    "w AS (SELECT doc_id, first, len, len || chr(1) || content AS content FROM runs WHERE (len = 3 OR (first = 0 AND m = 2)) AND len(string_split(content, ' ')) >= 20 "
+    "UNION ALL SELECT doc_id, k, 1, '1' || chr(1) || norm FROM n WHERE len(string_split(norm, ' ')) >= 20), "
 )
+#: Lines of three words or more, and grams of two shorter lines that are the least of a window of two; matches grow along the first place.
 _OP4 = (
     "WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ps FROM documents), "
     "raw AS (SELECT doc_id, raw, ps[raw] AS piece, " + _NORM.format(x="ps[raw]") + " AS norm FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS raw FROM p)), "
-    "w AS (SELECT a.doc_id, a.k AS first, 2 AS len, a.norm || chr(10) || b.norm AS content FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.k = a.k + 1 "
-    "UNION ALL SELECT doc_id, k, 1, norm FROM n WHERE len(string_split(norm, ' ')) >= 10), "
+    "a AS (SELECT doc_id, list(norm ORDER BY k) AS a FROM n GROUP BY doc_id), "
+    "b AS (SELECT doc_id, k, norm, long, lead(norm) OVER d AS next, lag(long) OVER d AS long_before, lead(long) OVER d AS long_1, lead(long, 2) OVER d AS long_2 FROM (SELECT *, len(string_split(norm, ' ')) >= 3 AS long FROM n) WINDOW d AS (PARTITION BY doc_id ORDER BY k)), "
+    "c AS (SELECT *, CASE WHEN NOT long AND NOT long_1 THEN md5(norm || chr(10) || next) END AS g FROM b), "
+    "g AS (SELECT *, lag(g) OVER d AS g0, lead(g) OVER d AS g2 FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY k)), "
+    "f AS (SELECT doc_id, k, 1 AS len, norm AS content, NOT long_before AS l, NOT long_1 AS r FROM g WHERE long "
+    "UNION ALL SELECT doc_id, k, 2, norm || chr(10) || next, NOT long_before, NOT long_2 FROM g WHERE g IS NOT NULL AND ((g0 IS NULL AND g2 IS NULL) OR g <= g0 OR g <= g2)), "
+    "e AS (SELECT doc_id, k, len, content, CASE WHEN l THEN list_reverse(a[greatest(1, k - 2):k]) END AS l, CASE WHEN r THEN a[k + len + 1:k + len + 3] END AS r FROM f JOIN a USING (doc_id)), "
+    "m AS (SELECT *, first_value(l) OVER s AS sl, first_value(r) OVER s AS sr, row_number() OVER s AS nth FROM e WINDOW s AS (PARTITION BY content ORDER BY doc_id, k)), "
+    "x AS (SELECT doc_id, k, len, len([j FOR j IN [1, 2, 3] IF j <= len(l) AND j <= len(sl) AND l[1:j] = sl[1:j]]) AS el, len([j FOR j IN [1, 2, 3] IF j <= len(r) AND j <= len(sr) AND r[1:j] = sr[1:j]]) AS er FROM m WHERE nth > 1), "
+    "later AS (SELECT doc_id, k - el AS first, len + el + er AS len FROM x), "
 )
 
 
 def _dedup(head: str, glue: str, name: str) -> str:
-    first, n = _DEDUP.format(glue=glue, name=name).split(",\nlater", 1)
-    at = head.index("), w AS (") + 3
-    return head[:at] + first + ", " + head[at:] + "later" + n
+    """The parts of ``_DEDUP`` around those of ``head``, which may find the later runs itself."""
+    first, later, rest = _DEDUP.format(glue=glue, name=name).split(",\n", 2)
+    at = head.index("AS raw FROM p)), ") + len("AS raw FROM p)), ")
+    return head[:at] + first + ", " + head[at:] + ("" if "later AS (" in head else later + ",\n") + rest
 
 
 _OP5 = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

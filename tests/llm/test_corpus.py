@@ -103,41 +103,6 @@ def test_near_duplicates_on_odd_rows(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
-def slow_dedup(texts, cut, windows, glue):
-    seen, gone, full = {}, defaultdict(set), {}
-    for i, t in enumerate(texts):
-        full[i] = [(k, " ".join(p.split())) for k, p in enumerate(cut(t or ""))]
-        full[i] = [(k, p) for k, p in full[i] if p]
-        for first, n in windows([p for _, p in full[i]]):
-            c = tuple(p for _, p in full[i][first : first + n])
-            if seen.setdefault(c, (i, first)) != (i, first):
-                gone[i] |= {full[i][first + o][0] for o in range(n)}
-    return [None if t is None else glue.join(p for k, p in enumerate(cut(t)) if k not in gone[i]) for i, t in enumerate(texts)]
-
-
-def test_line_dedup_against_brute_force(spark):
-    r = random.Random(3)
-    pool = [rng_text(r, r.choice([2, 4, 12])) for _ in range(25)]
-    texts = [None, "", "\n \n"] + ["\n".join(r.choice([*pool, "", rng_text(r, 5)]) for _ in range(r.randint(1, 12))) for _ in range(60)]
-    windows = lambda p: [(i, 2) for i in range(len(p) - 1)] + [(i, 1) for i, s in enumerate(p) if len(s.split()) >= 10]
-    want = slow_dedup(texts, lambda t: t.split("\n"), windows, "\n")
-    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(frame(spark, texts, True)).collect()}
-    assert [got[i] for i in range(len(texts))] == want
-    assert lines.dedup_lines(frame(spark, [])).count() == 0
-
-
-def test_span_dedup_catches_passages_and_spares_the_rest(spark):
-    r = random.Random(4)
-    passage = ". ".join(rng_text(r, 9).capitalize() for _ in range(7)) + "."
-    texts = [f"{rng_text(r, 12).capitalize()}. {passage} {rng_text(r, 14).capitalize()}." for _ in range(6)] + [None, "", "Solo."]
-    got = {x["doc_id"]: x["text"] for x in spans.dedup_spans(frame(spark, texts, True)).collect()}
-    assert got[0] == texts[0] and got[6] is None and got[7] == "" and got[8] == "Solo."
-    for i in range(1, 6):
-        assert passage[:40] not in got[i] and passage[-40:] not in got[i]
-        assert got[i] == texts[i].replace(passage + " ", "")
-    assert spans.dedup_spans(frame(spark, [])).count() == 0
-
-
 def slow_repeats(w, k=5):
     runs = defaultdict(list)
     for i in range(len(w) - k + 1):
