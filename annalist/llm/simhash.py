@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_join, without
 from .components import connected_components
 
 #: (first bit, width, ball radius) of each segment; the radii guarantee a distance of 4.
@@ -145,17 +145,18 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
     component; repeated rows stay; other columns are ignored; no rows give none.
     """
     marked = cut(fingerprints(docs, shingle))
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = connected_components(hamming_links(classes.select("fp"), distance))
-    rooted = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    parts = cut(connected_components(hamming_links(classes.select("fp"), distance)).withColumnRenamed("node", "fp"))
+    linked = classes.join(parts, "fp")
+    roots = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = hot_join(linked.select("fp", "root", F.col("n").alias("copies")), cut(roots), ["root"]).select("fp", "component_id", F.col("copies").alias("n"))
+    alone = classes.join(parts, "fp", "left_anti").select("fp", F.col("least").alias("component_id"), "n")
+    out = hot_join(marked, cut(named.unionByName(alone)), ["fp"])
+    return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """``docs`` with one document of each group: that with the smallest doc_id.  Rows without a doc_id stay."""
     found = near_duplicates(docs, distance, shingle)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = without(docs, found.where("doc_id <> component_id").select("doc_id"))
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
