@@ -3,61 +3,33 @@
 Items are short and documents long, so the Jaccard similarity of a leaked item
 and its document is near zero and banded signatures of whole documents miss
 it.  The small side is sketched instead: items are partitioned by size, and
-each partition keeps the s smallest hashes of every item's shingles, with s the
-least for which a document that holds the asked share of the shingles must hold
-one of the s.  Documents ask the sketches with every shingle; candidates are
-verified by exact shingle containment.
-
-Benchmarks are small as a rule: up to a checked size their sketches and sets go
-to every task, and one narrow pass over the documents finds and verifies.
-Larger ones meet the documents in a shuffled join.
+each partition has an index of its own over the s smallest hashes of every
+item's shingles, with s the least for which a document that holds the asked
+share of the shingles must hold one of the s.  A document asks the partitions
+whose items it is long enough to hold; candidates are verified by exact shingle
+containment.
+
+The items are a stated query set: they are cut into blocks of bounded size, and
+each block meets all documents in one narrow pass that shuffles no text.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, plain_words, shingles
-
 SHINGLE, SHARE = 5, 0.8
-#: Items up to this many characters in all go to every task; beyond it the join shuffles.
-SMALL = 8_000_000
+#: Characters of the items in a block, which goes to every task.
+BLOCK = 16_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
-def item_sketches(items: DataFrame, shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
-    """``(item_id, set, n, need, size_class, sketch)``; items without a word are left out."""
-    sets = items.select("item_id", F.array_sort(F.array_distinct(shingles(plain_words(F.col("text")), shingle))).alias("set")).where(F.size("set") > 0)
-    n = F.size("set")
-    least = F.pow(F.lit(2.0), F.floor(F.log2(n))).cast("int")  # the smallest size of the partition
-    top = least * 2 - 1
-    # what a document may miss, for the largest size of the partition
-    s = F.least(n, top - F.ceil(F.lit(share) * top).cast("int") + 1)
-    return sets.select("item_id", "set", n.alias("n"), F.ceil(F.lit(share) * n).cast("int").alias("need"), least.alias("size_class"), F.slice("set", F.lit(1), s).alias("sketch"))
-
-
-def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, share: float = SHARE, small: int = SMALL) -> DataFrame:
-    """One row per (document, item) whose item has at least ``share`` of its distinct shingles in the document.
-
-    Columns: doc_id, item_id, n_shingles, n_shared.  Words compare without case
-    and punctuation.  Items or documents of fewer than five words are one
-    shingle, the whole sequence.  Null and blank texts and null ids match
-    nothing; repeated rows give one row; no rows on either side give none.
-    """
-    named = items.where("item_id is not null")
-    if (named.agg(F.sum(F.length("text"))).first()[0] or 0) <= small:
-        rows = named.groupBy("item_id").agg(F.first("text").alias("text")).collect()  # bounded by the check above
-        return _narrow(docs, {r["item_id"]: r["text"] for r in rows}, shingle, share)
-    return _shuffled(docs, named, shingle, share)
-
-
 def _runs(ids: np.ndarray, k: int) -> np.ndarray:
     """64-bit hashes of all runs of k word numbers (a shorter text is one run); runs with an unknown word (0) are left out."""
     k = min(k, len(ids))
@@ -73,61 +45,94 @@ def _runs(ids: np.ndarray, k: int) -> np.ndarray:
     return h[known]
 
 
-def _narrow(docs: DataFrame, items: dict[int, str | None], shingle: int, share: float) -> DataFrame:
-    number: dict[str, int] = {}
-    sets, index = {}, defaultdict(list)
-    for item, text in items.items():
-        ids = [number.setdefault(w, len(number) + 1) for w in _WORD.findall((text or "").lower())]
-        runs = np.unique(_runs(np.array(ids, np.uint64), shingle))
-        if not len(runs):
-            continue
-        need = -(-len(runs) * round(share * 1000) // 1000)
-        top = 2 ** (len(runs).bit_length()) - 1  # the largest size of the item's partition
-        s = min(len(runs), top - -(-top * round(share * 1000) // 1000) + 1)
-        sets[item] = (runs, need)
-        for h in runs[:s]:  # the s smallest hashes
-            index[int(h)].append(item)
-    shared = docs.sparkSession.sparkContext.broadcast((number, sets, dict(index), np.array(sorted(index), np.uint64)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, sets, index, keys = shared.value
-        get = number.get
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                found = _WORD.findall((text or "").lower())
-                runs = _runs(np.fromiter((get(w, 0) for w in found), np.uint64, len(found)), shingle)
-                if not len(runs) or not len(keys):
-                    continue
-                met = runs[keys[np.minimum(np.searchsorted(keys, runs), len(keys) - 1)] == runs]
-                for item in sorted({i for h in np.unique(met) for i in index[int(h)]}):
-                    own, need = sets[item]
-                    n = int(np.isin(own, runs).sum())
-                    if n >= need:
-                        out.append((doc, item, len(own), n))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_shingles", "n_shared"], dtype="int64")
-
-    hits = docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, item_id bigint, n_shingles bigint, n_shared bigint")
+def share_of(share: float, n: int) -> int:
+    """The least whole number of at least this share (in thousandths) of n."""
+    return -(-n * round(share * 1000) // 1000)
+
+
+class Index:
+    """The items of one block: word numbers, shingle sets, and the sketches of each size partition."""
+
+    def __init__(self, items: dict[int, str | None], shingle: int, share: float):
+        self.number: dict[str, int] = {}
+        self.shingle, self.sets = shingle, {}
+        partitions = defaultdict(lambda: defaultdict(list))
+        for item, text in items.items():
+            ids = [self.number.setdefault(w, len(self.number) + 1) for w in _WORD.findall((text or "").lower())]
+            runs = np.unique(_runs(np.array(ids, np.uint64), shingle))
+            n = len(runs)
+            if not n:
+                continue
+            top = 2 ** n.bit_length() - 1  # the largest size of the item's partition
+            for h in runs[: min(n, top - share_of(share, top) + 1)]:  # what a document may miss, and one more
+                partitions[n.bit_length()][int(h)].append(item)
+            self.sets[item] = (runs, share_of(share, n))
+        #: Size partitions: the least number of shingles that a match needs, the sketches' hashes in order, and whose they are.
+        self.partitions = [(share_of(share, 2 ** (size - 1)), np.array(sorted(x), np.uint64), dict(x)) for size, x in sorted(partitions.items())]
+
+    def found(self, text: str | None) -> Iterator[tuple[int, int, int]]:
+        """The items that the text holds: item, its shingles, those shared."""
+        get, words = self.number.get, _WORD.findall((text or "").lower())
+        runs = np.unique(_runs(np.fromiter((get(w, 0) for w in words), np.uint64, len(words)), self.shingle))
+        for least, keys, owners in self.partitions:
+            if len(runs) < least:
+                break
+            met = runs[keys[np.minimum(np.searchsorted(keys, runs), len(keys) - 1)] == runs]
+            for item in sorted({i for h in met for i in owners[int(h)]}):
+                own, need = self.sets[item]
+                n = int(np.isin(own, runs, assume_unique=True).sum())
+                if n >= need:
+                    yield item, len(own), n
+
+
+def indexes(items: DataFrame, shingle: int = SHINGLE, share: float = SHARE, block: int = BLOCK) -> Iterator:
+    """Broadcast indexes of the items' blocks.  Of rows that repeat an item_id the least text counts."""
+    named = items.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    n = 1 + (named.agg(F.sum(F.length("text"))).first()[0] or 0) // block
+    for i in range(n):
+        rows = named.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).collect()  # one block
+        yield items.sparkSession.sparkContext.broadcast(Index({r["item_id"]: r["text"] for r in rows}, shingle, share))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, share: float = SHARE, block: int = BLOCK) -> DataFrame:
+    """One row per (document, item) whose item has at least ``share`` of its distinct shingles in the document.
+
+    Columns: doc_id, item_id, n_shingles, n_shared.  Words compare without case
+    and punctuation.  Items or documents of fewer than five words are one
+    shingle, the whole sequence.  Null and blank texts and null ids match
+    nothing; repeated rows give one row; no rows on either side give none.
+    """
+
+    def search(index) -> Callable:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = index.value.found
+            for batch in batches:
+                out = [(doc, *x) for doc, text in zip(batch["doc_id"], batch["text"]) for x in found(text)]
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_shingles", "n_shared"], dtype="int64")
+
+        return run
+
+    asked, hits = docs.where("doc_id is not null").select("doc_id", "text"), None
+    for index in indexes(items, shingle, share, block):
+        part = asked.mapInPandas(search(index), "doc_id bigint, item_id bigint, n_shingles bigint, n_shared bigint")
+        hits = part if hits is None else hits.unionByName(part)
     return hits.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared"))
 
 
-def _shuffled(docs: DataFrame, items: DataFrame, shingle: int, share: float) -> DataFrame:
-    sketches = cut(item_sketches(items, shingle, share).groupBy("item_id").agg(*[F.first(c).alias(c) for c in ("set", "n", "need", "size_class", "sketch")]))
-    index = sketches.select("item_id", F.explode("sketch").alias("h"))
-    hashed = docs.where("doc_id is not null").select("doc_id", shingles(plain_words(F.col("text")), shingle).alias("hs"))
-    candidates = cut(hashed.select("doc_id", F.explode("hs").alias("h")).join(index, "h").select("doc_id", "item_id").distinct())
-    held = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", shingles(plain_words(F.col("text")), shingle).alias("hs"))
-    shared = F.size(F.array_intersect("set", "hs"))
-    return (
-        candidates.join(held, "doc_id")
-        .join(sketches, "item_id")
-        .select("doc_id", "item_id", F.col("n").cast("bigint").alias("n_shingles"), shared.cast("bigint").alias("n_shared"), "need")
-        .where("n_shared >= need")
-        .groupBy("doc_id", "item_id", "n_shingles")
-        .agg(F.max("n_shared").alias("n_shared"))
-    )
-
-
-def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """``docs`` without the contaminated ones; rows without a doc_id stay."""
-    return docs.join(contaminated(docs, items, **how).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, share: float = SHARE, block: int = BLOCK) -> DataFrame:
+    """``docs`` without the contaminated ones, in one narrow pass for each block; rows without a doc_id stay.
+
+    Each row is judged by its own text, so of rows that repeat a doc_id only those that hold an item go.
+    """
+    for index in indexes(items, shingle, share, block):
+        docs = docs.where(F.col("doc_id").isNull() | ~_holds(index)(F.col("text")))
+    return docs
+
+
+def _holds(index) -> Callable:
+    def run(texts: pd.Series) -> pd.Series:
+        found = index.value.found
+        return pd.Series([next(found(t), None) is not None for t in texts], dtype=bool)
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "boolean")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -23,6 +23,8 @@ from .common import stored
 LENGTH, END = 2048, 1
 DIMS, BITS, HASHED, SEED = 3, 13, 64, 42
 TIE = 20  # low bits of the sort key that spread documents at one point of the curve
+#: Bytes of ids that a partition along the curve should hold, and the most partitions.
+PART_BYTES, MOST_PARTS = 32_000_000, 50_000
 
 
 def load_encoder(path: str, special: bool = False):
@@ -99,6 +101,15 @@ def tokenised(docs: DataFrame, path: str, end: int = END, special: bool = False)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, place bigint, n bigint, ids binary")
 
 
+def _place(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are below the key, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    held = F.lit(bounds).cast("array<bigint>")
+    return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(held, at + step - 1) < key), at + step).otherwise(at))
+
+
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, parts: int | None = None, special: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tokens (binary).
 
@@ -106,13 +117,12 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, parts
     rows and null ids are packed as rows of their own.  Only the last sequence
     may be short.  No documents give no rows.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tied = F.shiftleft(F.col("place"), TIE).bitwiseOR(F.pmod(F.xxhash64("doc_id", "n"), F.lit(1 << TIE)))
     ids = stored(tokenised(docs, path, end, special).withColumn("key", tied))
-    cuts = ids.select(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10 * parts).alias("q")).first()["q"] or []
+    parts = parts or min(MOST_PARTS, 1 + 4 * (ids.agg(F.sum("n")).first()[0] or 0) // PART_BYTES)
+    cuts = ids.select(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 4 * parts)).alias("q")).first()["q"] or []
     bounds = sorted({int(x) for x in cuts})
-    part = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < F.col("key"))) if bounds else F.lit(0)
+    part = _place(F.col("key"), bounds)
     placed = ids.select(part.alias("part"), "n")
     sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row per partition
     start, base = {}, 0
@@ -138,9 +148,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, parts
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    ordered = ids.select(part.alias("part"), "key", "doc_id", "ids").repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "key", "doc_id", F.crc32("ids"))
+    ordered = ids.select(part.alias("part"), "key", "doc_id", "ids").repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "key", "doc_id", F.crc32("ids"))
     return ordered.select("part", "doc_id", "ids").mapInPandas(
         run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tokens binary"
     )
-
-

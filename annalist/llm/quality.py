@@ -13,7 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -21,6 +22,8 @@ from .common import cut
 N_STATS = 20
 #: Fourier features, kernel width in standard deviations, ridge, seed.
 FEATURES, WIDTH, RIDGE, SEED = 192, 6.0, 3.0, 42
+#: The labelled rows that are learned from, at most about so many, and the partitions whose sums are taken.
+LABELLED, PARTS = 400_000, 32
 BINS = 1024
 THRESHOLD = 0.7
 
@@ -64,18 +67,36 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fold, s0 ...)``; fold is crc32(doc_id as text) mod 4, null for a null doc_id."""
-    names = [f"s{i}" for i in range(N_STATS)]
+NAMES = [f"s{i}" for i in range(N_STATS)]
+
+
+def _matrix(texts: pd.Series) -> np.ndarray:
+    return np.array([statistics(t) for t in texts], dtype=np.float64).reshape(-1, N_STATS)
+
+
+def fold_of(doc_id: Column) -> Column:
+    """crc32(doc_id as text) mod 4; null for a null doc_id."""
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)).cast("int")
+
+
+def measured(docs: DataFrame, labels: DataFrame, held_out: int, limit: int = LABELLED) -> DataFrame:
+    """``(fold, y, s0 ...)`` of the labelled documents outside the held-out fold, at most about ``limit`` of them, chosen by a hash of the id."""
+    marks = labels.where("quality is not null and doc_id is not null").where(fold_of(F.col("doc_id")) != held_out)
+    marks = cut(marks.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y")))
+    share = limit / max(1, marks.count())
+    if share < 1:
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = pd.DataFrame(np.array([statistics(t) for t in batch["text"]], dtype=np.float64).reshape(-1, N_STATS), columns=names)
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            out = pd.DataFrame(_matrix(batch["text"]), columns=NAMES)
+            out.insert(0, "y", batch["y"].to_numpy())
+            out.insert(0, "fold", batch["fold"].to_numpy())
             yield out
 
-    stats = docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, " + ", ".join(f"{n} double" for n in names))
-    return stats.select("doc_id", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)).cast("int").alias("fold"), *names)
+    # the marks are bounded by ``limit``, so the texts need no shuffle
+    texts = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select(fold_of(F.col("doc_id")).alias("fold"), "y", "text")
+    return cut(texts.mapInPandas(run, "fold int, y double, " + ", ".join(f"{n} double" for n in NAMES)).repartition(PARTS))
 
 
 @dataclass
@@ -122,11 +143,10 @@ def isotonic(total: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.interp(np.arange(len(weight)), used, values)
 
 
-def fit(stats: DataFrame, labels: DataFrame, held_out: int = 2, calibration: int = 3) -> Model:
-    """Every labelled row outside the held-out fold is used; the sums per partition bound all memory."""
-    names = [f"s{i}" for i in range(N_STATS)]
-    marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
-    train = cut(stats.where(F.col("fold") != held_out).join(marks, "doc_id").select("fold", "y", *names))
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, calibration: int = 3) -> Model:
+    """Labelled rows outside the held-out fold are used, up to LABELLED; the sums of PARTS partitions bound all memory."""
+    names = NAMES
+    train = measured(docs, labels, held_out)
     head = train.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *[F.avg(c).alias(f"m{c}") for c in names], *[F.stddev_pop(c).alias(f"d{c}") for c in names]).first()
     n_stats, zero = N_STATS, np.zeros(N_STATS)
     if not head["n"] or head["y"] in (0.0, 1.0):
@@ -138,12 +158,11 @@ def fit(stats: DataFrame, labels: DataFrame, held_out: int = 2, calibration: int
     size = 1 + n_stats + FEATURES
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, part = np.zeros((size, size + 1)), 0
+        a = np.zeros((size, size + 1))
         for batch in batches:
             z = model.features(batch[names].to_numpy())
             a += z.T @ np.hstack([z, batch[["y"]].to_numpy()])
-            part = int(abs(hash(float(batch["s0"].sum()))) % (1 << 30))
-        yield pd.DataFrame({"part": [part], "a": [a.tobytes()]})
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "a": [a.tobytes()]})
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         a = sum(np.frombuffer(x, np.float64) for x in group["a"])
@@ -151,8 +170,8 @@ def fit(stats: DataFrame, labels: DataFrame, held_out: int = 2, calibration: int
 
     kind = "part bigint, a binary"
     level = train.where(F.col("fold") != calibration).mapInPandas(sums, kind)
-    groups = max(1, math.isqrt(train.rdd.getNumPartitions()))
-    merged = level.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("part").applyInPandas(merge, kind).collect()  # at most sqrt(partitions) matrices
+    groups = math.isqrt(PARTS)
+    merged = level.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("part").applyInPandas(merge, kind).collect()  # at most sqrt(PARTS) matrices
     a = sum((np.frombuffer(bytes(r["a"]), np.float64) for r in merged), np.zeros(size * (size + 1))).reshape(size, size + 1)
     penalty = np.full(size, RIDGE)
     penalty[0] = 1e-6
@@ -184,19 +203,25 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     doc_id has a null held_out.  Without any label every score is 1; with
     labels of one class, it is that class.  No documents give no rows.
     """
-    stats = cut(measured(docs))
-    model = fit(stats, labels)
-    names = [f"s{i}" for i in range(N_STATS)]
+    model = fit(docs, labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fold": batch["fold"], "score": model.score(batch[names].to_numpy())})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fold": batch["fold"], "score": model.score(_matrix(batch["text"]))})
 
-    scored = stats.mapInPandas(run, "doc_id bigint, fold int, score double")
+    scored = docs.select("doc_id", fold_of(F.col("doc_id")).alias("fold"), "text").mapInPandas(run, "doc_id bigint, fold int, score double")
     return scored.select("doc_id", (F.col("fold") == 2).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those the classifier rejects; rows without a doc_id stay."""
-    bad = score(docs, labels, threshold).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without those the classifier rejects, in one narrow pass: each row is judged by its own text, and no text is shuffled.
+
+    Null texts are judged as empty ones; rows without a doc_id stay; other columns stay; no documents give no rows.
+    """
+    model = fit(docs, labels)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(_matrix(texts)) >= threshold)
+
+    return docs.where(F.col("doc_id").isNull() | good("text"))

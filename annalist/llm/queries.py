@@ -59,7 +59,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return sharding.reshard(docs, sharding.old_shard(F.col("doc_id")))
+    return sharding.reshard(docs, sharding.old_shard(sharding.group_of(F.col("text"))))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

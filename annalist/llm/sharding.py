@@ -2,8 +2,8 @@
 
 Old shard sizes and new capacities make a transport problem whose cost is the
 bytes that leave their shard.  It is solved exactly; the flows are then met by
-blocks: every old shard is cut into ``blocks`` hash blocks, and documents too
-large to count as dust are blocks of their own.  What the driver holds depends
+blocks: every old shard is cut into ``blocks`` hash blocks of whole groups of
+equal texts, and groups too large to count as dust are blocks of their own.  What the driver holds depends
 on the numbers of shards and blocks, never on the data.
 """
 
@@ -12,13 +12,15 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 OLD, NEW, BLOCKS = 32, 40, 256
 OVERHEAD = 16
+#: The share of a mean shard up to which a group of equal texts stays whole, and the rows of a file.
+WHOLE, PER_FILE = 0.25, 1_000_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
@@ -115,17 +117,24 @@ def plan(units: list[tuple], old: int, new: int) -> dict[tuple, int]:
     return where
 
 
-def old_shard(doc_id: Column, old: int = OLD) -> Column:
-    """The layout before: shards by a hash of the id."""
-    return F.pmod(F.xxhash64(F.lit("old"), doc_id), F.lit(old)).cast("int")
+def group_of(text: Column) -> Column:
+    """Equal texts are one group; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def reshard(docs: DataFrame, before: Column, old: int = OLD, new: int = NEW, blocks: int = BLOCKS) -> DataFrame:
+def old_shard(group: Column, old: int = OLD) -> Column:
+    """The layout before: shards by a hash of the group, so equal texts lie together."""
+    return F.pmod(F.xxhash64(F.lit("old"), group), F.lit(old)).cast("int")
+
+
+def reshard(docs: DataFrame, before: Column, old: int = OLD, new: int = NEW, blocks: int = BLOCKS, whole: float = WHOLE) -> DataFrame:
     """``(doc_id, size, text_crc32, law, old_shard, shard, slot, grown_shard)``, a row for each row of ``docs``.
 
-    The law is ``bytes``: shard sizes near equal.  Rows of one doc_id in one
-    old shard may be placed apart only if small; null ids and null texts are
-    placed like any other.  No rows give none.
+    The law is ``bytes``: shard sizes near equal.  Equal texts of one old shard
+    stay in one shard, unless they hold more than ``whole`` of a mean shard's
+    bytes or rows; such a group is split by a hash of the id.  Null ids and
+    null texts are placed like any other; repeated rows stay rows of their own.
+    No rows give none.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -135,26 +144,38 @@ def reshard(docs: DataFrame, before: Column, old: int = OLD, new: int = NEW, blo
             (F.octet_length(text) + OVERHEAD).cast("bigint").alias("size"),
             F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.crc32(text)).cast("bigint").alias("text_crc32"),
             before.alias("old_shard"),
+            group_of(F.col("text")).alias("group"),
         )
     )
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    large = total // (new * 256)  # fewer than 256 * new documents can be larger
-    hashed = F.xxhash64("doc_id")
-    keyed = sized.withColumn("big", F.col("size") > large).withColumn("unit", F.when(F.col("big"), hashed).otherwise(F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.lit(blocks))))
-    sums = keyed.groupBy("old_shard", "big", "unit").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    where = plan([(r["old_shard"], (r["big"], r["unit"]), r["bytes"]) for r in sums], old, new)
-    base, rows = [0] * new, []
-    for r in sorted(sums, key=lambda r: (r["old_shard"], r["big"], r["unit"])):
-        j = where[(r["old_shard"], (r["big"], r["unit"]))]
-        rows.append((r["old_shard"], r["big"], r["unit"], j, base[j]))
+    sums = sized.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
+    total, rows = sums["bytes"] or 0, sums["rows"]
+    # groups over a 256th of a shard are units of their own: at most 256 * new by bytes, and as many by rows
+    groups = sized.groupBy("old_shard", "group").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).where((F.col("bytes") > total / (new * 256)) | (F.col("rows") > max(rows / (new * 256), 256)))
+    over = F.greatest(F.col("bytes") / F.lit(max(1, total) / new), F.col("rows") / F.lit(max(1, rows) / new))
+    large = cut(groups.select("old_shard", "group", F.when(over > whole, F.ceil(over * 16)).otherwise(1).cast("int").alias("pieces")))
+    marked = sized.join(F.broadcast(large), ["old_shard", "group"], "left")
+    keyed = marked.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        "old_shard",
+        F.col("pieces").isNotNull().alias("big"),
+        F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64(F.lit("block"), "group"), F.lit(blocks))).otherwise(F.col("group")).alias("unit"),
+        F.when(F.col("pieces") > 1, F.pmod(F.xxhash64(F.lit("piece"), "doc_id"), F.col("pieces"))).otherwise(0).cast("int").alias("piece"),
+    )
+    keys = ["old_shard", "big", "unit", "piece"]
+    found = keyed.groupBy(*keys).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # at most old * blocks + 528 * new units
+    where = plan([(r["old_shard"], (r["big"], r["unit"], r["piece"]), r["bytes"]) for r in found], old, new)
+    base, placed = [0] * new, []
+    for r in sorted(found, key=lambda r: tuple(r[k] for k in keys)):
+        j = where[(r["old_shard"], (r["big"], r["unit"], r["piece"]))]
+        placed.append((r["old_shard"], r["big"], r["unit"], r["piece"], j, base[j]))
         base[j] += r["n"]
-    table = spark.createDataFrame(rows, "old_shard int, big boolean, unit bigint, shard int, base bigint")  # at most old * blocks + 256 * new rows
-    from pyspark.sql import Window
-
-    in_unit = Window.partitionBy("old_shard", "big", "unit").orderBy("doc_id", "size", "text_crc32")
+    table = spark.createDataFrame(placed, "old_shard int, big boolean, unit bigint, piece int, shard int, base bigint")
+    in_unit = Window.partitionBy(*keys).orderBy("doc_id", "size", "text_crc32")
     return (
         keyed.withColumn("rank", F.row_number().over(in_unit))
-        .join(F.broadcast(table), ["old_shard", "big", "unit"])
+        .join(F.broadcast(table), keys)
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "old_shard", "shard", (F.col("base") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
 
@@ -162,10 +183,18 @@ def reshard(docs: DataFrame, before: Column, old: int = OLD, new: int = NEW, blo
 def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     """Write the shards whose rows change, one folder each (``shard=N``); the others' files stay as they are.
 
-    Needs unique doc_ids.  Returns the shards written.
+    Needs unique doc_ids, and ``docs`` must not be read from ``path``.  Shards
+    that lose all their rows lose their folder.  Returns the shards affected.
     """
+    spark = docs.sparkSession
     moved = placed.where("old_shard <> shard")
     touched = sorted({r[0] for r in moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect()})
-    rows = docs.join(placed.where(F.col("shard").isin(touched)).select("doc_id", "shard", "slot"), "doc_id")
-    (rows.repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot").write.mode("overwrite").option("maxRecordsPerFile", 1_000_000).partitionBy("shard").parquet(path))
+    into = placed.where(F.col("shard").isin(touched)).select("doc_id", "shard", "slot")
+    rows = docs.join(into, "doc_id").repartition("shard", F.floor(F.col("slot") / PER_FILE)).sortWithinPartitions("shard", "slot")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", PER_FILE).partitionBy("shard").parquet(path)
+    empty = set(touched) - {r[0] for r in into.select("shard").distinct().collect()}
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for s in sorted(empty):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={s}")
+        folder.getFileSystem(conf).delete(folder, True)
     return touched

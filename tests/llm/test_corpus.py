@@ -201,7 +201,7 @@ def test_contamination_against_brute_force(spark):
     docs, bench = frame(spark, texts, True), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     got = {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(docs, bench).collect()}
     assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (6, 3), (22, 5)}
-    assert got == {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(docs, bench, small=0).collect()}
+    assert got == {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(docs, bench, block=60).collect()}
     assert decontam.contaminated(frame(spark, []), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
@@ -222,7 +222,7 @@ def test_flow_is_cheapest_and_shards_are_even(spark):
         sharding.min_cost_flow([5], [3], lambda i, j: 0)
     r = random.Random(8)
     docs = frame(spark, [rng_text(r, r.choice([3, 30, 300])) for _ in range(3000)] + [None, ""], True)
-    rows = sharding.reshard(docs, sharding.old_shard(F.col("doc_id"))).collect()
+    rows = sharding.reshard(docs, sharding.old_shard(sharding.group_of(F.col("text")))).collect()
     assert len(rows) == 3002 and {x["law"] for x in rows} == {"bytes"}
     load, slots = defaultdict(int), defaultdict(list)
     for x in rows:
@@ -232,8 +232,8 @@ def test_flow_is_cheapest_and_shards_are_even(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     moved = sum(x["size"] for x in rows if x["old_shard"] != x["shard"])
     assert moved < 0.3 * sum(load.values())
-    assert sharding.reshard(frame(spark, []), sharding.old_shard(F.col("doc_id"))).count() == 0
-    one = sharding.reshard(frame(spark, ["same"] * 50).withColumn("doc_id", F.lit(1).cast("bigint")), sharding.old_shard(F.col("doc_id"))).collect()
+    assert sharding.reshard(frame(spark, []), sharding.old_shard(sharding.group_of(F.col("text")))).count() == 0
+    one = sharding.reshard(frame(spark, ["same"] * 50).withColumn("doc_id", F.lit(1).cast("bigint")), sharding.old_shard(sharding.group_of(F.col("text")))).collect()
     assert sorted(x["slot"] for x in one) == list(range(50))
 
 
