@@ -54,3 +54,23 @@ def test_stage_finds_every_pair_at_080(spark):
     # the fingerprints' four bits miss some of these
     assert {x["doc_id"] for x in simhash.keep_first(df).collect()} - {None} != want
     assert corpus_pipeline.simhash_stage(spark, df.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("dense,block", [(48, 200_000), (3, 500)])
+def test_clouds_compared_in_blocks(spark, monkeypatch, dense, block):
+    from annalist.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r = random.Random(13)
+    texts = []
+    for _ in range(2):
+        base = [f"w{r.randrange(9000)}" for _ in range(90)]
+        for _ in range(110):
+            x = list(base)
+            for at in r.sample(range(90), r.randint(0, 9)):
+                x[at] = f"v{r.randrange(9**9)}"
+            texts.append(" ".join(x))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    want = kept_by_brute_force(texts)
+    assert {x["doc_id"] for x in jaccard.keep_first(df).collect()} == want and len(want) > 10
