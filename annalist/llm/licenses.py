@@ -55,8 +55,12 @@ def scan(docs: DataFrame, forms: DataFrame, shingle: int = SHINGLE, share: float
     need = [-(-len(r["set"]) * round(share * 1000) // 1000) for r in sets]
     rows = [(h, r["license"], r["set"], k) for r, k in zip(sets, need) for h in r["set"][: len(r["set"]) - k + 1]]
     index = docs.sparkSession.createDataFrame(rows, "h bigint, license string, set array<bigint>, need int")
+    asked = sorted({r[0] for r in rows})
     hashed = docs.select("doc_id", shingles(plain_words(F.col("text")), shingle).alias("hs"))
-    met = hashed.select("doc_id", "hs", F.posexplode("hs").alias("p", "h")).join(F.broadcast(index), "h")
+    # only texts that hold a sketch value keep their shingles, so that no row carries them for nothing
+    hits = F.filter(F.transform("hs", lambda h, p: F.struct(p.alias("p"), h.alias("h"))), lambda x: x["h"].isin(*asked))
+    held = hashed.withColumn("hits", hits).where(F.size("hits") > 0)
+    met = held.select("doc_id", "hs", F.explode("hits").alias("hit")).select("doc_id", "hs", "hit.p", "hit.h").join(F.broadcast(index), "h")
     # a shingle at p lies in the windows p // q and p // q - 1
     window = met.select("doc_id", "license", "set", "need", "hs", F.explode(F.array(F.floor(F.col("p") / q), F.floor(F.col("p") / q) - 1)).alias("window")).where("window >= 0")
     shared = F.size(F.array_intersect("set", F.slice("hs", (F.col("window") * q + 1).cast("int"), 2 * q)))
