@@ -3,8 +3,8 @@
 Validated numbers and dates are mapped by keyed permutations of their own
 format, so equal values stay equal across documents and different ones stay
 different: card numbers keep their length, issuer prefix and check digit,
-phone numbers and addresses their punctuation, dates stay valid dates in the
-same notation.  Mail addresses, access keys and secrets keep their shape.
+phone numbers their calling code and punctuation, social security numbers stay
+valid ones, dates stay valid dates in the same notation.  Mail addresses, access keys and secrets keep their shape.
 Only built-in expressions are used.
 """
 
@@ -19,15 +19,16 @@ ROUNDS = 8
 #: The kinds and their patterns, in order of precedence.
 _MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 PATTERNS = (
-    ("mail", r"[A-Za-z0-9._%+\-À-ɏ]{1,64}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
-    ("secret", r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s*[=:]\s*[\"']?[A-Za-z0-9+/_\-]{8,}[\"']?"),
+    # possessive, and begun only where a run begins: long runs cost neither stack nor repeated scans
+    ("mail", r"(?<![A-Za-z0-9._%+\-À-ɏ])[A-Za-z0-9._%+\-À-ɏ]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++"),
+    ("secret", r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s*+[=:]\s*+[\"']?[A-Za-z0-9+/_\-]{8,}+[\"']?"),
     ("access_key", r"\bAKIA[A-Z0-9]{16}\b"),
     (
         "phone",
         r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
         r"|\+\d(?:[ .()-]{0,2}\d){7,14}(?!\d)|(?<!\d[ .-]?)\d{3}\.\d{3}\.\d{4}(?![ .-]?\d)|(?<!\d[ .-]?)\d{3} \d{3} \d{4}(?![ .-]?\d)",
     ),
-    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+    ("ssn", r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"),
     (
         "date",
         r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])(?:\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4})(?![\d/])|(?<![\d.])(?:\d{4}\.\d{2}\.\d{2}|\d{1,2}\.\d{1,2}\.\d{4})(?!\d|\.\d)"
@@ -57,6 +58,12 @@ DATE_FORMS = tuple(
     for form in forms
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: A text without any of these holds no match.
+TRIGGER = r"[0-9@=:]|AKIA"
+#: Calling codes of one and two digits; the others have three.
+CALLING = r"^(?:\+\d{1,3}(?= \()|\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}))"
+#: Valid numbers of social security: 898 areas, and 99 groups of 9999 serials.
+AREAS, SERIALS = 898, 99 * 9999
 DAYS, LEFT, RIGHT = 146097, 233, 627  # days in 400 years, as a product
 FIRST_DAY = "1700-01-01"
 
@@ -137,25 +144,28 @@ def _cards(s: Column, key: str) -> Column:
     """A run of digit groups with its cards rewritten: from each group on, the longest valid number of 13 to 19 digits that ends with a group."""
 
     def walk(groups: Column) -> Column:
-        state = "struct<out:string,next:int>"
+        piece = lambda i, n: F.array_join(F.slice(groups, i + 1, n), "")
 
-        def piece(i: Column, n: Column) -> Column:
-            return F.array_join(F.slice(groups, i + 1, n), "")
-
-        def step(acc: Column, i: Column) -> Column:
+        def longest(g: Column, i: Column) -> Column:
             def valid(n: Column) -> Column:
                 return let(_digits(piece(i, n)), lambda d: F.when(F.length(d).between(13, 19), luhn_valid(d)).otherwise(F.lit(False)))
 
-            sizes = F.filter(F.sequence(F.lit(1), F.least(F.size(groups) - i, F.lit(19))), valid)
-            taken = let(
-                F.coalesce(F.array_max(sizes), F.lit(0)),
-                lambda n: F.when(n > 0, F.struct(F.concat(acc["out"], _card(piece(i, n), key)).alias("out"), (i + n).alias("next")).cast(state)).otherwise(
-                    F.struct(F.concat(acc["out"], piece(i, F.lit(1))).alias("out"), (i + 1).alias("next")).cast(state)
-                ),
-            )
-            return F.when(i < acc["next"], acc).otherwise(taken)
+            return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.size(groups) - i, F.lit(19))), valid)), F.lit(0))
+
+        def chosen(sizes: Column) -> Column:
+            """Places and sizes of the cards, from the left, without overlap; the state grows with the cards only."""
+            state = "struct<next:int,taken:array<struct<i:int,n:int>>>"
+            start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<i:int,n:int>>").alias("taken")).cast(state)
+            places = F.filter(F.transform(sizes, lambda n, i: F.struct(i.alias("i"), n.alias("n"))), lambda x: x["n"] > 0)
+            step = lambda acc, x: F.when(x["i"] < acc["next"], acc).otherwise(F.struct((x["i"] + x["n"]).alias("next"), F.concat(acc["taken"], F.array(x)).alias("taken")).cast(state))
+            return F.aggregate(places, start, step)["taken"]
+
+        def written(taken: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(taken, k)["i"] + F.get(taken, k)["n"], F.lit(0))
+            parts = F.transform(taken, lambda x, k: F.concat(piece(end(k - 1), x["i"] - end(k - 1)), _card(piece(x["i"], x["n"]), key)))
+            return F.when(F.size(taken) == 0, s).otherwise(F.concat(F.array_join(parts, ""), piece(end(F.size(taken) - 1), F.size(groups))))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), F.struct(F.lit("").alias("out"), F.lit(0).alias("next")).cast(state), step)["out"]
+        return let(F.transform(groups, longest), lambda sizes: let(chosen(sizes), written))
 
     return let(F.regexp_extract_all(s, F.lit(r"[ -]?\d+"), F.lit(0)), walk)
 
@@ -189,7 +199,29 @@ def _secret(s: Column, key: str) -> Column:
     head = F.regexp_extract(s, r"^([\w-]+[\"']?\s*[=:]\s*[\"']?)", 1)
     tail = F.regexp_extract(s, r"([\"']?)$", 1)
     body = F.regexp_replace(F.substr(s, F.length(head) + 1, F.length(s)), r"[\"']$", "")
-    return F.concat(head, F.substr(F.repeat(_hexed(body, key, "secret"), 4), F.lit(1), F.least(F.length(body), F.lit(256))), tail)
+    return F.concat(head, F.substr(F.repeat(_hexed(body, key, "secret"), F.ceil(F.length(body) / 64).cast("int")), F.lit(1), F.length(body)), tail)
+
+
+def _phone(s: Column, key: str) -> Column:
+    """Calling codes stay; all other digits are permuted."""
+    code = F.regexp_extract(s, CALLING, 0)
+    rest = F.substr(s, F.length(code) + 1, F.length(s))
+    return F.concat(code, let(rest, lambda r: _refill(r, _permute_digits(_digits(r), key, "phone"))))
+
+
+def _ssn(s: Column, key: str) -> Column:
+    """A permutation of the valid numbers."""
+
+    def run(d: Column) -> Column:
+        area = F.substring(d, 1, 3).cast("bigint")
+        place = F.when(area > 666, area - 2).otherwise(area - 1) * SERIALS + (F.substring(d, 4, 2).cast("bigint") - 1) * 9999 + F.substring(d, 6, 4).cast("bigint") - 1
+        return let(permute(place, AREAS, SERIALS, key, "ssn"), written)
+
+    def written(x: Column) -> Column:
+        area, rest = F.floor(x / SERIALS), F.pmod(x, F.lit(SERIALS))
+        return F.format_string("%03d-%02d-%04d", F.when(area < 665, area + 1).otherwise(area + 2), F.floor(rest / 9999) + 1, F.pmod(rest, F.lit(9999)) + 1)
+
+    return let(_digits(s), run)
 
 
 def pseudonym(s: Column, key: str) -> Column:
@@ -202,8 +234,8 @@ def pseudonym(s: Column, key: str) -> Column:
         F.when(kind("mail"), F.concat(F.lit("user"), F.substring(_hexed(F.lower(s), key, "mail"), 1, 12), F.lit("@example.invalid")))
         .when(kind("secret"), _secret(s, key))
         .when(kind("access_key"), F.concat(F.lit("AKIA"), F.upper(F.substring(_hexed(s, key, "access"), 1, 16))))
-        .when(kind("phone"), _refill(s, _permute_digits(_digits(s), key, "phone")))
-        .when(kind("ssn"), _refill(s, _permute_digits(_digits(s), key, "ssn")))
+        .when(kind("phone"), _phone(s, key))
+        .when(kind("ssn"), _ssn(s, key))
         .when(kind("date"), _date(s, key))
         .when(kind("ip"), _ip(s, key))
         .otherwise(_cards(s, key))
@@ -216,10 +248,12 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     Null texts stay null with 0 matches.  Numbers that fail their check and
     impossible dates stay as they are.  Every row stands alone: null ids and
     repeated rows are rewritten alike; no rows give none; other columns stay.
+    Bank account numbers (IBAN) and names aren't looked for.
     """
     found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    split = docs.withColumn("_found", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(found))
-    named = split.withColumn("_new", F.when(F.size("_found") == 0, F.array().cast("array<string>")).otherwise(F.transform("_found", lambda s: pseudonym(s, key))))
+    none = F.array().cast("array<string>")
+    split = docs.withColumn("_found", F.when(F.col("text").rlike(TRIGGER), found).otherwise(none))
+    named = split.withColumn("_new", F.when(F.size("_found") == 0, none).otherwise(F.transform("_found", lambda s: pseudonym(s, key))))
     joined = F.concat_ws("", F.flatten(F.zip_with(F.split("text", ANY, -1), "_new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
     out = [F.col(c) for c in docs.columns if c not in ("text", "n_found", "n_changed")]
     changed = F.size(F.filter(F.arrays_zip("_found", "_new"), lambda x: x["_found"] != x["_new"]))
