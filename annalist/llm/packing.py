@@ -23,8 +23,8 @@ from .common import stored
 LENGTH, END = 2048, 1
 DIMS, BITS, HASHED, SEED = 3, 13, 64, 42
 TIE = 20  # low bits of the sort key that spread documents at one point of the curve
-#: Bytes of ids that a partition along the curve should hold, and the most partitions.
-PART_BYTES, MOST_PARTS = 32_000_000, 50_000
+#: Bytes of ids that a partition along the curve should hold, the most partitions, and bounds looked at for each.
+PART_BYTES, MOST_PARTS, FINE = 32_000_000, 20_000, 8
 
 
 def load_encoder(path: str, special: bool = False):
@@ -120,15 +120,21 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, parts
     tied = F.shiftleft(F.col("place"), TIE).bitwiseOR(F.pmod(F.xxhash64("doc_id", "n"), F.lit(1 << TIE)))
     ids = stored(tokenised(docs, path, end, special).withColumn("key", tied))
     parts = parts or min(MOST_PARTS, 1 + 4 * (ids.agg(F.sum("n")).first()[0] or 0) // PART_BYTES)
-    cuts = ids.select(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 4 * parts)).alias("q")).first()["q"] or []
-    bounds = sorted({int(x) for x in cuts})
+    # fine bounds by number, then neighbours together up to the bytes of a part: long documents lie close on the curve
+    fine = parts * FINE if parts > 1 else 1
+    cuts = ids.select(F.percentile_approx("key", [i / fine for i in range(1, fine)] or [0.5], max(10_000, 4 * fine)).alias("q")).first()["q"] or []
+    small = sorted({int(x) for x in cuts})
+    sizes = {r["part"]: r["n"] for r in ids.select(_place(F.col("key"), small).alias("part"), "n").groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row per bound
+    mean = sum(sizes.values()) / parts
+    bounds, start, base, held = [], [0], 0, 0
+    for p in range(len(small) + 1):
+        n = sizes.get(p, 0)
+        if held and held + n > mean:
+            bounds.append(small[p - 1])
+            start.append(base)
+            held = 0
+        base, held = base + n, held + n
     part = _place(F.col("key"), bounds)
-    placed = ids.select(part.alias("part"), "n")
-    sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row per partition
-    start, base = {}, 0
-    for p in range(len(bounds) + 1):
-        start[p] = base
-        base += sizes.get(p, 0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, at = None, 0
