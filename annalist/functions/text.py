@@ -7,7 +7,7 @@ import ast
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 
 def parse_list(s: Column) -> Column:
@@ -84,55 +84,95 @@ def fixed_chunks(text: Column, size: int) -> Column:
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
 
+def _split_text(text: str, size: int, overlap: int) -> list[str]:
+    """Pieces between the first separator that occurs, each with the separator behind it, packed greedily."""
+    sep = next((x for x in SEPARATORS if x in text), None)
+    if sep is None:
+        cuts = (text[i : i + size].strip() for i in range(0, len(text), size - overlap))
+        return [x for x in cuts if x]
+    out, held, n = [], [], 0  # the open chunk as a list of parts, so that packing is linear
+    for piece in text.split(sep):
+        piece += sep
+        if n + len(piece) > size:
+            whole = "".join(held)
+            if whole.strip():
+                out.append(whole.strip())
+            tail = whole[max(0, n - overlap) :]
+            held, n = [tail], len(tail)
+        held.append(piece)
+        n += len(piece)
+    last = "".join(held).strip()
+    return [*out, last] if last else out
+
+
 def split_chunks(text: Column, size: int = 4000, overlap: int = 400) -> Column:
-    """Greedy pieces at the first separator that occurs; a new chunk starts with the end of the last one.
+    """Greedy chunks at the first separator that occurs; a new chunk starts with the end of the last one.
 
-    Pieces keep their separator.  Texts without any separator are cut hard
-    every ``size - overlap`` characters.
+    Every piece keeps a separator behind it, the last one too, and chunks are
+    stripped of all white space at their ends.  Texts without a separator, and
+    those that hold nothing else, are cut hard every ``size - overlap``
+    characters.  Null texts have no chunk.
     """
-    plain = F.coalesce(text, F.lit(""))
-    sep = F.coalesce(*[F.when(F.contains(plain, F.lit(s)), F.lit(s)) for s in SEPARATORS])
-    state = "struct<done:array<string>,now:string>"
-    start = F.struct(F.array().alias("done"), F.lit("").alias("now")).cast(state)
 
-    def pack(pieces: Column) -> Column:
-        def step(acc: Column, p: Column) -> Column:
-            full = (F.length(acc["now"]) > 0) & (F.length(acc["now"]) + F.length(p) > size)
-            tail = F.substr(acc["now"], F.greatest(F.length(acc["now"]) - overlap + 1, F.lit(1)), F.lit(overlap))
-            return F.struct(F.when(full, F.concat(acc["done"], F.array(F.trim(acc["now"])))).otherwise(acc["done"]).alias("done"), F.when(full, F.concat(tail, p)).otherwise(F.concat(acc["now"], p)).alias("now")).cast(state)
+    @F.pandas_udf(ArrayType(StringType()))
+    def chunks(texts: pd.Series) -> pd.Series:
+        return pd.Series([_split_text(t, size, overlap) for t in texts])
+
+    return chunks(F.coalesce(text, F.lit("")))
 
-        return F.aggregate(pieces, start, step, lambda a: F.filter(F.concat(a["done"], F.array(F.trim(a["now"]))), lambda s: s != ""))
 
-    def cut(s: str) -> Column:
-        parts = F.split(plain, s.replace(".", "[.]"), -1)
-        return pack(F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, F.lit(s))).otherwise(p)))
+def ngrams(words: Column, n: int) -> Column:
+    def runs(w: Column) -> Column:
+        return F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
 
-    hard = F.transform(F.sequence(F.lit(0), F.greatest(F.length(plain) - 1, F.lit(0)), F.lit(size - overlap)), lambda i: F.substr(plain, i + 1, F.lit(size)))
-    out = F.when(F.length(plain) <= size, F.filter(F.array(F.trim(plain)), lambda s: s != ""))
-    for s in SEPARATORS:
-        out = out.when(sep == s, cut(s))
-    return out.otherwise(hard)
+    return F.transform(F.array(words), runs)[0]  # bound once: the words must not be cut anew for every run
 
 
-def ngrams(words: Column, n: int) -> Column:
-    return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " ")))
+@F.pandas_udf(IntegerType())
+def _shared_ngrams(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+    from collections import Counter
+
+    def grams(w, k: int) -> Counter:
+        w = [] if w is None else list(w)
+        return Counter(zip(*(w[i:] for i in range(k))))
 
+    return pd.Series([(grams(x, k) & grams(y, k)).total() for x, y, k in zip(a, b, n)], dtype="int32")
 
-def clipped_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays of strings."""
-    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+
+def shared_ngrams(a: Column, b: Column, n: int) -> Column:
+    """Size of the multiset intersection of the n-grams of two word arrays, linear in both."""
+    return _shared_ngrams(a, b, F.lit(n))
+
+
+def n_grams_of(words: Column, n: int) -> Column:
+    return F.greatest(F.size(words) - (n - 1), F.lit(0))
 
 
 def rouge_n(candidate: Column, reference: Column, n: int) -> Column:
     """F-measure of shared n-grams of two word arrays."""
+    total = (n_grams_of(candidate, n) + n_grams_of(reference, n)).cast("double")
+    return F.coalesce(F.try_divide(2.0 * shared_ngrams(candidate, reference, n), total), F.lit(0.0))
+
+
+@F.pandas_udf(IntegerType())
+def _common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
+    import numpy as np
 
-    def measure(p: Column) -> Column:
-        return F.coalesce(F.try_divide(2.0 * clipped_overlap(p["c"], p["r"]), (F.size(p["c"]) + F.size(p["r"])).cast("double")), F.lit(0.0))
+    out = []
+    for x, y in zip(a, b):
+        number: dict[str, int] = {}
+        u, v = (np.array([number.setdefault(w, len(number)) for w in (z if z is not None else [])], dtype=np.int64) for z in (x, y))
+        row = np.zeros(len(v) + 1, np.int64)
+        for w in u:  # a row at a time: memory stays linear
+            up = np.where(v == w, row[:-1] + 1, row[1:])
+            row[1:] = np.maximum.accumulate(np.maximum(up, row[1:]))
+        out.append(int(row[-1]))
+    return pd.Series(out, dtype="int32")
 
-    words = F.struct(candidate.alias("c"), reference.alias("r"))
-    bound = F.transform(F.array(words), lambda w: F.struct(ngrams(w["c"], n).alias("c"), ngrams(w["r"], n).alias("r")))
-    return F.transform(bound, measure)[0]
+
+def rouge_l(candidate: Column, reference: Column) -> Column:
+    """F-measure of the longest common subsequence of two word arrays."""
+    return F.coalesce(F.try_divide(2.0 * _common_subsequence(candidate, reference), (F.size(candidate) + F.size(reference)).cast("double")), F.lit(0.0))
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -164,15 +204,44 @@ def parse_atoms(s: Column) -> Column:
 
 def bleu(candidate: Column, reference: Column, n: int) -> Column:
     """Sentence BLEU of two word arrays up to ``n``-grams; an order without a match counts 0.1, no shared word is 0."""
+    logs = []
+    for k in range(1, n + 1):
+        hits = F.greatest(shared_ngrams(candidate, reference, k).cast("double"), F.lit(0.1))
+        logs.append(F.log(hits / F.greatest(n_grams_of(candidate, k), F.lit(1))))
+    short = F.least(F.lit(0.0), 1 - F.size(reference) / F.size(candidate))
+    score = F.exp(short + sum(logs[1:], logs[0]) / n)
+    return F.when(F.arrays_overlap(candidate, reference), score).otherwise(0.0)
+
+
+def stopped(said: Column) -> Column:
+    """A stop flag given as a boolean or a string."""
+    return F.coalesce(F.lower(F.trim(said.cast("string"))) == "true", F.lit(False))
+
+
+def note_block(title: Column, day: Column, text: Column) -> Column:
+    """A note as prompts show it."""
+    shown = F.coalesce(day.cast("string"), F.lit(""))
+    return F.concat(F.lit("Note Title: "), title, F.lit("\nNote Date: "), shown, F.lit("\nText: "), text, F.lit("\n"))
+
+
+def token_count(text: Column) -> Column:
+    """The offline token counter: words between white space."""
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("bigint")
+
+
+def annotation_kind(record: Column) -> Column:
+    """Fact or pairwise annotation, by the keys a record has."""
+    keys = F.json_object_keys(record)
+    facts = F.arrays_overlap(keys, F.lit(["recall_items", "precision_items"]))
+    pair = F.arrays_overlap(keys, F.lit(["completeness", "relevancy", "concision"]))
+    return F.when(facts, "fact").when(pair, "pairwise").otherwise("unknown")
+
+
+def prompt_assets(text: str) -> dict[str, str]:
+    """Prompt templates by name from a mapping in JSON; anything but a mapping of strings fails."""
+    import json
 
-    def measure(p: Column) -> Column:
-        logs = []
-        for k in range(1, n + 1):
-            c, r = ngrams(p["c"], k), ngrams(p["r"], k)
-            hits = clipped_overlap(c, r).cast("double")
-            logs.append(F.log(F.when(hits == 0, 0.1).otherwise(hits) / F.greatest(F.size(c), F.lit(1))))
-        short = F.least(F.lit(0.0), 1 - F.size(p["r"]) / F.size(p["c"]))
-        score = F.exp(short + sum(logs[1:], logs[0]) / n)
-        return F.when(F.arrays_overlap(p["c"], p["r"]), score).otherwise(0.0)
-
-    return F.transform(F.array(F.struct(candidate.alias("c"), reference.alias("r"))), measure)[0]
+    found = json.loads(text)
+    if not isinstance(found, dict) or not all(isinstance(v, str) for v in found.values()):
+        raise ValueError("prompt assets must be a mapping of names to texts")
+    return found

@@ -69,3 +69,8 @@ def require_complete(verdicts: DataFrame, keys: list[str]) -> DataFrame:
     """Gate: fails if any verdict is missing."""
     gap = F.count_if(F.col("vote").isNull())
     return verdicts.groupBy(*keys).agg(F.count("*").alias("n"), gap.alias("missing")).withColumn("n", F.when(F.col("missing") > 0, F.raise_error(F.lit("incomplete verdicts")).cast("bigint")).otherwise(F.col("n")))
+
+
+def fully_marked(marks: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Groups all of whose marks are set, with their number: what few-shot turns may be built from."""
+    return marks.groupBy(*keys).agg(F.count("*").alias("marks"), F.count(label).alias("_set")).where("marks = _set").drop("_set")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import split_chunks
+
 
 def as_of(questions: DataFrame, notes: DataFrame) -> DataFrame:
     """Notes visible to each question: same subject, dated, not after the cutoff (inclusive)."""
@@ -60,12 +62,43 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def dense(queries: DataFrame, corpus: DataFrame, k: int | None = 10, threshold: float | None = None) -> DataFrame:
-    """Cosine search: ``queries(query_id, bucket, vec)`` against ``corpus(item_id, bucket, vec)`` of the same bucket."""
-    scored = queries.select("query_id", "bucket", unit(F.col("vec")).alias("q")).join(corpus.select("item_id", "bucket", unit(F.col("vec")).alias("d")), "bucket").select("query_id", "item_id", F.round(dot(F.col("q"), F.col("d")), 6).alias("score"))
-    if threshold is not None:
-        scored = scored.where(F.col("score") >= threshold)
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
+def dense(queries: DataFrame, corpus: DataFrame, k: int | None = 10, threshold: float | None = None, block: int = 1024) -> DataFrame:
+    """Cosine search of ``queries(query_id, vec)``, a stated set, in all of ``corpus(item_id, vec)``.
+
+    Queries go out in blocks of at most ``block`` vectors; each block meets every
+    item in one narrow pass of matrix products, which keeps its k best scores a
+    batch (ties at the rounded last one included), so little is shuffled.
+    """
+    spark, best = queries.sparkSession, None
+    total = queries.count()
+    blocks = max(1, -(-total // block))
+
+    def search(shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = shared.value
+            for batch in batches:
+                c = np.array([np.asarray(v, np.float64) for v in batch["vec"]])
+                if not len(c) or not len(ids):
+                    continue
+                norm = np.linalg.norm(c, axis=1, keepdims=True)
+                s = np.round(q @ (c / np.where(norm > 0, norm, 1)).T, 6)
+                keep = s >= (-np.inf if threshold is None else threshold)
+                if k is not None and s.shape[1] > k:
+                    keep &= s >= np.partition(s, -k, axis=1)[:, -k, None] - 2e-6
+                qi, ci = np.nonzero(keep)
+                yield pd.DataFrame({"query_id": ids[qi], "item_id": batch["item_id"].to_numpy()[ci], "score": s[qi, ci]})
+
+        return run
+
+    for i in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "vec").collect()  # about ``block`` vectors
+        ids, q = np.array([r["query_id"] for r in rows], dtype=np.int64), np.array([r["vec"] for r in rows], dtype=np.float64)
+        if len(rows):
+            norm = np.linalg.norm(q, axis=1, keepdims=True)
+            q = q / np.where(norm > 0, norm, 1)
+        part = corpus.select("item_id", "vec").mapInPandas(search(spark.sparkContext.broadcast((ids, q))), "query_id bigint, item_id bigint, score double")
+        best = part if best is None else best.unionByName(part)
+    return top_k(best, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
 
 
 def max_sim(q: Column, d: Column) -> Column:
@@ -147,3 +180,25 @@ def context(ranked: DataFrame, key: str) -> DataFrame:
     """The retrieved notes of a key as one prompt block, by rank."""
     rows = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "note_title", F.coalesce(F.col("note_date").cast("string"), F.lit("")).alias("note_date"), "text"))).alias("r"))
     return rows.select(key, F.array_join(F.transform("r", lambda x: F.concat(F.lit("["), x["rank"], F.lit("] Note Title: "), x["note_title"], F.lit("\nNote Date: "), x["note_date"], F.lit("\nText: "), x["text"])), "\n\n").alias("context"))
+
+
+def chunks(notes: DataFrame, size: int = 4000, overlap: int = 400) -> DataFrame:
+    """The notes' chunks as retrieval units: chunk_id, subject_id, note_idx, chunk_idx, note_date, note_title, text."""
+    cut = notes.select("subject_id", "note_idx", "note_date", "note_title", F.posexplode(split_chunks(F.col("text"), size, overlap)).alias("chunk_idx", "text"))
+    return cut.withColumn("chunk_id", F.concat_ws("_", "subject_id", "note_idx", "chunk_idx"))
+
+
+def chunk_bm25(questions: DataFrame, notes: DataFrame, k: int = 50, size: int = 4000, overlap: int = 400) -> DataFrame:
+    """BM25 over the chunks of the notes visible to each question: (question_id, chunk_id, score, rank)."""
+    held = chunks(notes, size, overlap)
+    # chunks take the place of notes; their numbers order ties as the list of chunks does
+    number = (F.col("note_idx") * 1_000_000 + F.col("chunk_idx")).cast("bigint")
+    found = bm25(questions, held.select("subject_id", number.alias("note_idx"), "note_date", "text"), k)
+    name = F.concat_ws("_", F.split_part("question_id", F.lit("_"), F.lit(1)), F.expr("note_idx div 1000000"), F.col("note_idx") % 1_000_000)
+    return found.select("question_id", name.alias("chunk_id"), "score", "rank")
+
+
+def note_candidates(scored: DataFrame, key: str, k: int, least: float = 0.0) -> DataFrame:
+    """Notes by the best score of their chunks: ``scored(key, note_idx, score)`` above ``least`` to the k best notes."""
+    best = scored.where(F.col("score") > least).groupBy(key, "note_idx").agg(F.max("score").alias("score"))
+    return top_k(best, [key], [F.desc("score"), F.asc("note_idx")], k)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,17 +48,61 @@ def budget_prefix(df: DataFrame, keys: list[str], order: list[Column], size: Col
 
 
 def rolling_batches(df: DataFrame, key: str, order: Column, size: Column, budget: int) -> DataFrame:
-    """Greedy batches in order; an item larger than the budget stands alone.  Returns key, item order and batch."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), size.cast("bigint").alias("n")))).alias("items"))
-    state = "struct<batch:bigint,used:bigint,out:array<struct<o:bigint,batch:bigint>>>"
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("used"), F.array().alias("out")).cast(state)
+    """Greedy batches in order; an item larger than the budget stands alone.  Returns key, item order and batch.
+
+    A key's items stream through one task in order; only the running sum is held.
+    """
+    kind = df.select(key).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, batch, used = object(), 0, 0
+        for rows in batches:
+            out = []
+            for k, n in zip(rows[key], rows["n"]):
+                if k != now:
+                    now, batch, used = k, 0, 0
+                elif used and used + n > budget:
+                    batch, used = batch + 1, 0
+                used += n
+                out.append(batch)
+            yield pd.DataFrame({key: rows[key], "o": rows["o"], "batch": out})
+
+    rows = df.select(key, order.cast("bigint").alias("o"), size.cast("bigint").alias("n")).where(F.col(key).isNotNull())
+    return rows.repartition(key).sortWithinPartitions(key, "o").mapInPandas(run, f"`{key}` {kind}, o bigint, batch bigint")
+
 
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["used"] > 0) & (acc["used"] + x["n"] > budget)
-        batch = acc["batch"] + new.cast("int")
-        return F.struct(batch.alias("batch"), (F.when(new, 0).otherwise(acc["used"]) + x["n"]).alias("used"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("bigint").alias("o"), batch.alias("batch")))).alias("out")).cast(state)
+def running_ordinal(counts: DataFrame, key: str, order: str, n: str) -> DataFrame:
+    """``counts`` with ``start``: how many items of the key stand before a row; the rows are counts, so windows stay small."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("start", F.coalesce(F.sum(n).over(before), F.lit(0)).cast("bigint"))
 
-    return rows.select(key, F.explode(F.aggregate("items", start, step)["out"]).alias("x")).select(key, "x.o", "x.batch")
+
+def shuffled(df: DataFrame, keys: list[str], index: str, salt: str = "") -> DataFrame:
+    """``df`` with ``place``, its place in a hash order of each group: the permutation, and with ``index`` its inverse."""
+    order = Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws("|", F.lit(salt), *keys, index)), index)
+    return df.withColumn("place", (F.row_number().over(order) - 1).cast("bigint"))
+
+
+def drop_redundant(facts: DataFrame, key: str, judge: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame], DataFrame], group: int = 500, passes: int = 3, least: int = 5) -> DataFrame:
+    """Facts without those a judge calls redundant: ``facts(key, fact_idx, fact)`` to the ones that stay.
+
+    ``judge`` gets ``(key, group, fact_idx, fact)`` and returns ``(key, fact_idx)``
+    to remove.  One pass within groups in order is followed by up to ``passes``
+    over shuffled groups; a key stops once a pass removes fewer than ``least``.
+    ``save`` stores a pass, so that a judge is asked once.
+    """
+    left = facts.select(key, "fact_idx", "fact")
+    gone = save(judge(left.select(key, F.expr(f"fact_idx div {group}").alias("group"), "fact_idx", "fact")).select(key, "fact_idx").distinct())
+    active = left.select(key).distinct()
+    for i in range(passes):
+        rest = left.join(gone, [key, "fact_idx"], "left_anti")
+        mixed = shuffled(rest.join(active, key, "left_semi"), [key], "fact_idx", str(i))
+        found = save(judge(mixed.select(key, F.expr(f"place div {group}").alias("group"), "fact_idx", "fact")).select(key, "fact_idx").distinct())
+        active = save(found.groupBy(key).count().where(F.col("count") >= least).select(key))
+        gone = save(gone.unionByName(found).distinct())
+        if not active.take(1):
+            break
+    return left.join(gone, [key, "fact_idx"], "left_anti")
 
 
 def stratified_quota(df: DataFrame, stratum: str, n: int, key: Column) -> DataFrame:
@@ -90,3 +137,32 @@ def jobs(requests: DataFrame, key: str, limit: int = 200_000, block: int = 65_53
     rank = F.row_number().over(Window.partitionBy("_block").orderBy(key)) - 1
     ranked = placed.withColumn("_rank", rank).join(starts, "_block")
     return ranked.withColumn("job", F.floor((F.col("_start") + F.col("_rank")) / limit)).drop("_block", "_rank", "_start")
+
+
+def same_requests(manifest: DataFrame, requested: DataFrame, key: str) -> bool:
+    """Whether a manifest covers exactly the requested ids, so that its jobs may be attached to again."""
+    sides = manifest.select(key, F.lit(1).alias("_s")).unionByName(requested.select(key, F.lit(2).alias("_s"))).groupBy(key).agg(F.bit_or("_s").alias("_s"))
+    return not sides.where("_s <> 3").take(1)
+
+
+def rolling_progress(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the last batch with an answer, how many there are, and whether it is done: the state from which to resume."""
+    ok = rows.where(F.coalesce(F.trim("answer"), F.lit("")) != "")
+    last = ok.groupBy(*keys).agg(F.max_by(F.struct("batch", "total", "answer"), "batch").alias("x"))
+    return last.select(*keys, "x.batch", "x.total", "x.answer", (F.col("x.batch") + 1 >= F.col("x.total")).alias("complete"))
+
+
+def output_columns(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """The columns of an output file: keys first, then the asked metrics in their order; a metric that is absent is null."""
+    have = set(df.columns)
+    return df.select(*keys, *[F.col(m) if m in have else F.lit(None).cast("double").alias(m) for m in metrics])
+
+
+def seeded_turns(rows: DataFrame, index: str, order) -> DataFrame:
+    """``rows`` with ``turn``, the place of each row in a permutation of their numbers (8 bytes a row on the driver)."""
+    turn = df_of(rows, order)
+    return rows.join(turn, rows[index] == turn["_row"]).drop("_row")
+
+
+def df_of(rows: DataFrame, order) -> DataFrame:
+    return rows.sparkSession.createDataFrame(pd.DataFrame({"_row": order, "turn": range(len(order))}), "_row bigint, turn bigint")

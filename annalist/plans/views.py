@@ -31,7 +31,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").selectExpr(
         "concat(item_id % 20, '_', item_id) question_id",
         "cast(item_id % 20 as string) subject_id",
-        "substr(text, 1, 120) natural_query",
+        "text natural_query",
         f"date_add({START}, cast(item_id * 11 % 365 as int)) cutoff",
         "text reference",
         "item_id",
@@ -41,7 +41,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         read(spark, sf_dir, "documents")
-        .selectExpr("doc_id", f"case when doc_id % 17 = 0 then null else date_add({START}, cast(doc_id * 7 % 365 as int)) end fact_date", r"posexplode(slice(split(text, '[.] '), 1, 12)) as (fact_idx, sentence)")
+        .selectExpr("doc_id", f"case when doc_id % 17 = 0 then null else date_add({START}, cast(doc_id * 7 % 365 as int)) end fact_date", r"posexplode(split(text, '[.] ')) as (fact_idx, sentence)")
         .selectExpr("doc_id", "cast(fact_idx as bigint) fact_idx", "case when fact_date is null then sentence else concat(sentence, ' (', cast(fact_date as string), ')') end fact", "fact_date")
     )
 
@@ -64,7 +64,7 @@ def pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
             label.format(m=31, p=1, name="completeness"),
             label.format(m=17, p=2, name="relevancy"),
             label.format(m=13, p=1, name="concision"),
-            "(item_id * 6 + a * 2 + b) * 2 + pos ord",
+            "(item_id * 16 + a * 4 + b) * 2 + pos ord",
         )
     )
 
@@ -104,16 +104,16 @@ CTE = {
         CASE WHEN doc_id % 17 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(doc_id * 7 % 365 AS INTEGER) END AS note_date,
         source AS note_title, text, doc_id FROM documents)""",
     "v_questions": """v_questions AS (SELECT (item_id % 20) || '_' || item_id AS question_id, CAST(item_id % 20 AS VARCHAR) AS subject_id,
-        substr(text, 1, 120) AS natural_query, DATE '2024-01-01' + CAST(item_id * 11 % 365 AS INTEGER) AS cutoff, text AS reference, item_id FROM benchmark)""",
+        text AS natural_query, DATE '2024-01-01' + CAST(item_id * 11 % 365 AS INTEGER) AS cutoff, text AS reference, item_id FROM benchmark)""",
     "v_facts": """v_facts AS (SELECT doc_id, i - 1 AS fact_idx, CASE WHEN fact_date IS NULL THEN s[i] ELSE s[i] || ' (' || CAST(fact_date AS VARCHAR) || ')' END AS fact, fact_date
-        FROM (SELECT doc_id, s, fact_date, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, '. ')[1:12] AS s,
+        FROM (SELECT doc_id, s, fact_date, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, '. ') AS s,
         CASE WHEN doc_id % 17 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(doc_id * 7 % 365 AS INTEGER) END AS fact_date FROM documents)))""",
     "v_verdicts": """v_verdicts AS (SELECT doc_id, fact_idx, juror, (doc_id * (2 * juror + 3) + fact_idx * (juror + 5)) % 7 < 4 AS vote
         FROM v_facts, (SELECT unnest(range(3)) AS juror))""",
     "v_pairwise": """v_pairwise AS (SELECT (item_id % 20) || '_' || item_id AS question_id, 'm' || CASE WHEN pos = 0 THEN a ELSE b END AS model_a,
         'm' || CASE WHEN pos = 0 THEN b ELSE a END AS model_b, CASE WHEN pos = 0 THEN 'ab' ELSE 'ba' END AS position,
         ['A', 'B', 'TIE'][(item_id * 31 + a * 7 + b * 3 + pos * 1) % 3 + 1] AS completeness, ['A', 'B', 'TIE'][(item_id * 17 + a * 7 + b * 3 + pos * 2) % 3 + 1] AS relevancy,
-        ['A', 'B', 'TIE'][(item_id * 13 + a * 7 + b * 3 + pos * 1) % 3 + 1] AS concision, (item_id * 6 + a * 2 + b) * 2 + pos AS ord
+        ['A', 'B', 'TIE'][(item_id * 13 + a * 7 + b * 3 + pos * 1) % 3 + 1] AS concision, (item_id * 16 + a * 4 + b) * 2 + pos AS ord
         FROM benchmark, (SELECT unnest(range(4)) AS a), (SELECT unnest(range(4)) AS b), (SELECT unnest(range(2)) AS pos) WHERE a < b)""",
     "v_raters": """v_raters AS (SELECT doc_id AS unit, CASE WHEN doc_id % 2 = 0 THEN 'precision' ELSE 'recall' END AS direction, rater,
         CASE rater WHEN 'r0' THEN quality WHEN 'r1' THEN toxic WHEN 'r2' THEN CAST(doc_id % 3 > 0 AS INTEGER)

@@ -202,14 +202,27 @@ def _(spark, d):
     return V.read(spark, d, "documents").select("doc_id", F.posexplode(T.fixed_chunks(F.col("text"), 2000)).alias("chunk_idx", "chunk")).withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
 
 
-@query("chk_05", "SELECT doc_id % 20 AS subject, (fact_idx + 12 * (doc_id // 20)) // 500 AS batch, count(*) AS n FROM v_facts GROUP BY 1, 2")
+_BATCHES = "SELECT subject, ordinal // {k} AS batch, count(*) AS n FROM (SELECT doc_id % 20 AS subject, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id, fact_idx) - 1 AS ordinal FROM v_facts) GROUP BY ALL"
+
+
+def _batches(spark, d, k):
+    """Fact ordinals of a subject from running counts of its documents, so that no task orders all facts of a subject."""
+    f = V.facts(spark, d).selectExpr("doc_id % 20 subject", "doc_id", "fact_idx")
+    starts = S.running_ordinal(f.groupBy("subject", "doc_id").agg(F.count("*").alias("n")), "subject", "doc_id", "n").select("doc_id", "start")
+    return f.join(starts, "doc_id").groupBy("subject", F.expr(f"(start + fact_idx) div {k}").alias("batch")).agg(F.count("*").alias("n"))
+
+
+@query("chk_05", _BATCHES.format(k=500))
 def _(spark, d):
-    return V.facts(spark, d).selectExpr("doc_id % 20 subject", "(fact_idx + 12 * (doc_id div 20)) div 500 batch").groupBy("subject", "batch").agg(F.count("*").alias("n"))
+    return _batches(spark, d, 500)
 
 
-@query("chk_08", "SELECT subject_id, note_idx, CAST(used AS BIGINT) AS used FROM (SELECT subject_id, note_idx, sum(len(string_split_regex(trim(text), '\\s+'))) OVER (PARTITION BY subject_id ORDER BY note_idx) AS used FROM v_notes) WHERE used <= 5000")
+@query("chk_08", "SELECT subject_id, note_idx, CAST(used AS BIGINT) AS used FROM (SELECT subject_id, note_idx, sum(len([x FOR x IN string_split_regex('Note Title: ' || note_title || chr(10) || 'Note Date: ' || COALESCE(CAST(note_date AS VARCHAR), '') || chr(10) || 'Text: ' || text || chr(10), '\\s+') IF x <> ''])) OVER (PARTITION BY subject_id ORDER BY note_date DESC NULLS LAST, note_idx) AS used FROM v_notes) WHERE used <= 5000")
 def _(spark, d):
-    return S.budget_prefix(V.notes(spark, d), ["subject_id"], [F.asc("note_idx")], F.size(F.split(F.trim("text"), r"\s+")), 5000).select("subject_id", "note_idx", "used")
+    """Newest first, as prompts show the notes, until the next one would pass the budget."""
+    shown = T.note_block(F.col("note_title"), F.col("note_date"), F.col("text"))
+    n = V.notes(spark, d).select("subject_id", "note_idx", "note_date", T.token_count(shown).alias("tokens"))
+    return S.budget_prefix(n, ["subject_id"], [F.desc_nulls_last("note_date"), F.asc("note_idx")], F.col("tokens"), 5000).select("subject_id", "note_idx", "used")
 
 
 @query("chk_10")
@@ -217,9 +230,9 @@ def _(spark, d):
     return S.rolling_batches(V.notes(spark, d), "subject_id", F.col("note_idx"), F.length("text"), 8000)
 
 
-@query("chk_11", "SELECT doc_id, len(string_split_regex(trim(text), '\\s+')) AS n_tokens FROM documents")
+@query("chk_11", "SELECT doc_id, len([x FOR x IN string_split_regex(text, '\\s+') IF x <> '']) AS n_tokens FROM documents")
 def _(spark, d):
-    return V.read(spark, d, "documents").select("doc_id", F.size(F.split(F.trim("text"), r"\s+")).cast("bigint").alias("n_tokens"))
+    return V.read(spark, d, "documents").select("doc_id", T.token_count(F.col("text")).alias("n_tokens"))
 
 
 # Retrieval
@@ -251,25 +264,25 @@ def _(spark, d):
     return R.bm25(V.questions(spark, d), V.notes(spark, d), 50).where("score > 0").select("question_id", "note_idx", "rank")
 
 
-_DENSE = """q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id < 20), c AS (SELECT vec_id AS item_id, embedding AS b FROM embeddings WHERE vec_id >= 20),
+_DENSE = """q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT vec_id AS item_id, embedding AS b FROM embeddings),
 s AS (SELECT query_id, item_id, round(list_sum([CAST(x[1] AS DOUBLE) * x[2] FOR x IN list_zip(a, b)]) / sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN a])) / sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN b])), 6) AS score FROM q, c)"""
 
 
 def _vectors(spark, d):
     e = V.read(spark, d, "embeddings")
-    return e.where("vec_id < 20").selectExpr("vec_id query_id", "0 bucket", "embedding vec"), e.where("vec_id >= 20").selectExpr("vec_id item_id", "0 bucket", "embedding vec")
+    return e.where("vec_id % 20 = 0").selectExpr("vec_id query_id", "embedding vec"), e.selectExpr("vec_id item_id", "embedding vec")
 
 
 @query("ret_04", f"WITH {_DENSE} SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 10")
 def _(spark, d):
     q, c = _vectors(spark, d)
-    return R.dense(F.broadcast(q), c, 10)
+    return R.dense(q, c, 10)
 
 
-@query("ret_05", f"WITH {_DENSE} SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s WHERE score >= 0.2::DOUBLE QUALIFY rank <= 50")
+@query("ret_05", f"WITH {_DENSE} SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s WHERE score >= 0.4::DOUBLE QUALIFY rank <= 50")
 def _(spark, d):
     q, c = _vectors(spark, d)
-    return R.dense(F.broadcast(q), c, 50, 0.2)
+    return R.dense(q, c, 50, 0.4)
 
 
 def _rankings(spark, d):
@@ -299,9 +312,11 @@ def _(spark, d):
     return R.max_sim_search(q, e.select(F.col("vec_id").alias("item_id"), cut.alias("c")), 10)
 
 
-@query("ret_11", "SELECT subject_id, string_agg('[' || rank || '] Note Title: ' || note_title || chr(10) || 'Note Date: ' || COALESCE(CAST(note_date AS VARCHAR), '') || chr(10) || 'Text: ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT *, note_idx + 1 AS rank FROM v_notes WHERE note_idx < 3) GROUP BY subject_id")
+@query("ret_11", f"WITH /* v_notes v_questions */ {_BM25} SELECT question_id, string_agg('[' || rank || '] Note Title: ' || note_title || chr(10) || 'Note Date: ' || COALESCE(CAST(note_date AS VARCHAR), '') || chr(10) || 'Text: ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM ranked JOIN v_questions USING (question_id) JOIN v_notes USING (subject_id, note_idx) WHERE rank <= 10 GROUP BY question_id")
 def _(spark, d):
-    return R.context(V.notes(spark, d).where("note_idx < 3").withColumn("rank", F.col("note_idx") + 1), "subject_id")
+    q, n = V.questions(spark, d), V.notes(spark, d)
+    found = R.bm25(q, n, 10).join(q.select("question_id", "subject_id"), "question_id").join(n, ["subject_id", "note_idx"])
+    return R.context(found, "question_id")
 
 
 @query("ret_12", "WITH t AS (SELECT subject_id, note_title, count(*) AS n FROM v_notes GROUP BY ALL) SELECT s.subject_id, n_notes, first_date, last_date, titles FROM (SELECT subject_id, count(*) AS n_notes, min(note_date) AS first_date, max(note_date) AS last_date FROM v_notes GROUP BY 1) s JOIN (SELECT subject_id, string_agg(note_title || ': ' || n, ', ' ORDER BY n DESC, note_title) AS titles FROM t GROUP BY 1) x USING (subject_id)")
@@ -309,9 +324,14 @@ def _(spark, d):
     return R.profile(V.notes(spark, d))
 
 
-@query("ret_13", "SELECT subject_id, text FROM v_notes WHERE note_idx = 3")
+@query("ret_13", "SELECT question_id, CASE WHEN item_id % 3 = 0 THEN 'note_id ' || (item_id + 1000000000) || ' is not in 0..' || (n - 1) ELSE text END AS said FROM v_questions JOIN (SELECT subject_id, count(*) AS n FROM v_notes GROUP BY 1) USING (subject_id) LEFT JOIN v_notes ON v_notes.subject_id = v_questions.subject_id AND note_idx = item_id % n AND item_id % 3 > 0")
 def _(spark, d):
-    return V.notes(spark, d).where("note_idx = 3").select("subject_id", "text")
+    """Notes by their number, with a message where the subject has none of that number."""
+    n = V.notes(spark, d).select("subject_id", "note_idx", "text")
+    q = V.questions(spark, d).join(n.groupBy("subject_id").agg(F.count("*").alias("n")), "subject_id")
+    asked = q.withColumn("note_idx", F.when(F.col("item_id") % 3 == 0, F.col("item_id") + 1_000_000_000).otherwise(F.col("item_id") % F.col("n")))
+    out = F.concat(F.lit("note_id "), "note_idx", F.lit(" is not in 0.."), F.col("n") - 1)
+    return asked.join(n, ["subject_id", "note_idx"], "left").select("question_id", F.when(F.col("note_idx") >= F.col("n"), out).otherwise(F.col("text")).alias("said"))
 
 
 @query("ret_14", "SELECT subject_id, note_idx, '[' || note_idx || '] | ' || COALESCE(CAST(note_date AS VARCHAR), '') || ' | ' || note_title || ' | ' || replace(substr(text, 1, 100), chr(10), ' ') AS line FROM v_notes")
@@ -322,9 +342,9 @@ def _(spark, d):
 # Facts, claims, rubrics, time
 
 
-@query("agg_01", "SELECT doc_id, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE CAST(len(list_distinct([i FOR i IN [doc_id % 5, doc_id % 3, 7, -1] IF i >= 0 AND i < n])) AS DOUBLE) / n END AS share FROM (SELECT doc_id, least(12, len(string_split(text, '. '))) AS n FROM documents)")
+@query("agg_01", "SELECT doc_id, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE CAST(len(list_distinct([i FOR i IN [doc_id % 5, doc_id % 3, 7, -1] IF i >= 0 AND i < n])) AS DOUBLE) / n END AS share FROM (SELECT doc_id, len(string_split(text, '. ')) AS n FROM documents)")
 def _(spark, d):
-    n = F.least(F.lit(12), F.size(F.split("text", "[.] ")))
+    n = F.size(F.split("text", "[.] "))
     idx = F.expr("array(doc_id % 5, doc_id % 3, 7L, -1L)")
     return V.read(spark, d, "documents").select("doc_id", X.index_share(idx, n).alias("share"))
 
@@ -439,11 +459,6 @@ def _(spark, d):
     return P.canonical(V.pairwise(spark, d), "relevancy", ["question_id"])
 
 
-@query("win_01")
-def _(spark, d):
-    return P.elo(V.pairwise(spark, d), "completeness", "ord")
-
-
 @query("win_04", "SELECT question_id, model_a, model_b, position FROM v_pairwise QUALIFY row_number() OVER (PARTITION BY question_id, least(model_a, model_b), greatest(model_a, model_b) ORDER BY position <> 'ab', ord) = 1")
 def _(spark, d):
     p = V.pairwise(spark, d).withColumns({"lo": F.least("model_a", "model_b"), "hi": F.greatest("model_a", "model_b")})
@@ -677,10 +692,10 @@ def _(spark, d):
     return r.select("response_id", F.round(T.rouge_n(c, g, 1), 6).alias("rouge1"), F.round(T.rouge_n(c, g, 2), 6).alias("rouge2"))
 
 
-@query("fn_03", "SELECT event_id, [event_id % 3, event_id % 5] AS a FROM events WHERE event_id % 100 = 0")
+@query("fn_03", "SELECT event_id, [event_id % 3, event_id % 5] AS a FROM events")
 def _(spark, d):
     s = F.concat(F.lit("["), F.col("event_id") % 3, F.lit(", "), F.col("event_id") % 5, F.lit("]"))
-    return V.read(spark, d, "events").where("event_id % 100 = 0").select("event_id", F.from_json(s, "array<bigint>").alias("a"))
+    return V.read(spark, d, "events").select("event_id", F.from_json(s, "array<bigint>").alias("a"))
 
 
 @query("fn_04", "SELECT unit, rater, CASE WHEN unit % 9 = 0 THEN NULL ELSE label END AS winner FROM v_choices")
@@ -739,17 +754,12 @@ def _(spark, d):
     return ids.unionByName(subjects.agg(F.count("*").alias("shared")).select(F.lit("subject").alias("level"), "shared"))
 
 
-@query("chk_09", "SELECT subject_id, count(*) FILTER (used <= 20000) AS n_included, count(*) AS n_total FROM (SELECT subject_id, sum(length(text)) OVER (PARTITION BY subject_id ORDER BY note_idx) AS used FROM v_notes) GROUP BY subject_id")
+@query("chk_09", "SELECT subject_id, count(*) FILTER (used <= 20000) AS n_included, count(*) AS n_total, arg_min(note_date, used) FILTER (used > 20000 AND note_date IS NOT NULL) AS boundary FROM (SELECT subject_id, note_date, sum(length(text)) OVER (PARTITION BY subject_id ORDER BY note_date DESC NULLS LAST, note_idx) AS used FROM v_notes) GROUP BY subject_id")
 def _(spark, d):
-    n = V.notes(spark, d)
-    total = n.groupBy("subject_id").agg(F.count("*").alias("n_total"))
-    part = S.budget_prefix(n, ["subject_id"], [F.asc("note_idx")], F.length("text"), 20000).groupBy("subject_id").agg(F.count("*").alias("n"))
-    return total.join(part, "subject_id", "left").select("subject_id", F.coalesce("n", F.lit(0)).alias("n_included"), "n_total")
-
-
-@query("smp_05", "SELECT question_id, ['a', 'b', 'c'][length(natural_query) % 3 + 1] AS persona FROM v_questions")
-def _(spark, d):
-    return V.questions(spark, d).select("question_id", F.element_at(F.lit(["a", "b", "c"]), (F.length("natural_query") % 3 + 1).cast("int")).alias("persona"))
+    n = V.notes(spark, d).select("subject_id", "note_idx", "note_date", F.length("text").alias("chars"))
+    run = S.budget_prefix(n, ["subject_id"], [F.desc_nulls_last("note_date"), F.asc("note_idx")], F.col("chars"), 1 << 60)
+    over = F.when((F.col("used") > 20000) & F.col("note_date").isNotNull(), F.col("used"))
+    return run.groupBy("subject_id").agg(F.count_if(F.col("used") <= 20000).alias("n_included"), F.count("*").alias("n_total"), F.min_by("note_date", over).alias("boundary"))
 
 
 @query("oth_18", "SELECT question_id, position, model_a, model_b, CASE completeness WHEN 'A' THEN model_a WHEN 'B' THEN model_b ELSE 'TIE' END AS winner FROM v_pairwise")
@@ -839,9 +849,9 @@ def _(spark, d):
     return A.binary_agreement(A.pairs(V.raters(spark, d), ["unit"]), ["rater_a", "rater_b"]).select("rater_a", "rater_b", "pabak")
 
 
-@query("chk_06", "SELECT doc_id % 20 AS subject, (fact_idx + 12 * (doc_id // 20)) // 30000 AS batch, count(*) AS n FROM v_facts GROUP BY 1, 2")
+@query("chk_06", _BATCHES.format(k=30000))
 def _(spark, d):
-    return V.facts(spark, d).selectExpr("doc_id % 20 subject", "(fact_idx + 12 * (doc_id div 20)) div 30000 batch").groupBy("subject", "batch").agg(F.count("*").alias("n"))
+    return _batches(spark, d, 30000)
 
 
 @query("chk_02")
@@ -891,7 +901,7 @@ def _(spark, d):
 @query("fn_20", "SELECT event_id, event_id % 3 = 0 AS stop FROM events")
 def _(spark, d):
     said = F.when(F.col("event_id") % 3 == 0, "True").otherwise("no")
-    return V.read(spark, d, "events").select("event_id", (F.lower(said) == "true").alias("stop"))
+    return V.read(spark, d, "events").select("event_id", T.stopped(said).alias("stop"))
 
 
 @query("fn_21", "SELECT doc_id, string_agg('- ' || fact, chr(10) ORDER BY fact_idx) AS block FROM v_facts GROUP BY doc_id")
@@ -920,19 +930,6 @@ def _(spark, d):
     return S.pending(V.read(spark, d, "documents").select("doc_id"), V.read(spark, d, "labels"), ["doc_id"])
 
 
-@query("inc_04", "SELECT (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) = 0 AS contained, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) = 0 AS equal")
-def _(spark, d):
-    a, b = V.read(spark, d, "labels").select("doc_id"), V.read(spark, d, "documents").select("doc_id")
-    n = a.withColumn("x", F.lit(1)).unionByName(b.withColumn("x", F.lit(2))).groupBy("doc_id").agg(F.bit_or("x").alias("x"))
-    return n.agg((F.count_if(F.col("x") == 1) == 0).alias("contained"), (F.count_if(F.col("x") != 3) == 0).alias("equal"))
-
-
-@query("inc_05", "SELECT question_id, 'missing' AS reason FROM v_questions WHERE question_id NOT IN (SELECT question_id FROM v_responses)")
-def _(spark, d):
-    lines = V.responses(spark, d).select("question_id", F.lit("").alias("status"), F.lit("x").alias("text")).dropDuplicates(["question_id"])
-    return S.keyed_results(V.questions(spark, d).select("question_id"), lines, ["question_id"]).where("reason is not null").select("question_id", "reason")
-
-
 @query("oth_20", f"SELECT rater_a, rater_b, count(*) AS n, round(avg(CAST(a = b AS INT)), 6) AS agreement, round(avg(CAST(a <> b AND a <> 'TIE' AND b <> 'TIE' AS INT)), 6) AS flip_rate FROM {_CP} GROUP BY ALL")
 def _(spark, d):
     return A.nominal_agreement(A.pairs(V.choices(spark, d), ["unit"]), ["rater_a", "rater_b"]).select("rater_a", "rater_b", "n", "agreement", "flip_rate")
@@ -1136,3 +1133,6 @@ def _(spark, d):
 
     turns = V.read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").alias("batch"), "text")
     return M.rolling_answers(turns, M.echo, "conv_id", "{answer}\n{text}")
+
+
+from . import queries_more as _more  # noqa: E402, F401

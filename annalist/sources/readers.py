@@ -65,11 +65,11 @@ def last_per_id(spark: SparkSession, path: str, schema: str, key: str) -> DataFr
 
 def from_html(html: Column, schema: str) -> Column:
     """Records that a page carries as base64 JSON in ``data-records``."""
-    return F.from_json(F.unbase64(F.regexp_extract(html, 'data-records="([A-Za-z0-9+/=]*)"', 1)).cast("string"), schema)
+    return F.from_json(F.unbase64(F.regexp_extract(html, 'data-records="([A-Za-z0-9+/=\\s]*)"', 1)).cast("string"), schema)
 
 
 def to_html(records: Column) -> Column:
-    return F.concat(F.lit('<div data-records="'), F.base64(F.to_json(records).cast("binary")), F.lit('"></div>'))
+    return F.concat(F.lit('<div data-records="'), F.regexp_replace(F.base64(F.to_json(records).cast("binary")), r"\s", ""), F.lit('"></div>'))
 
 
 def resolve(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
@@ -81,3 +81,43 @@ def resolve(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
             raise ValueError(f"no column for {name}: {options}")
         out.append(F.col(found).alias(name))
     return df.select(*out)
+
+
+def note_table(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV or JSON table of notes with a typed note_date; missing columns and dates that don't parse fail."""
+    if path.rstrip("/").endswith(".csv"):
+        raw = spark.read.options(header=True, multiLine=True, escape='"', inferSchema=False).csv(path)
+    elif path.rstrip("/").endswith(".json"):
+        raw = spark.read.option("primitivesAsString", True).json(path)
+    else:
+        raise ValueError("notes must be CSV or JSON")
+    missing = sorted(set(TRIPLE) - set(raw.columns))
+    if missing:
+        raise ValueError(f"notes are missing required columns: {missing}")
+    wrong = F.raise_error(F.concat(F.lit("not a date: "), "note_date")).cast("timestamp")
+    stamp = F.try_to_timestamp("note_date")
+    return raw.withColumn("note_date", F.when(F.col("note_date").isNotNull() & stamp.isNull(), wrong).otherwise(stamp))
+
+
+def union_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """CSV files with headers of their own as one table of strings: columns a file lacks are null, lines of another width go."""
+    out = None
+    for p in paths:
+        part = spark.read.options(header=True, multiLine=True, escape='"', inferSchema=False, mode="DROPMALFORMED").csv(p)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no files")
+    return out
+
+
+def tsv_facts(spark: SparkSession, path: str) -> DataFrame:
+    """``index<TAB>fact`` files to ``(fact_idx, fact)``."""
+    return strings(spark, path, ["index", "fact"], sep="\t").select(F.col("index").cast("bigint").alias("fact_idx"), "fact")
+
+
+def cached(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A cache by subject, empty where nothing was stored yet."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)

@@ -15,19 +15,60 @@ def append(df: DataFrame, path: str, columns: list[str], kind: str = "parquet")
 
 
 def replace(df: DataFrame, base: str) -> str:
-    """Write a new snapshot beside the old ones, then point to it; readers never see half a table."""
+    """Write a new snapshot beside the old ones; its last step, one rename, makes it the current one.
+
+    Snapshots are numbered folders.  A reader takes the highest complete one,
+    so it sees the old table or the new one, never half of either.
+    """
     spark = df.sparkSession
-    name = uuid.uuid4().hex
-    df.write.parquet(f"{base}/{name}")
-    spark.createDataFrame([(name,)], "snapshot string").coalesce(1).write.mode("overwrite").json(f"{base}/_current")
-    return name
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hidden = jvm.org.apache.hadoop.fs.Path(f"{base}/_new-{uuid.uuid4().hex}")
+    df.write.parquet(hidden.toString())
+    fs = hidden.getFileSystem(conf)
+    n = max(_versions(spark, base), default=0) + 1
+    while not fs.rename(hidden, jvm.org.apache.hadoop.fs.Path(f"{base}/v{n:09d}")):
+        n += 1  # another writer took the number
+    return f"v{n:09d}"
+
+
+def _versions(spark: SparkSession, base: str) -> list[int]:
+    root = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    return [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()]
 
 
 def current(spark: SparkSession, base: str) -> DataFrame:
-    name = spark.read.schema("snapshot string").json(f"{base}/_current").first()["snapshot"]
-    return spark.read.parquet(f"{base}/{name}")
+    return spark.read.parquet(f"{base}/v{max(_versions(spark, base)):09d}")
+
+
+def remember(df: DataFrame, path: str, key: str = "subject_id") -> None:
+    """Add rows to a cache by subject."""
+    df.repartition(key).write.mode("append").partitionBy(key).parquet(path)
+
+
+def ledger(failed: DataFrame, path: str) -> None:
+    """Append failed requests with their reason as JSON lines."""
+    failed.select("key", "reason").write.mode("append").json(path)
+
+
+def staged(spark: SparkSession, path: str, stage: str, build) -> DataFrame:
+    """The stored result of a stage, or the stage's own, stored first: a finished stage isn't run again."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{stage}/_SUCCESS")
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        build().write.mode("overwrite").parquet(f"{path}/{stage}")
+    return spark.read.parquet(f"{path}/{stage}")
 
 
 def per_key(df: DataFrame, path: str, key: str, kind: str = "csv") -> None:
     """One folder per key; rows meet there first, so that a key doesn't get a file from every task."""
     df.repartition(key).write.mode("overwrite").partitionBy(key).options(**({"header": True} if kind == "csv" else {})).format(kind).save(path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` stored in the shared folder and read again, so that no later step runs it twice."""
+    from .folders import scratch
+
+    path = scratch(df.sparkSession, "pass")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -61,20 +61,18 @@ def test_elo_is_zero_sum_and_sequential(spark):
 
 
 def slow_split(t, size, overlap):
-    if len(t) <= size:
-        return [t.strip()] if t.strip() else []
+    """Every piece keeps a separator, the last one too; chunks are stripped of all white space."""
     sep = next((s for s in T.SEPARATORS if s in t), None)
     if sep is None:
-        return [t[i : i + size] for i in range(0, len(t), size - overlap)]
-    parts = t.split(sep)
+        return [x for x in (t[i : i + size].strip() for i in range(0, len(t), size - overlap)) if x]
     out, now = [], ""
-    for p in [*(x + sep for x in parts[:-1]), parts[-1]]:
-        if now and len(now) + len(p) > size:
-            out.append(now.strip(" "))
-            now = now[-overlap:] + p
+    for p in (x + sep for x in t.split(sep)):
+        if len(now) + len(p) > size:
+            out.append(now.strip())
+            now = now[max(0, len(now) - overlap) :] + p
         else:
             now += p
-    return [x for x in [*out, now.strip(" ")] if x]
+    return [x for x in [*out, now.strip()] if x]
 
 
 @pytest.mark.parametrize("t", ["", "short", "ab cd " * 40, "x" * 130, "one. two. " * 20, "line one\nline two\n" * 15, "p1 p2\n\np3 " * 12])
