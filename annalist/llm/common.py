@@ -47,6 +47,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Rows of an Arrow batch: whole texts of so many documents are what a Python worker holds at once.
+BATCH = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to BATCH rows if it is larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def words(text: Column) -> Column:
     """The words of a text; null and blank texts have none."""
     spaced = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SHINGLE, SHARE = 5, 0.8
 #: Characters of the items in a block, which goes to every task.
 BLOCK = 16_000_000
@@ -87,6 +89,7 @@ class Index:
 
 def indexes(items: DataFrame, shingle: int = SHINGLE, share: float = SHARE, block: int = BLOCK) -> Iterator:
     """Broadcast indexes of the items' blocks.  Of rows that repeat an item_id the least text counts."""
+    small_batches(items.sparkSession)
     named = items.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     n = 1 + (named.agg(F.sum(F.length("text"))).first()[0] or 0) // block
     for i in range(n):

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 
 LENGTH, END = 2048, 1
 DIMS, BITS, HASHED, SEED = 3, 13, 64, 42
@@ -117,6 +117,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, parts
     rows and null ids are packed as rows of their own.  Only the last sequence
     may be short.  No documents give no rows.
     """
+    small_batches(docs.sparkSession)
     tied = F.shiftleft(F.col("place"), TIE).bitwiseOR(F.pmod(F.xxhash64("doc_id", "n"), F.lit(1 << TIE)))
     ids = stored(tokenised(docs, path, end, special).withColumn("key", tied))
     parts = parts or min(MOST_PARTS, 1 + 4 * (ids.agg(F.sum("n")).first()[0] or 0) // PART_BYTES)

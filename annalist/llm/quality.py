@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 N_STATS = 20
 #: Fourier features, kernel width in standard deviations, ridge, seed.
@@ -145,6 +145,7 @@ def isotonic(total: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, calibration: int = 3) -> Model:
     """Labelled rows outside the held-out fold are used, up to LABELLED; the sums of PARTS partitions bound all memory."""
+    small_batches(docs.sparkSession)
     names = NAMES
     train = measured(docs, labels, held_out)
     head = train.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *[F.avg(c).alias(f"m{c}") for c in names], *[F.stddev_pop(c).alias(f"d{c}") for c in names]).first()

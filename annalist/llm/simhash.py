@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join, without
+from .common import cut, hot_join, small_batches, without
 from .components import connected_components
 
 #: (first bit, width, ball radius) of each segment; the radii guarantee a distance of 4.
@@ -144,6 +144,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
     and link like any other; rows with a null doc_id link but never name a
     component; repeated rows stay; other columns are ignored; no rows give none.
     """
+    small_batches(docs.sparkSession)
     marked = cut(fingerprints(docs, shingle))
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     parts = cut(connected_components(hamming_links(classes.select("fp"), distance)).withColumnRenamed("node", "fp"))
