@@ -62,15 +62,13 @@ def _(spark, d):
     base, docs = folders.scratch(spark, "union"), V.read(spark, d, "documents")
     docs.where("doc_id % 2 = 0").select("doc_id", "lang").write.option("header", True).csv(f"{base}/a")
     docs.where("doc_id % 2 = 1").select("doc_id", "source").write.option("header", True).csv(f"{base}/b")
-    spark.createDataFrame([("1,en,surplus",), ("2,fr,surplus",)], "value string").coalesce(1).write.mode("append").text(f"{base}/c")
-    spark.createDataFrame([("doc_id,lang",)], "value string").coalesce(1).write.mode("append").text(f"{base}/d")
-    return readers.union_files(spark, [f"{base}/a", f"{base}/b", f"{base}/d"]).select("doc_id", "lang", "source")
+    spark.createDataFrame([("doc_id,lang",), ("1,en,surplus",), ("2,fr,surplus",)], "value string").coalesce(1).write.text(f"{base}/c")
+    return readers.union_files(spark, [f"{base}/a", f"{base}/b", f"{base}/c"]).select("doc_id", "lang", "source")
 
 
 @query("src_06", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source AS source_file FROM documents")
 def _(spark, d):
     path, docs = folders.scratch(spark, "tagged"), V.read(spark, d, "documents").select("doc_id", "lang", "source")
-    docs.select("doc_id", "lang", F.col("source").alias("name")).repartition("name").write.partitionBy("name").option("header", True).csv(f"{path}/_csv")
     lines = docs.select(F.col("source").alias("name"), F.concat_ws(",", "doc_id", "lang").alias("value")).unionByName(docs.select(F.col("source").alias("name"), F.lit("doc_id,lang").alias("value")).distinct())
     sample = lines.where("value <> 'doc_id,lang'").select(F.lit("extra_sample").alias("name"), "value")
     folders.named_files(lines.unionByName(sample), path, ".csv", F.col("value") != "doc_id,lang")
