@@ -132,10 +132,10 @@ def _grams(table: str, key: str, text: str) -> str:
 _OP8 = f"""WITH d AS (SELECT DISTINCT doc_id, c FROM ({_grams('documents', 'doc_id', 'text')})), q AS (SELECT DISTINCT item_id, c FROM ({_grams('benchmark', 'item_id', 'text')})),
 n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id)
 SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_shared FROM d JOIN q USING (c) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(0.8 * n)"""
-_FORMS = "forms AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, t in licenses.TEMPLATES) + ") AS v(license, template))"
+_FORMS = "forms AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '" + t.replace("'", "''") + "')" for n, t in licenses.TEMPLATES) + ") AS v(license, template))"
 _OP10 = f"""WITH {_FORMS}, d AS ({_grams('documents', 'doc_id', 'text')}), q AS (SELECT DISTINCT license, c FROM ({_grams('forms', 'license', 'template')})),
-n AS (SELECT license, count(*) AS n FROM q GROUP BY license), size AS (SELECT max(n) AS q FROM n),
-x AS (SELECT doc_id, license, n, p // size.q + o AS win, c FROM d JOIN q USING (c) JOIN n USING (license), size, (SELECT unnest([0, -1]) AS o)),
+n AS (SELECT license, count(*) AS n, greatest(4, pow(2, ceil(log2(count(*)))))::BIGINT AS size FROM q GROUP BY license),
+x AS (SELECT doc_id, license, n, p // size + o AS win, c FROM d JOIN q USING (c) JOIN n USING (license), (SELECT unnest([0, -1]) AS o)),
 y AS (SELECT doc_id, license, n, win, count(DISTINCT c) AS k FROM x WHERE win >= 0 GROUP BY ALL HAVING count(DISTINCT c) >= ceil(0.8 * n))
 SELECT doc_id, license, n AS n_shingles, max(k) AS n_shared, min(win) AS first_window FROM y GROUP BY ALL"""
 ORACLE: dict[str, str] = {
