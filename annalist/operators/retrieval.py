@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,28 @@ def bm25(questions: DataFrame, notes: DataFrame, k: int | None = 10, k1: float =
     return top_k(scored, ["question_id"], [F.desc("score"), F.asc("note_idx")], k)
 
 
+Scorer = Callable[[list[str], list[str]], list[float]]
+
+
+def word_share(questions: list[str], texts: list[str]) -> list[float]:
+    """A stub of a pair scorer: the share of a question's different words that a text holds."""
+    found = re.compile(r"\w+").findall
+    asked, held = ([set(found(x.lower())) for x in side] for side in (questions, texts))
+    return [len(q & t) / len(q) if q else 0.0 for q, t in zip(asked, held)]
+
+
+def rerank(pairs: DataFrame, scorer: Scorer, k: int | None = 10) -> DataFrame:
+    """Pairs ``(question_id, note_idx, natural_query, text)`` scored in batches by a cross-encoder: (question_id, note_idx, score, rank)."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            scores = scorer(b["natural_query"].fillna("").tolist(), b["text"].fillna("").tolist())
+            yield b[["question_id", "note_idx"]].assign(score=scores)
+
+    scored = pairs.select("question_id", "note_idx", "natural_query", "text").mapInPandas(score, "question_id string, note_idx bigint, score double")
+    return top_k(scored.withColumn("score", F.round("score", 6)), ["question_id"], [F.desc("score"), F.asc("note_idx")], k)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import stem as ST
 from .functions import text as T
 from .operators import agreement as A
 from .operators import facts as X
@@ -688,7 +689,8 @@ def _(spark, d):
 @query("fn_11")
 def _(spark, d):
     r = V.responses(spark, d).join(V.questions(spark, d).select("question_id", "reference"), "question_id")
-    c, g = R.tokens(F.col("response")), R.tokens(F.col("reference"))
+    r = r.select("response_id", ST.rouge_words(F.col("response")).alias("c"), ST.rouge_words(F.col("reference")).alias("g"))
+    c, g = F.col("c"), F.col("g")
     return r.select("response_id", F.round(T.rouge_n(c, g, 1), 6).alias("rouge1"), F.round(T.rouge_n(c, g, 2), 6).alias("rouge2"))
 
 
@@ -940,12 +942,18 @@ def _(spark, d):
     return V.read(spark, d, "documents").select("source").distinct().select("source", F.regexp_extract(F.concat("source", F.lit(".csv")), r"^(.*)\.csv$", 1).alias("stem"))
 
 
-@query("ret_08")
+_WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+'))"
+_SHARED = f"round(coalesce(len(list_intersect({_WORDS.format('natural_query')}, {_WORDS.format('text')})) / nullif(len({_WORDS.format('natural_query')}), 0)::DOUBLE, 0), 6)"
+
+
+@query("ret_08", f"WITH /* v_notes v_questions */ {_BM25}, pool AS (SELECT question_id, r.note_idx, {_SHARED} AS score FROM ranked r JOIN v_questions USING (question_id) JOIN v_notes n ON n.subject_id = v_questions.subject_id AND n.note_idx = r.note_idx WHERE rank <= 50) "
+       "SELECT question_id, note_idx, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, note_idx) AS rank FROM pool QUALIFY rank <= 10")
 def _(spark, d):
-    """A stub scorer over the fused candidates: length of the note, then its place."""
+    """The 50 best notes by words, scored again in pairs; the scorer is a stub, the share of the question's words in the note."""
     q, n = V.questions(spark, d), V.notes(spark, d)
-    pool = R.as_of(q, n).select("question_id", "note_idx", F.length("text").alias("score"))
-    return R.top_k(pool, ["question_id"], [F.desc("score"), F.asc("note_idx")], 10)
+    pool = R.bm25(q, n, 50).select("question_id", "note_idx").join(q.select("question_id", "subject_id", "natural_query"), "question_id")
+    pairs = pool.join(n.select("subject_id", "note_idx", "text"), ["subject_id", "note_idx"])
+    return R.rerank(pairs, R.word_share, 10)
 
 
 # Requests, results and lookups

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import stem as ST
 from .functions import text as T
 from .operators import agent as G
 from .operators import agreement as A
@@ -187,9 +188,11 @@ _CELLS = "(SELECT a.rater AS rater_a, b.rater AS rater_b, round(avg(CAST(a.label
 
 @query("snk_05", f"SELECT rater_a, rater_b, CAST(floor(agreement * 10) AS BIGINT) AS shade FROM (SELECT * FROM {_CELLS} UNION ALL SELECT rater_b, rater_a, agreement FROM {_CELLS})")
 def _(spark, d):
-    """The cells of the heat map with ten shades; drawing is left to whoever reads them."""
+    """The matrix drawn with ten shades; the rows are read back from the picture."""
     m = A.symmetric(A.binary_agreement(A.pairs(V.raters(spark, d), ["unit"]), ["rater_a", "rater_b"]), "agreement")
-    return m.select("rater_a", "rater_b", F.floor(F.col("agreement") * 10).alias("shade"))
+    path = folders.scratch(spark, "pictures") + "/agreement.png"
+    sinks.heatmap(m.select("rater_a", "rater_b", F.floor(F.col("agreement") * 10).alias("shade")), path)
+    return readers.heatmap(spark, path)
 
 
 @query("ui_01", "SELECT subject_id, count(*) AS cards FROM v_notes GROUP BY subject_id")
@@ -344,6 +347,21 @@ def _(spark, d):
     return G.tool_outputs(n)
 
 
+def _said(turns: int) -> str:
+    sql = "SELECT question_id, natural_query AS prompt, '' AS said FROM v_questions"
+    for i in range(turns):
+        sql = f"SELECT question_id, prompt, said || '{chr(10) if i else ''}answer:' || length(prompt || chr(10) || said) AS said FROM ({sql})"
+    return f"SELECT question_id, said FROM ({sql})"
+
+
+@query("win_10", _said(5))
+def _(spark, d):
+    """Five turns over all questions at once; every pass is stored before the next one asks."""
+    q = V.questions(spark, d).select("question_id", F.col("natural_query").alias("prompt"))
+    said = M.turns(q, M.echo, "question_id", 5, lambda df, _: sinks.kept(df))
+    return said.select("question_id", F.array_join(F.transform("history", lambda h: h["text"]), "\n").alias("said"))
+
+
 @query("win_11")
 def _(spark, d):
     q = V.questions(spark, d).withColumn("question", F.col("natural_query"))
@@ -393,7 +411,7 @@ def _(spark, d):
 @query("fn_11_l")
 def _(spark, d):
     r = V.responses(spark, d).join(V.questions(spark, d).select("question_id", "reference"), "question_id")
-    return r.select("response_id", "conv_id", F.round(T.rouge_l(R.tokens(F.col("response")), R.tokens(F.col("reference"))), 6).alias("rouge_l"))
+    return r.select("response_id", "conv_id", F.round(T.rouge_l(ST.rouge_words(F.col("response")), ST.rouge_words(F.col("reference"))), 6).alias("rouge_l"))
 
 
 # Further staged and textual work

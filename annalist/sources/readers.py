@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,3 +125,23 @@ def cached(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
+
+
+def heatmap(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of a drawn heat map: (rater_a, rater_b, shade)."""
+    from .sinks import BLANK, SIDE, STEP
+
+    def cells(batches):
+        for batch in batches:
+            for png in batch["content"]:
+                at, chunks = 8, {}
+                while at < len(png):
+                    size = int.from_bytes(png[at : at + 4], "big")
+                    chunks[png[at + 4 : at + 8]] = png[at + 8 : at + 8 + size]
+                    at += 12 + size
+                names = json.loads(chunks[b"tEXt"].split(b"\0", 1)[1])
+                lines, width = zlib.decompress(chunks[b"IDAT"]), len(names) * SIDE + 1
+                found = ((a, b, lines[i * SIDE * width + 1 + j * SIDE]) for i, a in enumerate(names) for j, b in enumerate(names))
+                yield pd.DataFrame([(a, b, g // STEP) for a, b, g in found if g != BLANK], columns=["rater_a", "rater_b", "shade"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(cells, "rater_a string, rater_b string, shade bigint")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import struct
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +75,33 @@ def kept(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "pass")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A picture has a square of SIDE pixels for each cell, and MOST rows at most: its cells are gathered by the driver.
+SIDE, MOST = 16, 500
+#: Grey of a shade from 0 to 10; a cell without a value is white.
+STEP, BLANK = 25, 255
+
+
+def heatmap(cells: DataFrame, path: str) -> None:
+    """Draw ``cells(rater_a, rater_b, shade)`` as a PNG file, the raters' names in order kept in its text chunk."""
+    names = sorted(r[0] for r in cells.select("rater_a").union(cells.select("rater_b")).distinct().limit(MOST + 1).collect())
+    if len(names) > MOST:
+        raise ValueError(f"a heat map has {MOST} rows at most")
+    place, n = {x: i for i, x in enumerate(names)}, len(names)
+    grey = [bytearray([BLANK]) * n for _ in names]
+    for a, b, shade in cells.select("rater_a", "rater_b", "shade").collect():
+        if shade is not None:
+            grey[place[a]][place[b]] = STEP * int(shade)
+    lines = b"".join((b"\0" + b"".join(bytes([g]) * SIDE for g in row)) * SIDE for row in grey)
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", n * SIDE, n * SIDE, 8, 0, 0, 0, 0)
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"tEXt", b"raters\0" + json.dumps(names).encode()) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    spark = cells.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(png))
+    out.close()
