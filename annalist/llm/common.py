@@ -47,6 +47,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` table; whatever is still needed of it must be written elsewhere by then."""
+    spark = df.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if not folder.rsplit("/", 1)[1].startswith("table-"):
+            raise ValueError(f"not a stored table: {folder}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of an Arrow batch: whole texts of so many documents are what a Python worker holds at once.
 BATCH = 2000
 
@@ -135,8 +145,16 @@ def kept_pieces(pieces: Column, full: Column, gone: Column) -> Column:
 FEW_IDS = 500_000
 
 
+def _distinct_ids(ids: DataFrame) -> DataFrame:
+    ids = cut(ids.where("doc_id is not null").distinct())
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``ids(doc_id)``; whole texts are shuffled only if the ids are too many to broadcast."""
-    ids = cut(ids.where("doc_id is not null").distinct())
-    side = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    return docs.join(side, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(_distinct_ids(ids), "doc_id", "left_anti").select(*docs.columns)
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids(doc_id)``, as narrow as ``without``."""
+    return docs.join(_distinct_ids(ids), "doc_id", "left_semi").select(*docs.columns)
