@@ -27,9 +27,23 @@ TIE = 20  # low bits of the sort key that spread documents at one point of the c
 PART_BYTES, MOST_PARTS, FINE = 32_000_000, 20_000, 8
 
 
+def _check_kind(file: dict) -> None:
+    """Whether splitting by the pattern of byte-level BPE and merging by least id is what the file says."""
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not file.get("normalizer")
+    options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if not plain or model.get("type", "BPE") != "BPE" or any(model.get(o) for o in options):
+        raise ValueError("only byte-level BPE without a normalizer or options is supported")
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"][t] for t in merged]
+    if any(a >= b for a, b in zip(ids, ids[1:])) or len(ids) + 256 + len(file.get("added_tokens", [])) < len(model["vocab"]):
+        raise ValueError("the merges don't follow the order of the ids")
+
+
 def load_encoder(path: str, special: bool = False):
     """tiktoken over the vocabulary of a byte-level BPE file of the tokenizers library: equal ids, four times as fast.
 
+    A file that splits text in another way, or whose merges don't follow the order of its ids, raises ValueError.
     The file's added tokens in a text get their own ids if ``special``, as the library does by default; else they are ordinary text.
     """
     import tiktoken
@@ -39,6 +53,7 @@ def load_encoder(path: str, special: bool = False):
     code = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
+    _check_kind(file)
     vocab, added = file["model"]["vocab"], {t["content"]: t["id"] for t in file.get("added_tokens", [])}
     ranks = {bytes(code[c] for c in token): i for token, i in vocab.items() if all(c in code for c in token) and not (token.startswith("<|") and token.endswith("|>"))}
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

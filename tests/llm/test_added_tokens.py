@@ -1,5 +1,6 @@
 """Packing's ids on texts that hold an added token, against the tokenizers library at its defaults."""
 
+import json
 import zlib
 
 import numpy as np
@@ -23,3 +24,25 @@ def test_query_has_the_ids_of_the_library(spark, tmp_path):
     # and the split is that of the library on long texts too
     encode = packing.load_encoder(queries.tokenizer_path(), special=True)
     assert encode("word <|endoftext|>" * 500) == t.encode("word <|endoftext|>" * 500, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("change", ["split", "normalizer", "prefix", "order", "unmerged"])
+def test_another_kind_of_file_is_refused(tmp_path, change):
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        file = json.load(f)
+    packing._check_kind(file)
+    model = file["model"]
+    if change == "split":
+        file["pre_tokenizer"] = {"type": "Whitespace"}
+    elif change == "normalizer":
+        file["normalizer"] = {"type": "Lowercase"}
+    elif change == "prefix":
+        file["pre_tokenizer"]["add_prefix_space"] = True
+    elif change == "order":
+        model["merges"][5], model["merges"][900] = model["merges"][900], model["merges"][5]
+    else:
+        del model["merges"][-9:]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(file), encoding="utf-8")
+    with pytest.raises(ValueError):
+        packing.load_encoder(str(path), special=True)
