@@ -1,6 +1,7 @@
 """Packing's ids on texts that hold an added token, against the tokenizers library at its defaults."""
 
 import json
+import random
 import zlib
 
 import numpy as np
@@ -46,3 +47,27 @@ def test_another_kind_of_file_is_refused(tmp_path, change):
     path.write_text(json.dumps(file), encoding="utf-8")
     with pytest.raises(ValueError):
         packing.load_encoder(str(path), special=True)
+
+
+def test_cuts_at_blanks_change_no_id():
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(queries.tokenizer_path()), random.Random(3)
+    cut, plain = (packing.load_encoder(queries.tokenizer_path(), special=True, deep=deep) for deep in (0, 10**9))
+    parts = [" ", "\n", "\t", "\x1c", "\x85", "\xa0", " ", "​", "　", "'s", "<|endoftext|>", "12", "Ⅷ", "\xe9", "é", "_", "\x00", "\U0001f600", "ab", "Z!"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts[:6] if r.random() < 0.5 else parts) * (r.randrange(90, 120) if r.random() < 0.2 else 1) for _ in range(r.randrange(1, 12)))
+        assert cut(text) == plain(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_runs_of_a_million_blanks():
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(queries.tokenizer_path()), packing.load_encoder(queries.tokenizer_path(), special=True)
+    ordinary = packing.load_encoder(queries.tokenizer_path())
+    for blank in (" ", "\n", "　"):
+        for end in ("", "x", "<|endoftext|> y"):
+            text = "a b" + blank * 1_200_000 + end
+            assert encode(text) == t.encode(text, add_special_tokens=False).ids and len(ordinary(text)) > 1000
+    for long in ("a", "7", "^", "日", "ab 1\n"):
+        assert len(encode(long * 1_200_000)) > 1000
