@@ -53,19 +53,29 @@ def complete(prompts: DataFrame, provider: Provider, key: str, tries: int = 3, a
 
 
 def rolling_answers(batches: DataFrame, provider: Provider, key: str, template: str) -> DataFrame:
-    """Carry an answer from batch to batch of a key: ``(key, batch, text)`` to ``(key, batch, answer)``; a failure ends the key."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        out, answer = [], ""
-        for row in group.sort_values("batch").itertuples():
-            new = provider([template.format(answer=answer, text=row.text)])[0]
-            if new is None:
-                break
-            answer = new
-            out.append((getattr(row, key), row.batch, answer))
-        return pd.DataFrame(out, columns=[key, "batch", "answer"])
-
-    return batches.groupBy(key).applyInPandas(run, f"`{key}` string, batch bigint, answer string")
+    """Carry an answer from batch to batch of a key: ``(key, batch, text)`` to ``(key, batch, answer)``; a failure ends the key.
+
+    A key's batches stream through one task in order; only the last answer is
+    held.  Null texts are empty, rows without a key are left out.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, answer = None, None
+        for rows in frames:
+            out = []
+            for k, batch, text in zip(rows[key], rows["batch"], rows["text"]):
+                if k != now:
+                    now, answer = k, ""
+                if answer is None:
+                    continue
+                answer = provider([template.format(answer=answer, text=text)])[0]
+                if answer is not None:
+                    out.append((k, batch, answer))
+            yield pd.DataFrame(out, columns=[key, "batch", "answer"])
+
+    rows = batches.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key), F.col("batch").cast("bigint").alias("batch"), F.coalesce("text", F.lit("")).alias("text"))
+    # equal batch numbers go by their text, so that a rerun gives the same answers
+    return rows.repartition(key).sortWithinPartitions(key, "batch", "text").mapInPandas(run, f"`{key}` string, batch bigint, answer string")
 
 
 def turns(subjects: DataFrame, provider: Provider, key: str, n: int = 5, save: Callable[[DataFrame, int], DataFrame] = lambda df, _: df) -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from annalist.functions import text as T
 from annalist.operators import facts, pairwise, providers, tables, timeline
+from annalist.plans import views as V
 from annalist.sources import readers, sinks
 from annalist.streaming import incremental
 
+DATA = "/root/testdata/sf0.001"
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
@@ -185,5 +188,41 @@ def test_jobs_fill_to_the_limit(spark):
 def test_stub_queries_run(spark):
     from annalist.queries import QUERIES
 
-    assert QUERIES["win_09"](spark, "/root/testdata/sf0.001").count() > 0
+    asked = {r["question_id"]: r["natural_query"] for r in V.questions(spark, DATA).collect()}
+    said = {r["question_id"]: r["text"] for r in QUERIES["udf_01"](spark, DATA).collect()}
+    assert said == {k: f"answer:{len(q)}" if (q or "").strip() else None for k, q in asked.items()} and len(said) > 10
     assert QUERIES["fn_12"](spark, "/root/testdata/sf0.001").where("bleu_1 between 0 and 1").count() == QUERIES["fn_12"](spark, "/root/testdata/sf0.001").count()
+
+
+def rolled(rows, provider):
+    """``(key, batch, text)`` rows to the answers of each key in turn."""
+    out, ended, last = set(), set(), {}
+    for k, batch, text in sorted((k, b, t or "") for k, b, t in rows if k is not None):
+        if k in ended:
+            continue
+        answer = provider([f"{last.get(k, '')}\n{text}"])[0]
+        if answer is None:
+            ended.add(k)
+        else:
+            last[k] = answer
+            out.add((k, batch, answer))
+    return out
+
+
+def test_answers_roll_from_batch_to_batch(spark):
+    from annalist.operators.providers import echo, rolling_answers
+    from annalist.queries import QUERIES
+
+    turns = [(str(r["conv_id"]), r["turn"], r["text"]) for r in V.read(spark, DATA, "conversations").collect()]
+    got = [tuple(r) for r in QUERIES["win_09"](spark, DATA).select("conv_id", "batch", "answer").collect()]
+    assert len(got) == len(turns) > 50 and set(got) == rolled(turns, echo)
+
+    def count(prompts):
+        """Fails at the third batch of a key, and for texts that say so."""
+        n = int(prompts[0].split("\n")[0] or 0)
+        return [None if n == 2 or "stop" in prompts[0] else str(n + 1)]
+
+    rows = [("a", i, f"t{i}") for i in range(5)] + [("b", 0, "stop"), ("b", 1, "x"), ("c", 3, None), (None, 1, "x"), ("d", 2, "y"), ("d", 1, "z")]
+    df = spark.createDataFrame(rows, "k string, batch int, text string")
+    assert {tuple(r) for r in rolling_answers(df, count, "k", "{answer}\n{text}").collect()} == rolled(rows, count) == {("a", 0, "1"), ("a", 1, "2"), ("c", 3, "1"), ("d", 1, "1"), ("d", 2, "2")}
+    assert rolling_answers(df.limit(0), count, "k", "{answer}\n{text}").count() == 0
