@@ -10,6 +10,10 @@ Buckets that hold many *different* fingerprints (a dense cloud of near copies)
 are cut into blocks; each pair of blocks is verified as a bit matrix and
 reported as a spanning forest, so neither rows nor memory grow with the square
 of a bucket, and no link is lost for the components.
+
+``near_pairs`` is the same index for texts at a similarity: a wider distance,
+balls split between both sides, and pairs instead of a forest, since each is
+then verified on the texts.
 """
 
 from __future__ import annotations
@@ -27,6 +31,10 @@ from .components import connected_components
 
 #: (first bit, width, ball radius) of each segment; the radii guarantee a distance of 4.
 SEGMENTS = ((0, 23, 1), (23, 23, 1), (46, 18, 0))
+#: The same for a distance of 11: both sides enter a ball of radius 1, so they meet up to radius 2.
+WIDE, WIDE_DISTANCE = ((0, 16, 2), (16, 16, 2), (32, 16, 2), (48, 16, 2)), 11
+#: Near fingerprints after which one leaves a bucket.
+LINKS = 8
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -37,11 +45,24 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     if not tokens:
         return 0
     runs = [b" ".join(tokens[i : i + shingle]) for i in range(max(1, len(tokens) - shingle + 1))]
-    hashes = np.frombuffer(b"".join([xxh64_digest(r, seed) for r in runs]), dtype=np.uint8)
+    return _majority(np.frombuffer(b"".join([xxh64_digest(r, seed) for r in runs]), dtype=np.uint8))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, of eight bytes each."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 8 << 16):  # long texts in bounded memory
         ones += np.unpackbits(hashes[at : at + (8 << 16)].reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(runs)).tobytes(), "big")
+    return int.from_bytes(np.packbits(16 * ones > len(hashes)).tobytes(), "big")
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """SimHash of a set of 64-bit shingle hashes, as a signed long; an empty set gives 0."""
+    h = hashes.view(np.uint64)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    one = _majority(h.view(np.uint8))
+    return one - (1 << 64) if one >> 63 else one
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -136,6 +157,50 @@ def hamming_links(distinct: DataFrame, distance: int = 4, segments=SEGMENTS, den
     return direct.unionByName(blocks.groupBy("seg", "value", "part", "slice").applyInPandas(verify, "u bigint, v bigint"))
 
 
+def near_pairs(distinct: DataFrame, distance: int = WIDE_DISTANCE, segments=WIDE, links: int = LINKS) -> DataFrame:
+    """Pairs ``(u, v)`` of ``distinct.fp`` within ``distance``, each once.
+
+    A fingerprint enters the buckets of half a ball around each segment, so two
+    meet wherever their segments differ by up to the radius, which must be 0 or
+    2.  In a bucket each is compared with those behind it, until ``links`` of
+    them were near: in a cloud pairs are left out, though hardly a component.
+    """
+    if sum(r + 1 for _, _, r in segments) <= distance or any(w > 16 or r not in (0, 2) for _, w, r in segments):
+        raise ValueError("these segments don't guarantee that distance")
+    entered = distinct.select("fp", F.explode(F.concat(*[_around(i, a, w, r // 2) for i, (a, w, r) in enumerate(segments)])).alias("k"))
+    rows = entered.select("fp", (F.col("k.seg") * (1 << 16) + F.col("k.value")).cast("int").alias("bucket"))
+    groups = 2048 + distinct.count() // 5000
+
+    def home(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The one bucket of those two near fingerprints meet in that reports them."""
+        out = np.full(len(u), -1, np.int64)
+        for i, (a, w, r) in reversed(list(enumerate(segments))):
+            mask = np.uint64((1 << w) - 1)
+            own, differ = ((u >> np.uint64(a)) & mask).astype(np.int64), (((u ^ v) >> np.uint64(a)) & mask).astype(np.int64)
+            low = differ & -differ
+            out = np.where(np.bitwise_count(differ) <= r, (i << 16) + np.minimum(own ^ low, own ^ differ ^ low), out)
+        return out
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        fp, bucket = group["fp"].to_numpy(np.int64).view(np.uint64), group["bucket"].to_numpy(np.int64)
+        order = np.lexsort((fp, bucket))
+        fp, bucket = fp[order], bucket[order]
+        end = np.searchsorted(bucket, bucket, side="right")
+        at, seen, step, found = np.arange(len(fp)), np.zeros(len(fp), np.int64), 0, []
+        while len(at):
+            step += 1
+            at = at[at + step < end[at]]
+            near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= distance]
+            if len(near):
+                found.append(near[home(fp[near], fp[near + step]) == bucket[near]] + np.array([[0], [step]]))
+                seen[near] += 1
+                at = at[seen[at] < links]
+        u, v = fp.view(np.int64)[np.concatenate(found, axis=1)] if found else np.zeros((2, 0), np.int64)
+        return pd.DataFrame({"u": u, "v": v})
+
+    return rows.groupBy(F.pmod(F.xxhash64("bucket"), F.lit(groups)).alias("part")).applyInPandas(meet, "u bigint, v bigint")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """``(doc_id, fp, fingerprint, component_id)``, one row per row of ``docs``.
 
