@@ -22,6 +22,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names``, each changed until no column of ``taken`` has it, so that a caller's columns are never hidden."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local one only where none is set and all runs in one process, as in tests."""
     sc = spark.sparkContext

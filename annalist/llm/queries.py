@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lines, packing, pii, quality, rules, sharding, simhash, spans
+from . import decontam, exact, licenses, lines, lloyd, packing, pii, quality, rules, sharding, simhash, spans, variants
 from .common import read
 
 #: Vocabulary file of the packing query.
@@ -66,10 +66,34 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"), licenses.templates(spark))
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (op1_quality, op2_substring_dedup, op3_simhash, op4_line_dedup, op5_quality_rules, op6_packing, op7_pii, op8_decontamination, op9_sharding, op10_licenses)
-}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.mark(read(spark, sf_dir, "documents"), keep="largest")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(read(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vec"))[0]
+
+
+OPERATORS = (
+    op1_quality,
+    op2_substring_dedup,
+    op3_simhash,
+    op4_line_dedup,
+    op5_quality_rules,
+    op6_packing,
+    op7_pii,
+    op8_decontamination,
+    op9_sharding,
+    op10_licenses,
+    op11_exact_dedup,
+    op12_spelling_variants,
+    op13_centroid_clustering,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _NORM = "trim(regexp_replace({x}, '" + _SPACE + "', ' ', 'g'))"
 #: The least of (doc_id, first) of equal contents stays; pieces in the others' windows go.
@@ -138,10 +162,34 @@ n AS (SELECT license, count(*) AS n, greatest(4, pow(2, ceil(log2(count(*)))))::
 x AS (SELECT doc_id, license, n, p // size + o AS win, c FROM d JOIN q USING (c) JOIN n USING (license), (SELECT unnest([0, -1]) AS o)),
 y AS (SELECT doc_id, license, n, win, count(DISTINCT c) AS k FROM x WHERE win >= 0 GROUP BY ALL HAVING count(DISTINCT c) >= ceil(0.8 * n))
 SELECT doc_id, license, n AS n_shingles, max(k) AS n_shared, min(win) AS first_window FROM y GROUP BY ALL"""
+_OP11 = """WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM t JOIN g USING (x)"""
+
+
+def _op13(rounds: int = lloyd.ROUNDS) -> str:
+    """Lloyd rounds one after the other: a<i> are the assignments to c<i>, the centroids."""
+    sql = """WITH v AS MATERIALIZED (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v AS m FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16)"""
+    for i in range(rounds + 1):
+        sql += f""",
+a{i} AS MATERIALIZED (SELECT vec_id, v, c, d FROM (SELECT vec_id, v, c, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v, m)])::BIGINT AS d FROM v, c{i})
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)"""
+        if i < rounds:
+            sql += f""",
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(n.m, o.m) AS m FROM c{i} o LEFT JOIN (SELECT c, list(q ORDER BY i) AS m FROM (SELECT c, i, CAST((s - ((s % k) + k) % k) // k AS BIGINT) AS q FROM
+(SELECT c, i, sum(x)::BIGINT AS s, count(*) AS k FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{i}) GROUP BY c, i)) GROUP BY c) n USING (c))"""
+    return sql + f""" SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": _dedup(_OP2, "", "n_sentences"),
     "op4_line_dedup": _dedup(_OP4, "\n", "n_lines"),
     "op5_quality_rules": _OP5,
     "op8_decontamination": _OP8,
     "op10_licenses": _OP10,
+    "op11_exact_dedup": _OP11,
+    "op13_centroid_clustering": _op13(),
 }
