@@ -28,13 +28,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated lines of any length go; documents of which no line is left go too.
+    """Later repeated runs of lines go, found by winnowing, and so do later copies of lines it finds repeated; documents of which no line is left go too.
 
     Null texts and texts without a word stay as they are; rows without a doc_id
     are never cut; rows that repeat a doc_id get the same cuts; of equal lines
-    the first in (doc_id, line) order stays; no documents give none.
+    the first in (doc_id, line) order stays; very long texts and lines are
+    handled whole; other columns are left out; no documents give none.
     """
-    cleaned = lines.dedup_all_lines(docs)
+    cleaned = lines.dedup_lines(docs)
     left = cleaned.where("n_removed = 0 or n_removed < n_lines")
     changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", changed).select(*COLUMNS)
@@ -62,7 +63,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences along a space-filling curve, one row a piece; null and empty texts are their end id; no documents give none."""
+    """Token sequences along a space-filling curve, one row a piece; null and empty texts are their end id.
+
+    Ties on the curve are ordered by a hash of the id; rows that repeat a
+    doc_id and rows without one are packed like others; very long texts are cut
+    into pieces; other columns are left out; no documents give none.
+    """
     return packing.pack(docs, tokenizer_path(), special=True).drop("tokens")
 
 
