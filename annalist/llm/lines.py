@@ -1,15 +1,25 @@
 """Operator 4: line dedup by winnowing over line hashes.
 
-The lines of a document that hold a word form a sequence.  Fingerprints are
-selected from it: a line of at least ``long_words`` words is one by itself, and
-among runs of shorter lines, where single lines are noise, every window of
-``window`` consecutive grams of two lines selects its least gram.  Only the
-selected fingerprints are posted, with the hashes of the lines beside them.
+The lines of a document that hold a word form a sequence.  A window is the
+shortest run of lines from one on that holds ``words`` words; it selects the
+line with the least hash (the first of equals), whatever the lengths of its
+lines.  A text without a whole window selects the least of all its lines.  Only
+the selected fingerprints are posted, with the hashes of the lines beside them.
 Positions of equal fingerprints are joined to the first one, matches are
 extended both ways while the neighbours agree, and all later runs go.
 
-Guarantee: no later line of ``long_words`` words stays, and of a repeated run of
-``window + 1`` shorter lines at least one gram is found.
+Guarantees:
+
+* of a run of lines with ``words`` words or more that stands earlier too, every
+  later copy goes whole: the window at its start lies in both copies and selects
+  the same line, and neighbours reach as far as two selected lines can lie apart;
+* short boilerplate: once winnowing has posted a line twice, its later copies go
+  wherever they stand, also between lines that no other text has.  A line of
+  ``words`` words is a window by itself; of shorter ones each copy is posted
+  with a chance of about two to the number of lines in a window, so of a line
+  with many copies it is posted twice almost surely;
+* a line's first copy in (doc_id, line) order stays: whatever goes has an equal
+  line before it.
 """
 
 from __future__ import annotations
@@ -17,9 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, key128, kept_pieces, later_copies, let, stored
+from .common import FEW_IDS, SPACE, cut, fresh, hot_join, key128, kept_pieces, later_copies, let, stored
 
-WINDOW, LONG_WORDS = 2, 3
+#: Words of a window.
+WORDS = 50
 
 
 def _norm(line: Column) -> Column:
@@ -30,88 +41,112 @@ def _split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def selected(grams: Column, window: int) -> Column:
-    """Booleans: which grams (null: none here) are the least of a whole window of them, or in a run too short for one."""
+def _lines(text: Column) -> Column:
+    """The words of each line that has any, joined by single blanks."""
+    return F.filter(F.transform(_split(text), _norm), lambda x: x != "")
 
-    def pick(g: Column, i: Column) -> Column:
-        def whole(j: Column) -> Column:
-            return (j >= 0) & (j + window <= F.size(grams)) & F.forall(F.slice(grams, F.greatest(j, F.lit(0)) + 1, window), lambda x: x.isNotNull())
 
-        windows = F.filter(F.sequence(i - (window - 1), i), whole)
-        least = F.exists(windows, lambda j: F.forall(F.slice(grams, j + 1, window), lambda x: g <= x))
-        return g.isNotNull() & ((F.size(windows) == 0) | least)
+def _n_words(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
-    return F.transform(grams, pick)
 
+def _fitting(counts: Column, words: int, whole: bool) -> Column:
+    """How many of the first lines hold ``words`` words (null if all hold fewer), or, unless ``whole``, how many hold fewer."""
+    state = lambda total, n: F.struct(total.alias("total"), n.alias("n"))
+    full = lambda a: a["total"] >= words
+    if whole:
+        return F.aggregate(counts, state(F.lit(0), F.lit(0)), lambda a, x: F.when(full(a), a).otherwise(state(a["total"] + x, a["n"] + 1)), lambda a: F.when(full(a), a["n"]))
+    return F.aggregate(counts, state(F.lit(0), F.lit(0)), lambda a, x: state(a["total"] + x, F.when(a["total"] + x < words, a["n"] + 1).otherwise(a["n"])), lambda a: a["n"])
 
-def postings(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
-    """``(doc_id, first, length, key_a, key_b, before, after)`` of the selected fingerprints; first counts lines with a word from 0.
 
-    before and after are the hashes of up to window + 1 lines beside it, the nearest first, and null where a long line or none is next to it.
+def _run(values: Column, first: Column, last: Column) -> Column:
+    """The elements from one place to another, either way, in time linear in their number (a slice copies the whole array)."""
+    return F.transform(F.sequence(first, last), lambda j: F.get(values, j))
+
+
+def selected(hashes: Column, counts: Column, words: int) -> Column:
+    """Places of the lines with the least hash of a window, in the order of their windows."""
+
+    def least(start: Column, n: Column) -> Column:
+        return let(_run(hashes, start, start + n - 1), lambda w: start + F.array_position(w, F.array_min(w)).cast("int") - 1)
+
+    def window(i: Column) -> Column:
+        ahead = _run(counts, i, F.least(i + words, F.size(counts)) - 1)
+        return let(_fitting(ahead, words, True), lambda n: F.when(n.isNotNull(), least(i, n)))
+
+    each = F.transform(F.sequence(F.lit(0), F.size(counts) - 1), window)
+    found = F.array_distinct(F.filter(each, lambda x: x.isNotNull()))
+    picked = let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(least(F.lit(0), F.size(counts)))))
+    return F.when(F.size(counts) > 0, picked).otherwise(F.array().cast("array<int>"))
+
+
+def postings(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``(doc_id, first, key_a, key_b, before, after)`` of the selected fingerprints; first counts lines with a word from 0.
+
+    before and after are the hashes of the lines beside it, the nearest first,
+    as many as hold fewer than ``words`` words.
     """
-    reach = window + 1
-    hashes = lambda part: F.transform(part, lambda x: F.xxhash64(x))
 
     # all of a text's fingerprints are built inside one expression, so that an exploded row never carries the text's lines
-    def fingerprints(s: Column, long: Column, chosen: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            n = F.when(F.get(long, i), 1).when(F.get(chosen, i), 2)
-            content = F.when(F.get(long, i), x).otherwise(F.concat(x, F.lit("\n"), F.get(s, i + 1)))
-            before = F.when(~F.get(long, i - 1), hashes(F.reverse(F.slice(s, F.greatest(i - reach + 1, F.lit(1)), F.least(i, F.lit(reach))))))
-            after = F.when(~F.get(long, i + n), hashes(F.slice(s, i + n + 1, reach)))
-            return F.when(n.isNotNull(), let(content, lambda c: F.struct(i.alias("first"), n.alias("length"), *key128(c), before.alias("before"), after.alias("after"))))
+    def fingerprints(s: Column, counts: Column, chosen: Column) -> Column:
+        none = F.array().cast("array<bigint>")
 
-        return F.filter(F.transform(s, one), lambda f: f.isNotNull())
+        def beside(first: Column, last: Column) -> Column:
+            n = _fitting(_run(counts, first, last), words, False)
+            step = F.when(last < first, -1).otherwise(1)
+            return let(n, lambda k: F.when(k > 0, F.transform(_run(s, first, first + (k - 1) * step), lambda x: F.xxhash64(x))).otherwise(none))
 
-    def gram(s: Column, long: Column) -> Column:
-        return F.transform(s, lambda x, i: F.when(~F.get(long, i) & ~F.get(long, i + 1), F.md5(F.concat(x, F.lit("\n"), F.get(s, i + 1)))))
+        def one(i: Column) -> Column:
+            before = F.when(i > 0, beside(i - 1, F.greatest(i - words + 1, F.lit(0)))).otherwise(none)
+            after = F.when(i < F.size(s) - 1, beside(i + 1, F.least(i + words, F.size(s)) - 1)).otherwise(none)
+            return F.struct(i.alias("first"), *key128(F.get(s, i)), before.alias("before"), after.alias("after"))
 
-    def picked(s: Column, long: Column) -> Column:
-        none = F.array().cast("array<boolean>")
-        return F.when(F.exists(long, lambda x: ~x), let(gram(s, long), lambda g: selected(g, window))).otherwise(none)
+        return F.transform(chosen, one)
 
-    is_long = (lambda x: F.substring_index(x, " ", long_words - 1) != x) if long_words > 1 else (lambda x: x != "")
-    lines = F.filter(F.transform(_split(F.col("text")), _norm), lambda x: x != "")
-    found = let(lines, lambda s: let(F.transform(s, is_long), lambda long: let(picked(s, long), lambda chosen: fingerprints(s, long, chosen))))
-    return docs.select("doc_id", found.alias("f")).select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.*")
+    chosen = lambda s, n: let(F.transform(s, lambda x: F.md5(x)), lambda h: selected(h, n, words))
+    found = let(_lines(F.col("text")), lambda s: let(F.transform(s, _n_words), lambda n: let(chosen(s, n), lambda c: fingerprints(s, n, c))))
+    return docs.select("doc_id", found.alias("f")).select("doc_id", F.inline("f"))
 
 
 def _agreeing(own: Column, other: Column) -> Column:
     """How many of the first elements agree."""
     same = F.zip_with(own, other, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    return F.when(own.isNull() | other.isNull(), 0).otherwise(F.array_position(F.array_append(same, F.lit(False)), False).cast("int") - 1)
+    return F.array_position(F.array_append(same, F.lit(False)), False).cast("int") - 1
 
 
 def repeated(posted: DataFrame) -> DataFrame:
     """``(doc_id, first, length)``: the later runs, each extended both ways along the first place of its fingerprint."""
     later = later_copies(posted, ["doc_id", "first"], ["before", "after"])
     left, right = _agreeing(F.col("before"), F.col("source.before")), _agreeing(F.col("after"), F.col("source.after"))
-    return later.select("doc_id", (F.col("first") - left).alias("first"), (F.col("length") + left + right).alias("length"))
+    return later.select("doc_id", (F.col("first") - left).alias("first"), (1 + left + right).alias("length"))
+
 
+def boilerplate(docs: DataFrame, posted: DataFrame) -> DataFrame:
+    """``(doc_id, first, length)`` of the later copies, wherever they stand, of lines posted more than once."""
+    keys = ["key_a", "key_b"]
+    known = cut(posted.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"))
+    lines = docs.select("doc_id", F.posexplode(F.transform(_lines(F.col("text")), lambda x: F.struct(*key128(x)))).alias("first", "k")).select("doc_id", "first", "k.*")
+    held = lines.join(F.broadcast(known.select(*keys)), keys, "left_semi") if known.count() <= FEW_IDS else hot_join(lines, known, keys).select("doc_id", "first", *keys)
+    return later_copies(stored(held), ["doc_id", "first"]).select("doc_id", "first", F.lit(1).alias("length"))
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+
+def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs`` with ``text`` cleaned, and ``n_lines``, ``n_removed`` (lines with a word).
 
     Lines compare by their words.  Lines without a word are never matched and
     stay.  Null texts stay null, with 0 lines.  Rows that repeat a doc_id count
     as one document: all get the same deletions, and none removes the other.
-    Rows without a doc_id are never cut.  No rows give none; other columns stay.
+    Rows without a doc_id are never cut.  Very long texts and texts of one very
+    long line are handled whole.  No rows give none; other columns stay,
+    whatever their names (n_lines and n_removed are replaced).
     """
-    hits = repeated(stored(postings(docs, window, long_words)))
-    cuts = (
-        hits.select("doc_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("length") - 1)).alias("at"))
-        .groupBy("doc_id")
-        .agg(F.collect_set("at").alias("_cut"))
-    )
+    posted = stored(postings(docs, words))
+    hits = repeated(posted).unionByName(boilerplate(docs, posted))
+    gone, full = fresh(docs.columns, "gone", "full")
+    cuts = hits.select("doc_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("length") - 1)).alias("at")).groupBy("doc_id").agg(F.collect_set("at").alias(gone))
     joined = docs.join(cuts, "doc_id", "left")
     lines = _split(F.col("text"))
-    full = F.filter(F.transform(lines, lambda s, i: F.when(s.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
-    n_lines = F.size("_full")
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept_pieces(lines, F.col("_full"), F.col("_cut"))))
+    places = F.filter(F.transform(lines, lambda s, i: F.when(s.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept_pieces(lines, F.col(full), F.col(gone))))
     out = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return joined.withColumn("_full", full).select(*out, text.alias("text"), n_lines.cast("bigint").alias("n_lines"), F.coalesce(F.size("_cut"), F.lit(0)).cast("bigint").alias("n_removed"))
-
-
-def dedup_all_lines(docs: DataFrame) -> DataFrame:
-    """``dedup_lines`` with every line that holds a word as a fingerprint: of equal lines only the first in (doc_id, line) order stays."""
-    return dedup_lines(docs, long_words=1)
+    return joined.withColumn(full, places).select(*out, text.alias("text"), F.size(full).cast("bigint").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias("n_removed"))

@@ -110,20 +110,21 @@ _OP2 = (
     "w AS (SELECT doc_id, first, len, len || chr(1) || content AS content FROM runs WHERE (len = 3 OR (first = 0 AND m = 2)) AND len(string_split(content, ' ')) >= 20 "
     "UNION ALL SELECT doc_id, k, 1, '1' || chr(1) || norm FROM n WHERE len(string_split(norm, ' ')) >= 20), "
 )
-#: Lines of three words or more, and grams of two shorter lines that are the least of a window of two; matches grow along the first place.
+#: Windows of 50 words select the line of the least hash; matches grow along the first place; lines selected twice go wherever they stand later.
 _OP4 = (
     "WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ps FROM documents), "
     "raw AS (SELECT doc_id, raw, ps[raw] AS piece, " + _NORM.format(x="ps[raw]") + " AS norm FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS raw FROM p)), "
-    "a AS (SELECT doc_id, list(norm ORDER BY k) AS a FROM n GROUP BY doc_id), "
-    "b AS (SELECT doc_id, k, norm, long, lead(norm) OVER d AS next, lag(long) OVER d AS long_before, lead(long) OVER d AS long_1, lead(long, 2) OVER d AS long_2 FROM (SELECT *, len(string_split(norm, ' ')) >= 3 AS long FROM n) WINDOW d AS (PARTITION BY doc_id ORDER BY k)), "
-    "c AS (SELECT *, CASE WHEN NOT long AND NOT long_1 THEN md5(norm || chr(10) || next) END AS g FROM b), "
-    "g AS (SELECT *, lag(g) OVER d AS g0, lead(g) OVER d AS g2 FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY k)), "
-    "f AS (SELECT doc_id, k, 1 AS len, norm AS content, NOT long_before AS l, NOT long_1 AS r FROM g WHERE long "
-    "UNION ALL SELECT doc_id, k, 2, norm || chr(10) || next, NOT long_before, NOT long_2 FROM g WHERE g IS NOT NULL AND ((g0 IS NULL AND g2 IS NULL) OR g <= g0 OR g <= g2)), "
-    "e AS (SELECT doc_id, k, len, content, CASE WHEN l THEN list_reverse(a[greatest(1, k - 2):k]) END AS l, CASE WHEN r THEN a[k + len + 1:k + len + 3] END AS r FROM f JOIN a USING (doc_id)), "
-    "m AS (SELECT *, first_value(l) OVER s AS sl, first_value(r) OVER s AS sr, row_number() OVER s AS nth FROM e WINDOW s AS (PARTITION BY content ORDER BY doc_id, k)), "
-    "x AS (SELECT doc_id, k, len, len([j FOR j IN [1, 2, 3] IF j <= len(l) AND j <= len(sl) AND l[1:j] = sl[1:j]]) AS el, len([j FOR j IN [1, 2, 3] IF j <= len(r) AND j <= len(sr) AND r[1:j] = sr[1:j]]) AS er FROM m WHERE nth > 1), "
-    "later AS (SELECT doc_id, k - el AS first, len + el + er AS len FROM x), "
+    "c AS (SELECT doc_id, k, norm, nw, md5(norm) AS h, sum(nw) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM (SELECT *, len(string_split(norm, ' ')) AS nw FROM n)), "
+    "a AS (SELECT doc_id, list(norm ORDER BY k) AS a, list(nw ORDER BY k) AS ns, list(h ORDER BY k) AS hs, sum(nw) AS total FROM c GROUP BY doc_id), "
+    "e AS (SELECT s.doc_id, s.k, min(t.k) AS k2 FROM c s JOIN c t ON t.doc_id = s.doc_id AND t.k >= s.k AND t.k < s.k + 50 AND t.upto - s.upto + s.nw >= 50 GROUP BY s.doc_id, s.k "
+    "UNION ALL SELECT doc_id, 0, len(a) - 1 FROM a WHERE total < 50), "
+    "fp AS (SELECT DISTINCT doc_id, k + list_position(hs[k + 1:k2 + 1], list_min(hs[k + 1:k2 + 1])) - 1 AS k FROM e JOIN a USING (doc_id)), "
+    "f AS (SELECT doc_id, k, a[k + 1] AS content, list_reverse(a[greatest(1, k - 48):k]) AS l, list_reverse(ns[greatest(1, k - 48):k]) AS ln, a[k + 2:k + 50] AS r, ns[k + 2:k + 50] AS rn FROM fp JOIN a USING (doc_id)), "
+    "g AS (SELECT doc_id, k, content, [l[j] FOR j IN range(1, len(l) + 1) IF list_sum(ln[1:j]) < 50] AS l, [r[j] FOR j IN range(1, len(r) + 1) IF list_sum(rn[1:j]) < 50] AS r FROM f), "
+    "m AS (SELECT *, first_value(l) OVER s AS sl, first_value(r) OVER s AS sr, row_number() OVER s AS nth FROM g WINDOW s AS (PARTITION BY content ORDER BY doc_id, k)), "
+    "x AS (SELECT doc_id, k, len([j FOR j IN range(1, 50) IF j <= len(l) AND j <= len(sl) AND l[1:j] = sl[1:j]]) AS el, len([j FOR j IN range(1, 50) IF j <= len(r) AND j <= len(sr) AND r[1:j] = sr[1:j]]) AS er FROM m WHERE nth > 1), "
+    "later AS (SELECT doc_id, k - el AS first, 1 + el + er AS len FROM x UNION ALL "
+    "SELECT doc_id, k, 1 FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) AS nth FROM n WHERE norm IN (SELECT content FROM g GROUP BY content HAVING count(*) > 1)) WHERE nth > 1), "
 )
 
 

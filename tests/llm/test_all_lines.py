@@ -1,4 +1,4 @@
-"""The pipeline's line stage against brute force: lines of any length."""
+"""The pipeline's line stage against brute force."""
 
 import random
 
@@ -8,7 +8,8 @@ pytest.importorskip("annalist.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
-def test_stage_cuts_every_later_equal_line(spark):
+def test_stage_cuts_later_equal_lines(spark):
+    """Every line here is posted more than once or stands once, so of equal lines only the first stays."""
     r = random.Random(12)
     pool = ["ok", "share this", "all rights reserved here", " ".join("abcdefghi"), " ".join("abcdefghijklmn")]
     texts = [None, "", "\n \n", "nine words in a one line document as whole", "nine words in a one line document as whole"]
