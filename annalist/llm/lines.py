@@ -13,11 +13,10 @@ Guarantees:
 * of a run of lines with ``words`` words or more that stands earlier too, every
   later copy goes whole: the window at its start lies in both copies and selects
   the same line, and neighbours reach as far as two selected lines can lie apart;
-* short boilerplate: once winnowing has posted a line twice, its later copies go
-  wherever they stand, also between lines that no other text has.  A line of
-  ``words`` words is a window by itself; of shorter ones each copy is posted
-  with a chance of about two to the number of lines in a window, so of a line
-  with many copies it is posted twice almost surely;
+* boilerplate: of a line of any length that stands in ``copies`` places or more,
+  every later copy goes, also between lines that no other text has.  Winnowing
+  alone can't promise that of a short line whose hash is seldom the least, so
+  these lines are counted;
 * a line's first copy in (doc_id, line) order stays: whatever goes has an equal
   line before it.
 """
@@ -29,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import FEW_IDS, SPACE, cut, fresh, hot_join, key128, kept_pieces, later_copies, let, stored
 
-#: Words of a window.
-WORDS = 50
+#: Words of a window, and copies from which a line is boilerplate.
+WORDS, COPIES = 50, 8
 
 
 def _norm(line: Column) -> Column:
@@ -80,15 +79,15 @@ def selected(hashes: Column, counts: Column, words: int) -> Column:
     return F.when(F.size(counts) > 0, picked).otherwise(F.array().cast("array<int>"))
 
 
-def postings(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(doc_id, first, key_a, key_b, before, after)`` of the selected fingerprints; first counts lines with a word from 0.
+def line_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``(doc_id, first, key_a, key_b, chosen, before, after)``: a row a line with a word, ``first`` its number from 0, and one more, chosen, a selected fingerprint.
 
     before and after are the hashes of the lines beside it, the nearest first,
     as many as hold fewer than ``words`` words.
     """
 
-    # all of a text's fingerprints are built inside one expression, so that an exploded row never carries the text's lines
-    def fingerprints(s: Column, counts: Column, chosen: Column) -> Column:
+    # all of a text's rows are built inside one expression, so that an exploded row never carries the text's lines
+    def rows(s: Column, counts: Column, chosen: Column) -> Column:
         none = F.array().cast("array<bigint>")
 
         def beside(first: Column, last: Column) -> Column:
@@ -96,18 +95,27 @@ def postings(docs: DataFrame, words: int = WORDS) -> DataFrame:
             step = F.when(last < first, -1).otherwise(1)
             return let(n, lambda k: F.when(k > 0, F.transform(_run(s, first, first + (k - 1) * step), lambda x: F.xxhash64(x))).otherwise(none))
 
-        def one(i: Column) -> Column:
+        def fingerprint(i: Column) -> Column:
             before = F.when(i > 0, beside(i - 1, F.greatest(i - words + 1, F.lit(0)))).otherwise(none)
             after = F.when(i < F.size(s) - 1, beside(i + 1, F.least(i + words, F.size(s)) - 1)).otherwise(none)
-            return F.struct(i.alias("first"), *key128(F.get(s, i)), before.alias("before"), after.alias("after"))
+            return row(i, F.get(s, i), F.lit(True), before, after)
 
-        return F.transform(chosen, one)
+        def row(i: Column, x: Column, is_chosen: Column, before: Column, after: Column) -> Column:
+            return F.struct(i.alias("first"), *key128(x), is_chosen.alias("chosen"), before.alias("before"), after.alias("after"))
+
+        null = F.lit(None).cast("array<bigint>")
+        return F.concat(F.transform(s, lambda x, i: row(i, x, F.lit(False), null, null)), F.transform(chosen, fingerprint))
 
     chosen = lambda s, n: let(F.transform(s, lambda x: F.md5(x)), lambda h: selected(h, n, words))
-    found = let(_lines(F.col("text")), lambda s: let(F.transform(s, _n_words), lambda n: let(chosen(s, n), lambda c: fingerprints(s, n, c))))
+    found = let(_lines(F.col("text")), lambda s: let(F.transform(s, _n_words), lambda n: let(chosen(s, n), lambda c: rows(s, n, c))))
     return docs.select("doc_id", found.alias("f")).select("doc_id", F.inline("f"))
 
 
+def postings(table: DataFrame) -> DataFrame:
+    """The selected fingerprints of a ``line_table``."""
+    return table.where("chosen").drop("chosen")
+
+
 def _agreeing(own: Column, other: Column) -> Column:
     """How many of the first elements agree."""
     same = F.zip_with(own, other, lambda x, y: F.coalesce(x == y, F.lit(False)))
@@ -121,16 +129,16 @@ def repeated(posted: DataFrame) -> DataFrame:
     return later.select("doc_id", (F.col("first") - left).alias("first"), (1 + left + right).alias("length"))
 
 
-def boilerplate(docs: DataFrame, posted: DataFrame) -> DataFrame:
-    """``(doc_id, first, length)`` of the later copies, wherever they stand, of lines posted more than once."""
+def boilerplate(table: DataFrame, copies: int = COPIES) -> DataFrame:
+    """``(doc_id, first, length)`` of the later copies of lines that stand in ``copies`` places or more, counted over all lines of a ``line_table``."""
     keys = ["key_a", "key_b"]
-    known = cut(posted.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"))
-    lines = docs.select("doc_id", F.posexplode(F.transform(_lines(F.col("text")), lambda x: F.struct(*key128(x)))).alias("first", "k")).select("doc_id", "first", "k.*")
+    lines = table.where("not chosen").select("doc_id", "first", *keys)
+    known = cut(lines.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= copies))
     held = lines.join(F.broadcast(known.select(*keys)), keys, "left_semi") if known.count() <= FEW_IDS else hot_join(lines, known, keys).select("doc_id", "first", *keys)
     return later_copies(stored(held), ["doc_id", "first"]).select("doc_id", "first", F.lit(1).alias("length"))
 
 
-def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, words: int = WORDS, copies: int = COPIES) -> DataFrame:
     """``docs`` with ``text`` cleaned, and ``n_lines``, ``n_removed`` (lines with a word).
 
     Lines compare by their words.  Lines without a word are never matched and
@@ -140,8 +148,8 @@ def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     long line are handled whole.  No rows give none; other columns stay,
     whatever their names (n_lines and n_removed are replaced).
     """
-    posted = stored(postings(docs, words))
-    hits = repeated(posted).unionByName(boilerplate(docs, posted))
+    table = stored(line_table(docs, words))
+    hits = repeated(postings(table)).unionByName(boilerplate(table, copies))
     gone, full = fresh(docs.columns, "gone", "full")
     cuts = hits.select("doc_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("length") - 1)).alias("at")).groupBy("doc_id").agg(F.collect_set("at").alias(gone))
     joined = docs.join(cuts, "doc_id", "left")

@@ -110,7 +110,7 @@ _OP2 = (
     "w AS (SELECT doc_id, first, len, len || chr(1) || content AS content FROM runs WHERE (len = 3 OR (first = 0 AND m = 2)) AND len(string_split(content, ' ')) >= 20 "
     "UNION ALL SELECT doc_id, k, 1, '1' || chr(1) || norm FROM n WHERE len(string_split(norm, ' ')) >= 20), "
 )
-#: Windows of 50 words select the line of the least hash; matches grow along the first place; lines selected twice go wherever they stand later.
+#: Windows of 50 words select the line of the least hash; matches grow along the first place; of lines with 8 copies the first stays.
 _OP4 = (
     "WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ps FROM documents), "
     "raw AS (SELECT doc_id, raw, ps[raw] AS piece, " + _NORM.format(x="ps[raw]") + " AS norm FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS raw FROM p)), "
@@ -124,7 +124,7 @@ _OP4 = (
     "m AS (SELECT *, first_value(l) OVER s AS sl, first_value(r) OVER s AS sr, row_number() OVER s AS nth FROM g WINDOW s AS (PARTITION BY content ORDER BY doc_id, k)), "
     "x AS (SELECT doc_id, k, len([j FOR j IN range(1, 50) IF j <= len(l) AND j <= len(sl) AND l[1:j] = sl[1:j]]) AS el, len([j FOR j IN range(1, 50) IF j <= len(r) AND j <= len(sr) AND r[1:j] = sr[1:j]]) AS er FROM m WHERE nth > 1), "
     "later AS (SELECT doc_id, k - el AS first, 1 + el + er AS len FROM x UNION ALL "
-    "SELECT doc_id, k, 1 FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) AS nth FROM n WHERE norm IN (SELECT content FROM g GROUP BY content HAVING count(*) > 1)) WHERE nth > 1), "
+    "SELECT doc_id, k, 1 FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) AS nth FROM n WHERE norm IN (SELECT norm FROM n GROUP BY norm HAVING count(*) >= 8)) WHERE nth > 1), "
 )
 
 

@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -36,7 +36,7 @@ def picked(s, words):
     return list(dict.fromkeys(out)) or ([h.index(min(h))] if s else [])
 
 
-def slow_lines(texts, words=lines.WORDS):
+def slow_lines(texts, words=lines.WORDS, copies=lines.COPIES):
     """Which lines with a word go: by the definition, one document after the other."""
     held = [[words_of(x) for x in (t or "").split("\n") if x.split()] for t in texts]
     posted = [(s[i], d, i) for d, s in enumerate(held) for i in sorted(picked(s, words))]
@@ -55,10 +55,10 @@ def slow_lines(texts, words=lines.WORDS):
                     break
                 gone[d].add(i + j)
                 j += step
-    twice = {k for k, _, _ in posted if sum(k == x for x, _, _ in posted) > 1}
+    every = Counter(x for s in held for x in s)
     for d, s in enumerate(held):
         for i, x in enumerate(s):
-            if x in seen and x in twice:
+            if x in seen and every[x] >= copies:
                 gone[d].add(i)
             seen.add(x)
     return gone
@@ -115,11 +115,11 @@ def test_most_postings_are_minima_of_windows(spark):
         total += len(s)
         for i in picked(s, lines.WORDS):
             kinds[len(s[i].split()) >= lines.WORDS] += 1
-    posted = lines.postings(docs)
+    posted = lines.postings(lines.line_table(docs))
     assert posted.count() == sum(kinds.values()) < 0.65 * total and kinds[False] > 0.3 * posted.count()
     assert posted.where("size(before) + size(after) > 0").count() > 0.5 * kinds[False]
     many = "\n".join(f"w{i} v" for i in range(5000))
-    assert lines.postings(frame(spark, [many])).count() < 2.6 / 26 * 5000  # windows of 25 lines
+    assert lines.postings(lines.line_table(frame(spark, [many]))).count() < 2.6 / 26 * 5000  # windows of 25 lines
 
 
 def test_short_boilerplate_goes_wherever_it_stands(spark):
