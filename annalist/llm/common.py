@@ -111,23 +111,45 @@ def key128(*columns: Column) -> list[Column]:
 HOT, HOT_ROWS = 1 / 1000, 1000
 
 
-def hot_join(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` joined to ``one``, which has a row per key and ``n``, the number of ``rows`` of that key.
+def hot_join(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", count: str = "n") -> DataFrame:
+    """``rows`` joined to ``one``, which has a row per key and ``count``, the number of ``rows`` of that key.
 
     A hot key may hold a third of all rows.  The few hot rows of ``one`` (1000
     at most, since each holds over a thousandth) are broadcast, so that the rows
     of a hot key stay where they are; all others meet in a shuffle.  ``one``
     should be materialised: it is read more than once.
     """
-    total = one.agg(F.sum("n")).first()[0] or 0
-    hot = one.where(F.col("n") > max(total * HOT, HOT_ROWS))
+    least = _hot_from(one, count)
+    hot = one.where(F.col(count) > least)
     if not hot.take(1):
         return rows.join(one, keys, how)
     few = F.broadcast(hot)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one.where(F.col("n") <= max(total * HOT, HOT_ROWS)), keys, how)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one.where(F.col(count) <= least), keys, how)
     return rows.join(few, keys).unionByName(cold)
 
 
+def _hot_from(counted: DataFrame, count: str) -> float:
+    return max((counted.agg(F.sum(count)).first()[0] or 0) * HOT, HOT_ROWS)
+
+
+def salted_join(rows: DataFrame, one: DataFrame, key: str, other: str, counted: DataFrame) -> DataFrame:
+    """``rows`` joined to ``one``, which has a row per ``key``, where rows of ``one`` are too wide to broadcast.
+
+    A hot key's rows are dealt by ``other`` to as many parts as they exceed the
+    limit of ``hot_join``, and its row of ``one`` is copied to each part.
+    ``counted`` has the keys of ``rows``, and should be materialised.
+    """
+    counts = cut(counted.groupBy(key).agg(F.count("*").alias("n")))
+    least = _hot_from(counts, "n")
+    hot = counts.where(F.col("n") > least).select(key, F.ceil(F.col("n") / least).cast("int").alias("parts"))
+    if not hot.take(1):
+        return rows.join(one, key)
+    few, parts = F.broadcast(hot), F.coalesce("parts", F.lit(1))  # 1000 keys at most
+    left = rows.join(few, key, "left").withColumn("salt", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
+    right = one.join(few, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
 def later_copies(posted: DataFrame, place: list[str], carried: list[str] = ()) -> DataFrame:
     """The rows of ``posted(key_a, key_b, ...)`` whose key stands earlier too, with ``source``, the first place and what it carries.
 

@@ -1,7 +1,8 @@
 """Connected components by alternating star contraction, without any driver-side graph.
 
 Each round is two joins on the node, each against a table with one row per
-node, so a hub costs partial aggregation rather than a collected neighbour list.
+node, so a hub costs partial aggregation rather than a collected neighbour list;
+the rows of hubs stay where they are and meet a broadcast of the few hubs.
 """
 
 from __future__ import annotations
@@ -9,19 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_join
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+    return hot_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` run from the larger node u to the smaller v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    hooked = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    hooked = hot_join(edges, least, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hooked.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -34,7 +35,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     current = cut(ordered)
     seen = None
     for _ in range(rounds):
-        current = cut(_small_star(_large_star(current)))
+        current = cut(_small_star(cut(_large_star(current))))
         mark = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -29,14 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, discard, hot_join, only, small_batches, stored, without
+from .common import cut, discard, hot_join, only, salted_join, small_batches, stored, without
 from .components import connected_components
 
 #: Similarity as a fraction, so that thresholds are whole numbers.
 SHINGLE, SIMILARITY = 5, (4, 5)
 EXTRA, SAMPLED, FREQUENT = 8, 16, 100_000
-#: Classes of a bucket beyond which it is compared in blocks, and the shingles of a block.
-DENSE, BLOCK = 48, 200_000
+#: Classes of a bucket beyond which it is compared in blocks, and the shingles and classes of a block: two blocks meet as a matrix of classes.
+DENSE, BLOCK, CLASSES = 48, 200_000, 1000
 _SETS = "doc_id bigint, key_a bigint, key_b bigint, n int, fp bigint, taken array<bigint>"
 
 
@@ -129,7 +129,9 @@ def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: tupl
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "g": [grams(t) for t in batch["text"]]})
 
     held = stored(only(texts, asked).mapInPandas(run, "doc_id bigint, g array<bigint>"))
-    met = pairs.join(held.select(F.col("doc_id").alias("u"), F.col("g").alias("gu")), "u").join(held.select(F.col("doc_id").alias("v"), F.col("g").alias("gv")), "v")
+    # sets are wide, so that a text asked about often is copied to parts rather than broadcast
+    half = salted_join(pairs, held.select(F.col("doc_id").alias("u"), F.col("g").alias("gu")), "u", "v", pairs)
+    met = salted_join(half, held.select(F.col("doc_id").alias("v"), F.col("g").alias("gv")), "v", "u", pairs)
     both = met.select("u", "v", F.size("gu").alias("m"), F.size("gv").alias("n"), F.size(F.array_intersect("gu", "gv")).alias("both"))
     near = cut(both.where(F.col("both") * b >= (F.col("m") + F.col("n") - F.col("both")) * a).select("u", "v"))
     discard(held)
@@ -170,7 +172,7 @@ def _forest(near: np.ndarray) -> np.ndarray:
 
 
 def _linked_blocks(texts: DataFrame, live: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """Edges ``(u, v)`` whose components are those of all pairs at the similarity within the buckets of ``live(gram, id, n, weight)``."""
+    """Edges ``(u, v)`` whose components are those of all pairs at the similarity within the buckets of ``live(gram, id, n, m, weight)``."""
     a, b = similarity
     asked = live.select(F.col("id").alias("doc_id"))
 
@@ -180,7 +182,7 @@ def _linked_blocks(texts: DataFrame, live: DataFrame, shingle: int, similarity:
             yield pd.DataFrame({"id": batch["doc_id"].to_numpy(), "g": [grams(t) for t in batch["text"]]})
 
     held = stored(only(texts, asked).mapInPandas(run, "id bigint, g array<bigint>"))
-    parted = live.withColumn("parts", F.ceil(F.col("weight") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    parted = live.withColumn("parts", F.ceil(F.greatest(F.col("weight") / BLOCK, F.col("m") / CLASSES)).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     spread = parted.select("gram", "id", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
     blocks = spread.select("gram", F.least("part", "q").alias("lo"), F.greatest("part", "q").alias("hi"), "id").join(held, "id")
 
@@ -236,13 +238,14 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int]
     first = _verified(texts, _likely(classes, similarity), shingle, similarity)
     rooted = _roots(unique, first)
 
-    posted = wide.select("id", F.posexplode("taken").alias("place", "gram"))
+    # distinct sets of fewer shingles can't reach the similarity: one of n shares n / (n + 1) with another at most
+    posted = wide.where(F.col("size") * (b - a) >= a).select("id", F.posexplode("taken").alias("place", "gram"))
     # a shingle that one class alone posts, or classes of one component, adds no link
     shared = posted.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     open_ = stored(hot_join(posted, cut(shared), ["gram"]).select("id", "gram", "place").join(rooted, "id"))
     discard(wide)
     mixed = open_.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("weight")).where("lo <> hi").select("gram", "m", "weight")
-    every = stored(open_.join(mixed, "gram"))
+    every = stored(hot_join(open_, cut(mixed), ["gram"], count="m"))
     discard(open_)
     dense = _linked_blocks(texts, every.where(F.col("m") > DENSE), shingle, similarity)
     live = every.where(F.col("m") <= DENSE).select("id", "gram", "place", "n", "root")

@@ -122,10 +122,10 @@ def hamming_links(distinct: DataFrame, distance: int = 4, segments=SEGMENTS, den
         ).alias("k"),
         F.col("fp").alias("probe"),
     ).select("k.*", "probe")
-    sizes = table.groupBy("seg", "value").agg(F.count("*").alias("n"))
+    sizes = cut(table.groupBy("seg", "value").agg(F.count("*").alias("n")))
     # one row per bucket: its fingerprints if few, only their number if many
     buckets = cut(
-        table.join(sizes, ["seg", "value"])
+        hot_join(table, sizes, ["seg", "value"])
         .groupBy("seg", "value", "n")
         .agg(F.collect_list(F.when(F.col("n") <= dense, F.col("fp"))).alias("held"))
     )

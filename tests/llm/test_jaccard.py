@@ -74,3 +74,40 @@ def test_clouds_compared_in_blocks(spark, monkeypatch, dense, block):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
     want = kept_by_brute_force(texts)
     assert {x["doc_id"] for x in jaccard.keep_first(df).collect()} == want and len(want) > 10
+
+
+def test_dense_blocks_are_bounded_by_texts_too(spark, monkeypatch):
+    """Short texts of one opening phrase: blocks hold CLASSES texts at most, so memory doesn't grow with the square of a bucket."""
+    import tracemalloc
+
+    import numpy as np
+
+    from annalist.llm import jaccard
+
+    r = np.random.RandomState(3)
+    sets = [np.unique(np.append(r.randint(0, 10**9, 5), [1, 2])) for _ in range(2 * jaccard.CLASSES)]
+    tracemalloc.start()
+    near = jaccard._overlaps(sets) * 9 >= 4 * (np.array([len(g) for g in sets])[:, None] + np.array([len(g) for g in sets])[None, :])
+    np.fill_diagonal(near, True)
+    assert (jaccard._forest(near) == np.arange(len(sets))).all() and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    monkeypatch.setattr(jaccard, "DENSE", 20)
+    monkeypatch.setattr(jaccard, "CLASSES", 40)
+    texts = [f"our common opening phrase is here {i} {'x y z' if i % 2 else 'v w'} {i}" for i in range(300)] + [f"our common opening phrase is here then one two three four five six seven eight nine ten {i}" for i in range(3)]
+    texts += [f"six word text number {i} only" for i in range(300)] + ["six word text number 1 only"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    want = kept_by_brute_force(texts)
+    assert {x["doc_id"] for x in jaccard.keep_first(df).collect()} == want and len(texts) - len(want) == 3
+
+
+def test_hubs_are_split(spark, monkeypatch):
+    from annalist.llm import common, components
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(59, 100), (100, 101), (200, 201), (7, 7)], "u bigint, v bigint")
+    got = {x["node"]: x["root"] for x in components.connected_components(edges).collect()}
+    assert got == {**{i: 0 for i in range(60)}, 100: 0, 101: 0, 200: 200, 201: 200}
+    rows = spark.createDataFrame([(0, i) for i in range(40)] + [(1, 1)], "u bigint, v bigint")
+    wide = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "u bigint, w string")
+    met = common.salted_join(rows, wide, "u", "v", rows).collect()
+    assert sorted((x["u"], x["v"], x["w"]) for x in met) == [(0, i, "a") for i in range(40)] + [(1, 1, "b")]
