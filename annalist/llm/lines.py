@@ -30,6 +30,8 @@ from .common import FEW_IDS, SPACE, cut, fresh, hot_join, key128, kept_pieces, l
 
 #: Words of a window, and copies from which a line is boilerplate.
 WORDS, COPIES = 50, 8
+#: Lines looked at first.
+NEAR = 6
 
 
 def _norm(line: Column) -> Column:
@@ -70,8 +72,9 @@ def selected(hashes: Column, counts: Column, words: int) -> Column:
         return let(_run(hashes, start, start + n - 1), lambda w: start + F.array_position(w, F.array_min(w)).cast("int") - 1)
 
     def window(i: Column) -> Column:
-        ahead = _run(counts, i, F.least(i + words, F.size(counts)) - 1)
-        return let(_fitting(ahead, words, True), lambda n: F.when(n.isNotNull(), least(i, n)))
+        within = lambda most: _fitting(_run(counts, i, F.least(i + most, F.size(counts)) - 1), words, True)
+        # few lines do as a rule, and the second look is only taken where they don't
+        return let(F.coalesce(within(min(NEAR, words)), within(words)), lambda n: F.when(n.isNotNull(), least(i, n)))
 
     each = F.transform(F.sequence(F.lit(0), F.size(counts) - 1), window)
     found = F.array_distinct(F.filter(each, lambda x: x.isNotNull()))
@@ -91,8 +94,10 @@ def line_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
         none = F.array().cast("array<bigint>")
 
         def beside(first: Column, last: Column) -> Column:
-            n = _fitting(_run(counts, first, last), words, False)
             step = F.when(last < first, -1).otherwise(1)
+            near = F.when(F.abs(last - first) < NEAR, last).otherwise(first + step * (NEAR - 1))
+            few = _fitting(_run(counts, first, near), words, False)
+            n = let(few, lambda k: F.when((k < NEAR) | (near == last), k).otherwise(_fitting(_run(counts, first, last), words, False)))
             return let(n, lambda k: F.when(k > 0, F.transform(_run(s, first, first + (k - 1) * step), lambda x: F.xxhash64(x))).otherwise(none))
 
         def fingerprint(i: Column) -> Column:
@@ -108,7 +113,8 @@ def line_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     chosen = lambda s, n: let(F.transform(s, lambda x: F.md5(x)), lambda h: selected(h, n, words))
     found = let(_lines(F.col("text")), lambda s: let(F.transform(s, _n_words), lambda n: let(chosen(s, n), lambda c: rows(s, n, c))))
-    return docs.select("doc_id", found.alias("f")).select("doc_id", F.inline("f"))
+    # a plain inline lets the optimizer ask for the size of the array first, which builds it twice
+    return docs.select("doc_id", found.alias("f")).select("doc_id", F.inline_outer("f")).where("first is not null")
 
 
 def postings(table: DataFrame) -> DataFrame:
