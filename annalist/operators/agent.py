@@ -32,8 +32,8 @@ def find(notes: list[dict], start: str = "", end: str = "", keywords: list[str]
     return out
 
 
-def call(notes: list[dict], name: str, args: dict) -> str:
-    """One tool call; whatever goes wrong comes back as text."""
+def call(notes: list[dict], name: str, args: dict, summarise: Callable[[list[str]], str] = " | ".join) -> str:
+    """One tool call; whatever goes wrong comes back as text.  ``summarise`` gets whole texts; a stub of a summary joins them."""
     try:
         if name == "meta":
             return meta(notes)
@@ -45,7 +45,7 @@ def call(notes: list[dict], name: str, args: dict) -> str:
             i = int(args["note_id"])
             return notes[i]["text"] if 0 <= i < len(notes) else f"note_id {i} is not in 0..{len(notes) - 1}"
         if name == "summary":
-            return " | ".join(notes[int(i)]["text"][:200] for i in args.get("note_ids", [])) or "no note ids"
+            return summarise([notes[int(i)]["text"] for i in args.get("note_ids", [])]) or "no note ids"
         return f"unknown tool: {name}"
     except Exception as e:  # a tool's failure is an observation for the agent
         return f"tool error ({name}): {e}"

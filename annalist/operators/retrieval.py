@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_chunks
+from .lexical import bm25, tokens, top_k  # noqa: F401  a part of this module's interface
 
 
 def as_of(questions: DataFrame, notes: DataFrame) -> DataFrame:
@@ -18,41 +19,6 @@ def as_of(questions: DataFrame, notes: DataFrame) -> DataFrame:
     return questions.join(notes, "subject_id").where("note_date is not null and note_date <= cutoff")
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of word characters, accented ones too."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w+\b"), F.lit(0))
-
-
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None, rank: str = "rank") -> DataFrame:
-    """The first k rows of each key with their 1-based rank; Spark prunes within partitions before the shuffle."""
-    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    return ranked if k is None else ranked.where(F.col(rank) <= k)
-
-
-def bm25(questions: DataFrame, notes: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """BM25 over each question's own visible corpus: (question_id, note_idx, score, rank).
-
-    Term frequencies are computed once per note; document frequencies, lengths
-    and the floor for negative weights follow the cutoff of each question.
-    """
-    asked = questions.select("question_id", "subject_id", "cutoff", F.explode(tokens(F.col("natural_query"))).alias("term")).groupBy("question_id", "subject_id", "cutoff", "term").agg(F.count("*").alias("qtf"))
-    tf = notes.where("note_date is not null").select("subject_id", "note_idx", "note_date", F.explode(tokens(F.col("text"))).alias("term")).groupBy("subject_id", "note_idx", "note_date", "term").agg(F.count("*").alias("tf"))
-    length = notes.where("note_date is not null").select("subject_id", "note_idx", "note_date", F.size(tokens(F.col("text"))).alias("dl"))
-    q = questions.select("question_id", "subject_id", "cutoff")
-    seen = q.join(length, "subject_id").where("note_date <= cutoff")
-    corpus = seen.groupBy("question_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = q.join(tf, "subject_id").where("note_date <= cutoff").groupBy("question_id", "term").agg(F.count("*").alias("df"))
-    idf = df.join(corpus, "question_id").withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    floor = idf.groupBy("question_id").agg((F.avg("idf") * epsilon).alias("floor"))
-    weight = idf.join(asked.select("question_id", "term", "qtf"), ["question_id", "term"]).join(floor, "question_id").select("question_id", "term", "qtf", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    matched = asked.join(tf, ["subject_id", "term"]).where("note_date <= cutoff").select("question_id", "note_idx", "term", "tf")
-    norm = F.lit(k1) * (1 - b + F.col("dl") * b / F.col("avgdl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    hits = matched.join(weight, ["question_id", "term"]).join(seen.select("question_id", "note_idx", "dl"), ["question_id", "note_idx"]).groupBy("question_id", "note_idx").agg(F.sum(part).alias("score"))
-    scored = seen.select("question_id", "note_idx").join(hits, ["question_id", "note_idx"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6))
-    return top_k(scored, ["question_id"], [F.desc("score"), F.asc("note_idx")], k)
-
-
 Scorer = Callable[[list[str], list[str]], list[float]]
 
 

@@ -105,18 +105,60 @@ def drop_redundant(facts: DataFrame, key: str, judge: Callable[[DataFrame], Data
     return left.join(gone, [key, "fact_idx"], "left_anti")
 
 
+def _place(key: Column) -> Column:
+    """Where the hash order of a key stands between 0 and 2**32: its first eight digits."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")
+
+
+def k_smallest(df: DataFrame, stratum: str, quotas: DataFrame, key: Column) -> DataFrame:
+    """The first ``quota`` rows of each stratum in hash order, with their ``turn``; ``quotas(stratum, k, quota)`` has a row a stratum with its size.
+
+    Hashes are even, so of a stratum of k rows all but very few of the first
+    ``quota`` hashes lie below a bound somewhat above quota / k; rows beyond it
+    never leave their task.  Strata in which fewer than their quota lie below
+    are looked at whole, so the result is exact.
+    """
+    keep, bound, turn = F.least("quota", "k"), "__bound", "turn"
+    share = (keep + 6 * F.sqrt(keep) + 20) / F.col("k")
+    held = quotas.select(stratum, "quota", keep.alias("__keep"), F.when(share >= 1, F.lit(1 << 32)).otherwise(share * (1 << 32)).cast("bigint").alias(bound))
+    placed = df.withColumn("__place", _place(key))
+    near = placed.join(held, stratum).where(F.col("__place") < F.col(bound))
+    # counts by stratum, so nothing but numbers meets
+    few = near.groupBy(stratum).agg(F.count("*").alias("__n"), F.first("__keep").alias("__least")).where("__n >= __least").select(stratum)
+    sure = near.join(few, stratum, "left_semi")
+    rest = placed.join(held.join(few, stratum, "left_anti"), stratum)
+    order = Window.partitionBy(stratum).orderBy("__place", F.md5(key.cast("string")), key)
+    ranked = sure.unionByName(rest).withColumn(turn, F.row_number().over(order).cast("bigint"))
+    return ranked.where(F.col(turn) <= F.col("quota")).drop("__place", bound, "quota", "__keep")
+
+
 def stratified_quota(df: DataFrame, stratum: str, n: int, key: Column) -> DataFrame:
-    """About n rows in proportion to the strata, at least one of each, by hash order."""
-    total = Window.partitionBy(F.lit(1))
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("k")).withColumn("quota", F.greatest(F.lit(1), F.round(n * F.col("k") / F.sum("k").over(total)).cast("int")))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(key.cast("string")), key)))
-    return ranked.join(F.broadcast(sizes.select(stratum, "quota")), stratum).where("_r <= quota").drop("_r", "quota")
+    """About n rows in proportion to the strata, at least one of each, by hash order; the strata are few enough to be listed."""
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("k"))
+    quotas = sizes.select(stratum, "k", F.greatest(F.lit(1), F.round(n * F.col("k") / F.lit(max(1, df.count()))).cast("int")).alias("quota"))
+    return k_smallest(df, stratum, quotas, key).drop("turn")
 
 
 def round_robin(df: DataFrame, stratum: str, n: int, key: Column) -> DataFrame:
-    """n rows that take the strata in turn."""
-    ranked = df.withColumn("turn", F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(key.cast("string")), key)).cast("bigint"))
-    return ranked.orderBy("turn", stratum).limit(n)
+    """n rows that take the strata in turn; of each stratum at most n rows leave their task but few."""
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("k"), F.lit(n).alias("quota"))
+    return k_smallest(df, stratum, sizes, key).orderBy("turn", stratum).limit(n)
+
+
+def hash_ranks(df: DataFrame, keys: list[str], key: Column, rank: str = "rank", rows: int = 50_000) -> DataFrame:
+    """``df`` with the 1-based place of each row in the hash order of its group, ties by the key itself.
+
+    Places come from counts of hash ranges and ranks within a range; ranges are
+    narrow enough that about ``rows`` rows of the whole table share one, so no
+    task orders a group whatever its size.
+    """
+    ranges = 1 << max(0, min(20, (df.count() // rows).bit_length()))
+    placed = df.withColumns({"__place": _place(key)}).withColumn("__range", F.floor(F.col("__place") * ranges / (1 << 32)))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = placed.groupBy(*keys, "__range").agg(F.count("*").alias("__n")).select(*keys, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy(*keys, "__range").orderBy("__place", F.md5(key.cast("string")), key)
+    ranked = placed.withColumn("__within", F.row_number().over(within)).join(starts, [*keys, "__range"])
+    return ranked.withColumn(rank, (F.col("__start") + F.col("__within")).cast("bigint")).drop("__place", "__range", "__within", "__start")
 
 
 def rate_window(events: DataFrame, by: str, at: str, size: str, seconds: int = 60) -> DataFrame:

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from .functions import stem as ST
 from .functions import text as T
+from .functions import tokens as K
 from .operators import agreement as A
+from .operators import asof as O
+from .operators import matching as B
 from .operators import facts as X
 from .operators import pairwise as P
 from .operators import retrieval as R
 from .operators import tables as S
 from .operators import timeline as L
+from .operators import vectors as N
 from .plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,8 +111,14 @@ def _(spark, d):
 
 @query("join_02", "SELECT question_id, count(note_idx) AS n, min(note_date) AS first_date, max(note_date) AS last_date FROM v_questions q LEFT JOIN v_notes n ON q.subject_id = n.subject_id AND note_date <= cutoff GROUP BY question_id")
 def _(spark, d):
-    q, n = V.questions(spark, d), V.notes(spark, d).drop("text")
-    return q.join(n, (q.subject_id == n.subject_id) & (n.note_date <= q.cutoff), "left").groupBy("question_id").agg(F.count("note_idx").alias("n"), F.min("note_date").alias("first_date"), F.max("note_date").alias("last_date"))
+    return O.as_of_summary(V.questions(spark, d).select("question_id", "subject_id", "cutoff"), V.notes(spark, d)).select("question_id", "n", "first_date", "last_date")
+
+
+@query("join_02_rows", "SELECT question_id, note_idx, note_date FROM v_questions JOIN v_notes USING (subject_id) WHERE note_date <= cutoff")
+def _(spark, d):
+    """The visible notes themselves, one row a question and note."""
+    q, n = V.questions(spark, d), V.notes(spark, d).select("subject_id", "note_idx", "note_date")
+    return O.as_of_rows(q.select("question_id", "subject_id", "cutoff"), n).select("question_id", "note_idx", "note_date")
 
 
 @query("join_03", "SELECT question_id, model FROM v_questions, (SELECT unnest(['m0', 'm1', 'm2', 'm3']) AS model) WHERE (question_id, model) NOT IN (SELECT question_id, model FROM v_responses)")
@@ -226,6 +236,13 @@ def _(spark, d):
     return S.budget_prefix(n, ["subject_id"], [F.desc_nulls_last("note_date"), F.asc("note_idx")], F.col("tokens"), 5000).select("subject_id", "note_idx", "used")
 
 
+@query("chk_08_tokens")
+def _(spark, d):
+    """The same in tokens of a byte-pair vocabulary, months beyond the budget left out before any note is put in order."""
+    shown = T.note_block(F.col("note_title"), F.col("note_date"), F.col("text"))
+    return O.newest_within(V.notes(spark, d), K.model_tokens(shown), 20_000).select("subject_id", "note_idx", "used")
+
+
 @query("chk_10")
 def _(spark, d):
     return S.rolling_batches(V.notes(spark, d), "subject_id", F.col("note_idx"), F.length("text"), 8000)
@@ -236,6 +253,12 @@ def _(spark, d):
     return V.read(spark, d, "documents").select("doc_id", T.token_count(F.col("text")).alias("n_tokens"))
 
 
+@query("chk_11_tokens")
+def _(spark, d):
+    """Tokens of a byte-pair vocabulary."""
+    return V.read(spark, d, "documents").select("doc_id", K.model_tokens(F.col("text")).alias("n_tokens"))
+
+
 # Retrieval
 
 
@@ -276,14 +299,18 @@ def _vectors(spark, d):
 
 @query("ret_04", f"WITH {_DENSE} SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 10")
 def _(spark, d):
-    q, c = _vectors(spark, d)
-    return R.dense(q, c, 10)
+    return N.search(*_vectors(spark, d), 10)
+
+
+@query("ret_04_probed")
+def _(spark, d):
+    """The same in the cells nearest to each query, as many as find 0.95 within the index's sample: recall is measured in the tests."""
+    return N.search(*_vectors(spark, d), 10, recall=0.95)
 
 
 @query("ret_05", f"WITH {_DENSE} SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s WHERE score >= 0.4::DOUBLE QUALIFY rank <= 50")
 def _(spark, d):
-    q, c = _vectors(spark, d)
-    return R.dense(q, c, 50, 0.4)
+    return N.search(*_vectors(spark, d), 50, 0.4)
 
 
 def _rankings(spark, d):
@@ -305,12 +332,22 @@ def _(spark, d):
     return R.fuse(*_rankings(spark, d), "query_id", "item_id", 100)
 
 
-@query("ret_09")
-def _(spark, d):
+def _token_vectors(spark, d):
+    """Four vectors of 16 out of each of 64; every twentieth row asks."""
     e = V.read(spark, d, "embeddings")
     cut = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(F.col("embedding"), i * 16 + 1, F.lit(16)))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), cut.alias("q"))
-    return R.max_sim_search(q, e.select(F.col("vec_id").alias("item_id"), cut.alias("c")), 10)
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), cut.alias("q")), e.select(F.col("vec_id").alias("item_id"), cut.alias("c"))
+
+
+@query("ret_09")
+def _(spark, d):
+    return N.late_search(*_token_vectors(spark, d), 10)
+
+
+@query("ret_09_probed")
+def _(spark, d):
+    """The same among the items of the cells nearest to each vector of a query: recall is measured in the tests."""
+    return N.late_search(*_token_vectors(spark, d), 10, recall=0.95)
 
 
 @query("ret_11", f"WITH /* v_notes v_questions */ {_BM25} SELECT question_id, string_agg('[' || rank || '] Note Title: ' || note_title || chr(10) || 'Note Date: ' || COALESCE(CAST(note_date AS VARCHAR), '') || chr(10) || 'Text: ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM ranked JOIN v_questions USING (question_id) JOIN v_notes USING (subject_id, note_idx) WHERE rank <= 10 GROUP BY question_id")
@@ -830,6 +867,20 @@ def _(spark, d):
     return p.groupBy("k").agg(F.countDistinct("cand_idx").alias("cand_hit"), F.countDistinct("ref_idx").alias("ref_hit"))
 
 
+_MATCH = """f AS (SELECT doc_id // 730 * 365 + doc_id % 365 AS k, doc_id // 365 % 2 AS side, fact_idx, COALESCE(CAST(fact_date AS VARCHAR), '') AS day,
+list_distinct(regexp_extract_all(lower(fact), '[\\p{L}\\p{N}_]+')) AS w FROM v_facts),
+p AS (SELECT c.k, c.fact_idx AS ci, r.fact_idx AS ri FROM f c JOIN f r ON c.k = r.k AND c.day = r.day AND c.side = 1 AND r.side = 0 WHERE 20 * len(list_intersect(c.w, r.w)) >= 9 * (len(c.w) + len(r.w)) AND len(c.w) + len(r.w) > 0),
+h AS (SELECT k, count(DISTINCT ci) AS cand_hit, count(DISTINCT ri) AS ref_hit FROM p GROUP BY k),
+n AS (SELECT k, count(*) FILTER (side = 1) AS n_cand, count(*) FILTER (side = 0) AS n_ref FROM f GROUP BY k)"""
+
+
+@query("agg_07_match", f"WITH /* v_facts */ {_MATCH} SELECT k, n_cand, COALESCE(cand_hit, 0) AS cand_hit, n_ref, COALESCE(ref_hit, 0) AS ref_hit, round(CAST(COALESCE(cand_hit, 0) AS DOUBLE) / nullif(n_cand, 0), 6) AS precision, round(CAST(COALESCE(ref_hit, 0) AS DOUBLE) / nullif(n_ref, 0), 6) AS recall FROM n LEFT JOIN h USING (k)")
+def _(spark, d):
+    """Facts of two documents of one date, matched by the F1 of their words."""
+    f = V.facts(spark, d).withColumn("k", F.expr("doc_id div 730 * 365 + doc_id % 365"))
+    return B.fact_scores(f.where("doc_id div 365 % 2 = 1"), f.where("doc_id div 365 % 2 = 0"), "k")
+
+
 @query("agr_03", f"WITH p AS {_CP}, m AS (SELECT rater_a, rater_b, count(*) AS n, avg(CAST(a = b AS INT)) AS po, avg(CAST(a = 'A' AS INT)) * avg(CAST(b = 'A' AS INT)) + avg(CAST(a = 'B' AS INT)) * avg(CAST(b = 'B' AS INT)) + avg(CAST(a = 'TIE' AS INT)) * avg(CAST(b = 'TIE' AS INT)) AS pe FROM p GROUP BY ALL) SELECT rater_a, rater_b, n, round((po - pe) / (1 - pe), 6) AS kappa FROM m")
 def _(spark, d):
     return A.nominal_agreement(A.pairs(V.choices(spark, d), ["unit"]), ["rater_a", "rater_b"]).select("rater_a", "rater_b", "n", "kappa")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import stem as ST
 from .functions import text as T
+from .functions import tokens as K
 from .operators import agent as G
 from .operators import agreement as A
 from .operators import facts as X
@@ -67,6 +68,19 @@ def _(spark, d):
     return readers.union_files(spark, [f"{base}/a", f"{base}/b", f"{base}/c"]).select("doc_id", "lang", "source")
 
 
+@query("src_05_rejects", "SELECT 'kept' AS kind, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id % 5 > 0 UNION ALL SELECT 'rejected', doc_id || ',' || lang || ',surplus' FROM documents WHERE doc_id % 5 = 0")
+def _(spark, d):
+    """Every fifth line has a value too many: such lines go to a side table, and both tables add up to the file."""
+    path = folders.scratch(spark, "widths") + "/a"
+    docs = V.read(spark, d, "documents").select("doc_id", "lang")
+    line = F.concat_ws(",", F.col("doc_id"), F.col("lang"), F.when(F.col("doc_id") % 5 == 0, "surplus"))
+    head = F.lit("doc_id,lang").alias("value")
+    # a file has its header first: one is written for each remainder
+    folders.named_files(docs.select((F.col("doc_id") % 16).cast("string").alias("name"), line.alias("value")).unionByName(docs.select((F.col("doc_id") % 16).cast("string").alias("name"), head).distinct()), path, ".csv", F.col("value") != "doc_id,lang")
+    good, bad = readers.union_with_rejects(spark, [path])
+    return good.select(F.lit("kept").alias("kind"), F.col("doc_id").alias("id")).unionByName(bad.select(F.lit("rejected").alias("kind"), F.col("line").alias("id")))
+
+
 @query("src_06", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source AS source_file FROM documents")
 def _(spark, d):
     path, docs = folders.scratch(spark, "tagged"), V.read(spark, d, "documents").select("doc_id", "lang", "source")
@@ -316,10 +330,10 @@ def _(spark, d):
     return S.keyed_results(jobs.select("key", "job"), readers.shards(spark, shards), ["key"]).select("key", "job", "reason")
 
 
-@query("udf_04", "SELECT doc_id, fact_idx, juror, (doc_id + fact_idx + juror) % 3 > 0 AS vote FROM v_facts, (SELECT unnest(range(3)) AS juror) WHERE fact_idx = 0")
+@query("udf_04", "SELECT doc_id, fact_idx, juror, (doc_id + fact_idx + juror) % 3 > 0 AS vote FROM v_facts, (SELECT unnest(range(3)) AS juror)")
 def _(spark, d):
-    """Three jurors judge the first fact of every document; each is a provider of its own."""
-    f = V.facts(spark, d).where("fact_idx = 0").select("doc_id", "fact_idx")
+    """Three jurors judge every fact; each is a provider of its own."""
+    f = V.facts(spark, d).select("doc_id", "fact_idx")
     out = None
     for j in range(3):
         asked = f.select(F.concat_ws("_", "doc_id", "fact_idx").alias("key"), (F.col("doc_id") + F.col("fact_idx")).cast("string").alias("prompt"))
@@ -464,11 +478,7 @@ def _(spark, d):
 @query("oth_25", "SELECT unit, rater, row_number() OVER (PARTITION BY rater ORDER BY md5(CAST(unit AS VARCHAR)), unit) AS card FROM v_choices")
 def _(spark, d):
     """Cards in the order of a page: each rater sees the units by a hash of their id."""
-    from pyspark.sql import Window
-
-    c = V.choices(spark, d).select("unit", "rater")
-    order = Window.partitionBy("rater").orderBy(F.md5(F.col("unit").cast("string")), "unit")
-    return c.withColumn("card", F.row_number().over(order).cast("bigint"))
+    return S.hash_ranks(V.choices(spark, d).select("unit", "rater"), ["rater"], F.col("unit"), "card")
 
 
 @query("oth_26", "SELECT question_id, model_a || ' against ' || model_b || ' (' || position || '): ' || completeness || ' / ' || relevancy || ' / ' || concision AS preview FROM v_pairwise")
@@ -487,6 +497,13 @@ def _(spark, d):
     return V.responses(spark, d).groupBy("model").agg(F.sum(n).alias("total"), F.max(n).alias("most"), F.count("*").alias("calls"))
 
 
+@query("oth_29_tokens")
+def _(spark, d):
+    """The same in tokens of a byte-pair vocabulary."""
+    n = V.responses(spark, d).select("model", K.model_tokens(F.col("response")).alias("n"))
+    return n.groupBy("model").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.count("*").alias("calls"))
+
+
 @query("oth_30", "SELECT item_id, 'Answer briefly: ' || text AS prompt FROM benchmark")
 def _(spark, d):
     prompts = T.prompt_assets('{"answer": "Answer briefly: {text}", "judge": "Judge: {text}"}')

@@ -12,7 +12,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the session's shared folder; a local one only where all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.gettempdir()
     return f"{base}/annalist-{name}-{uuid.uuid4().hex}"

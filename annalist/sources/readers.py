@@ -103,15 +103,34 @@ def note_table(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("note_date", F.when(F.col("note_date").isNotNull() & stamp.isNull(), wrong).otherwise(stamp))
 
 
+def _with_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with a header of its own, and ``_rejected``: the line itself where it is of another width."""
+    options = {"header": True, "multiLine": True, "escape": '"'}
+    columns = spark.read.options(**options, inferSchema=False).csv(path).columns
+    schema = ", ".join(f"`{c}` string" for c in [*columns, "_rejected"])
+    return spark.read.schema(schema).options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord="_rejected").csv(path)
+
+
 def union_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """CSV files with headers of their own as one table of strings: columns a file lacks are null, lines of another width go."""
-    out = None
+    return union_with_rejects(spark, paths)[0]
+
+
+def union_with_rejects(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``union_files``, and beside it the lines left out: ``(source_file, line, parsed)``, parsed being what fits the header, as JSON."""
+    good, bad = None, None
     for p in paths:
-        part = spark.read.options(header=True, multiLine=True, escape='"', inferSchema=False, mode="DROPMALFORMED").csv(p)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+        raw = _with_rejects(spark, p)
+        columns = [c for c in raw.columns if c != "_rejected"]
+        # always true: Spark refuses to read nothing but the column of rejected lines, as a plain count would
+        raw = raw.where(F.coalesce(F.length(columns[0]), F.lit(0)) >= 0)
+        part = raw.where("_rejected is null").select(*columns)
+        left = raw.where("_rejected is not null").select(F.col("_metadata.file_path").alias("source_file"), F.col("_rejected").alias("line"), F.to_json(F.struct(*columns)).alias("parsed"))
+        good = part if good is None else good.unionByName(part, allowMissingColumns=True)
+        bad = left if bad is None else bad.unionByName(left)
+    if good is None:
         raise ValueError("no files")
-    return out
+    return good, bad
 
 
 def tsv_facts(spark: SparkSession, path: str) -> DataFrame:
