@@ -33,28 +33,38 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None, ra
 
 @dataclass
 class Index:
-    """``postings(subject_id, term, note_idx, note_date, dl, tf)``, ``notes(subject_id, note_idx, note_date)``, ``counts`` by term and date, ``sizes`` by date."""
+    """``postings(subject_id, term, note_idx, note_date, dl, tf)``, term being a word's 64-bit hash, ``notes(subject_id, note_idx, note_date)``, ``sizes`` by date, and ``reached``.
+
+    ``reached(subject_id, note_date, k, terms)`` says how many terms came to
+    their k-th note at a date.
+    """
 
     postings: DataFrame
     notes: DataFrame
-    counts: DataFrame
     sizes: DataFrame
+    reached: DataFrame
+
+
+def _by_date(postings: DataFrame) -> DataFrame:
+    """How many notes of each date hold a term, and ``df``, how many of the dates up to it."""
+    by_date = postings.groupBy("subject_id", "term", "note_date").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("subject_id", "term").orderBy("note_date").rowsBetween(Window.unboundedPreceding, 0)
+    return by_date.withColumn("df", F.sum("n").over(upto))  # a window holds a row a date, whatever the number of notes
 
 
 def build_index(notes: DataFrame) -> Index:
     """An index of the dated ``notes(subject_id, note_idx, note_date, text)``; texts are cut into terms once, and the postings stored."""
     dated = notes.where("note_date is not null").select("subject_id", "note_idx", "note_date", "text")
-    terms = F.transform(F.array(tokens(F.col("text"))), lambda t: F.transform(t, lambda x: F.struct(x.alias("term"), F.size(t).alias("dl"))))[0]
-    found = dated.select("subject_id", "note_idx", "note_date", F.inline(terms))
+    terms = F.transform(F.array(tokens(F.col("text"))), lambda t: F.transform(t, lambda x: F.struct(F.xxhash64(x).alias("term"), F.size(t).alias("dl"))))[0]
+    # a plain inline lets the optimizer ask for the size of the array first, which cuts the text twice
+    found = dated.select("subject_id", "note_idx", "note_date", F.inline_outer(terms)).where("term is not null")
     postings = kept(found.groupBy("subject_id", "term", "note_idx", "note_date", "dl").agg(F.count("*").alias("tf")))
-    by_date = postings.groupBy("subject_id", "term", "note_date").agg(F.count("*").alias("n"))
-    # a window holds a row a date, whatever the number of notes
-    upto = Window.partitionBy("subject_id", "term").orderBy("note_date").rowsBetween(Window.unboundedPreceding, 0)
-    counts = kept(by_date.withColumn("df", F.sum("n").over(upto)))
     length = postings.groupBy("subject_id", "note_date").agg(F.sum("tf").alias("length"))
     rows = dated.groupBy("subject_id", "note_date").agg(F.count("*").alias("n"))
     sizes = rows.join(length, ["subject_id", "note_date"], "left").withColumn("length", F.coalesce("length", F.lit(0)))
-    return Index(postings, dated.drop("text"), counts, kept(sizes))
+    # a date that takes a term from its a-th to its b-th note lets it reach the notes a + 1 to b
+    each = _by_date(postings).select("subject_id", "note_date", F.explode(F.sequence(F.col("df") - F.col("n") + 1, F.col("df"))).alias("k"))
+    return Index(postings, dated.drop("text"), kept(sizes), kept(each.groupBy("subject_id", "note_date", "k").agg(F.count("*").alias("terms"))))
 
 
 def _weight(n: Column, df: Column) -> Column:
@@ -64,9 +74,7 @@ def _weight(n: Column, df: Column) -> Column:
 def corpora(cutoffs: DataFrame, index: Index, epsilon: float) -> DataFrame:
     """``cutoffs(subject_id, cutoff)`` with what is visible then: n, avgdl, and floor, the least weight of a term."""
     seen = cutoffs.join(index.sizes, "subject_id").where("note_date <= cutoff").groupBy("subject_id", "cutoff").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("avgdl"))
-    # a date that takes a term from its a-th to its b-th note lets it reach the notes a + 1 to b
-    reached = index.counts.select("subject_id", "note_date", F.explode(F.sequence(F.col("df") - F.col("n") + 1, F.col("df"))).alias("k")).groupBy("subject_id", "note_date", "k").agg(F.count("*").alias("terms"))
-    salted = reached.withColumn("salt", F.pmod(F.xxhash64("k", "note_date"), F.lit(SALTS)))
+    salted = index.reached.withColumn("salt", F.pmod(F.xxhash64("k", "note_date"), F.lit(SALTS)))
     asked = seen.select("subject_id", "cutoff", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
     step = _weight(F.col("n"), F.col("k")) - F.when(F.col("k") > 1, _weight(F.col("n"), F.col("k") - 1)).otherwise(0.0)
     sums = asked.join(salted, ["subject_id", "salt"]).where("note_date <= cutoff").groupBy("subject_id", "cutoff").agg(F.sum(F.col("terms") * step).alias("total"), F.sum(F.when(F.col("k") == 1, F.col("terms"))).alias("terms"))
@@ -94,8 +102,9 @@ def bm25(questions: DataFrame, notes: DataFrame | Index, k: int | None = 10, k1:
     index = notes if isinstance(notes, Index) else build_index(notes)
     q = questions.select("question_id", "subject_id", "cutoff", "natural_query")
     corpus = kept(corpora(q.select("subject_id", "cutoff").where("cutoff is not null").distinct(), index, epsilon))
-    terms = q.select("question_id", "subject_id", "cutoff", F.explode(tokens(F.col("natural_query"))).alias("term")).groupBy("question_id", "subject_id", "cutoff", "term").agg(F.count("*").alias("qtf"))
-    dates = index.counts.join(terms.select("subject_id", "term").distinct(), ["subject_id", "term"], "left_semi").groupBy("subject_id", "term").agg(F.collect_list(F.struct("note_date", "df")).alias("dates"))
+    terms = q.select("question_id", "subject_id", "cutoff", F.explode(F.transform(tokens(F.col("natural_query")), lambda x: F.xxhash64(x))).alias("term")).groupBy("question_id", "subject_id", "cutoff", "term").agg(F.count("*").alias("qtf"))
+    held = index.postings.join(terms.select("subject_id", "term").distinct(), ["subject_id", "term"], "left_semi")
+    dates = _by_date(held).groupBy("subject_id", "term").agg(F.collect_list(F.struct("note_date", "df")).alias("dates"))
     df = F.array_max(F.transform(F.filter("dates", lambda x: x["note_date"] <= F.col("cutoff")), lambda x: x["df"]))
     found = terms.join(dates, ["subject_id", "term"]).withColumn("df", df).where("df is not null").join(corpus, ["subject_id", "cutoff"])
     idf = _weight(F.col("n"), F.col("df"))

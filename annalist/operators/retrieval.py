@@ -51,74 +51,11 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def dense(queries: DataFrame, corpus: DataFrame, k: int | None = 10, threshold: float | None = None, block: int = 1024) -> DataFrame:
-    """Cosine search of ``queries(query_id, vec)``, a stated set, in all of ``corpus(item_id, vec)``.
-
-    Queries go out in blocks of at most ``block`` vectors; each block meets every
-    item in one narrow pass of matrix products, which keeps its k best scores a
-    batch (ties at the rounded last one included), so little is shuffled.
-    """
-    spark, best = queries.sparkSession, None
-    total = queries.count()
-    blocks = max(1, -(-total // block))
-
-    def search(shared):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for batch in batches:
-                c = np.array([np.asarray(v, np.float64) for v in batch["vec"]])
-                if not len(c) or not len(ids):
-                    continue
-                norm = np.linalg.norm(c, axis=1, keepdims=True)
-                s = np.round(q @ (c / np.where(norm > 0, norm, 1)).T, 6)
-                keep = s >= (-np.inf if threshold is None else threshold)
-                if k is not None and s.shape[1] > k:
-                    keep &= s >= np.partition(s, -k, axis=1)[:, -k, None] - 2e-6
-                qi, ci = np.nonzero(keep)
-                yield pd.DataFrame({"query_id": ids[qi], "item_id": batch["item_id"].to_numpy()[ci], "score": s[qi, ci]})
-
-        return run
-
-    for i in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "vec").collect()  # about ``block`` vectors
-        ids, q = np.array([r["query_id"] for r in rows], dtype=np.int64), np.array([r["vec"] for r in rows], dtype=np.float64)
-        if len(rows):
-            norm = np.linalg.norm(q, axis=1, keepdims=True)
-            q = q / np.where(norm > 0, norm, 1)
-        part = corpus.select("item_id", "vec").mapInPandas(search(spark.sparkContext.broadcast((ids, q))), "query_id bigint, item_id bigint, score double")
-        best = part if best is None else best.unionByName(part)
-    return top_k(best, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
-
-
 def max_sim(q: Column, d: Column) -> Column:
     """Late interaction: the sum over query vectors of the best document vector's product."""
     return F.aggregate(F.transform(q, lambda x: F.array_max(F.transform(d, lambda y: dot(x, y)))), F.lit(0.0), lambda s, x: s + x)
 
 
-def max_sim_search(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = 64, chunk: int = 1024) -> DataFrame:
-    """Late-interaction search of ``queries(query_id, q)`` in ``corpus(item_id, c)``; q and c are arrays of vectors.
-
-    Blocks of queries meet chunks of the corpus; a chunk gives each query its k best scores, all ties at the
-    rounded last one included.  Neither side is broadcast by the program or collected.
-    """
-    asked = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))).alias("b")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    held = corpus.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-corpus.count() // chunk)))).alias("p")).agg(F.collect_list(F.struct("item_id", "c")).alias("cs"))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for qs, cs in zip(batch["qs"], batch["cs"]):
-                c = np.array([[list(v) for v in x["c"]] for x in cs], dtype=np.float64)
-                items = np.array([x["item_id"] for x in cs])
-                for x in qs:
-                    q = np.array([list(v) for v in x["q"]], dtype=np.float64)
-                    s = np.einsum("qd,ncd->nqc", q, c).max(axis=2).sum(axis=1)
-                    at = np.flatnonzero(s >= np.sort(s)[-min(k, len(s))] - 2e-6)
-                    yield pd.DataFrame({"query_id": x["query_id"], "item_id": items[at], "score": s[at]})
-
-    scored = asked.crossJoin(held).select("qs", "cs").repartition(max(1, queries.sparkSession.sparkContext.defaultParallelism)).mapInPandas(score, "query_id bigint, item_id bigint, score double")
-    return top_k(scored.withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.asc("item_id")], k)
-
-
 def fuse(first: DataFrame, second: DataFrame, key: str, item: str, k: int = 100, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of two complete rankings (1-based ``rank``)."""
     both = first.select(key, item, F.col("rank").alias("r1")).join(second.select(key, item, F.col("rank").alias("r2")), [key, item])

@@ -11,6 +11,7 @@ from .functions import stem as ST
 from .functions import text as T
 from .functions import tokens as K
 from .operators import agent as G
+from .operators import agents as GR
 from .operators import agreement as A
 from .operators import facts as X
 from .operators import pairwise as P
@@ -383,6 +384,14 @@ def _(spark, d):
     return G.answers(seen, G.scripted)
 
 
+@query("win_11_rows")
+def _(spark, d):
+    """Agents over rows: all open questions ask at once, and their calls meet the notes by joins."""
+    q = V.questions(spark, d).withColumn("question", F.col("natural_query"))
+    out = GR.run(q, V.notes(spark, d), GR.scripted, sinks.kept)
+    return out.select("question_id", "answer", "n_steps", F.size("history").alias("kept_steps"))
+
+
 @query("udf_08", "SELECT subject_id, note_idx, count(*) AS n FROM (SELECT subject_id, note_idx, unnest(range(greatest(1, CAST(ceil(length(text) / 20000) AS BIGINT)))) AS c FROM v_notes) GROUP BY ALL")
 def _(spark, d):
     """One row in, many out: the extraction chunks of every note."""

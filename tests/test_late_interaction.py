@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from annalist.operators import retrieval as R
+from annalist.operators import vectors as N
 from annalist.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -28,10 +28,12 @@ def test_every_twentieth_row_is_asked_against_all(spark):
     assert len(asked) > 20 and {r["query_id"] for r in rows} == set(asked)
 
 
-def test_blocks_and_chunks_make_no_difference(spark):
+def test_blocks_make_no_difference(spark, monkeypatch):
     e = spark.read.parquet(f"{DATA}/embeddings.parquet")
     cut = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16)))
     q, c = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), cut.alias("q")), e.select(F.col("vec_id").alias("item_id"), cut.alias("c"))
-    want = {tuple(r) for r in R.max_sim_search(q, c, 10).collect()}
-    assert {tuple(r) for r in R.max_sim_search(q, c, 10, block=3, chunk=17).collect()} == want
-    assert R.max_sim_search(q.limit(0), c).count() == 0 and R.max_sim_search(q, c.limit(0)).count() == 0
+    want = {tuple(r) for r in N.late_search(q, c, 10).collect()}
+    monkeypatch.setattr(N, "QUERIES", 3)
+    monkeypatch.setattr(N, "ROWS", 17)
+    assert {tuple(r) for r in N.late_search(q, c, 10).collect()} == want
+    assert N.late_search(q.limit(0), c).count() == 0 and N.late_search(q, c.limit(0)).count() == 0

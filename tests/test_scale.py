@@ -157,3 +157,49 @@ def test_streaming_limiter_agrees_with_the_batch_over_a_restart(spark, tmp_path)
     want = {x["event_id"]: x["in_window"] for x in batch.collect()}
     assert {i: s for i, s in got.items() if i < 500} == want and 500 not in got
     assert Counter(x["event_id"] for x in spark.read.parquet(f"{tmp_path}/out").collect()).most_common(1)[0][1] == 1
+
+
+def test_agents_over_rows_against_one_at_a_time(spark):
+    from annalist.operators import agents
+    from annalist.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    want = set()
+    for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect():
+        i, cutoff = r["item_id"], date(2024, 1, 1) + timedelta(days=r["item_id"] * 11 % 365)
+        day = {d: date(2024, 1, 1) + timedelta(days=d * 7 % 365) for d in docs}
+        seen = [d for d in sorted(docs) if d % 20 == i % 20 and d % 17 and day[d] <= cutoff]
+        met = [d for d in seen if any(w in f"{docs[d]['source']} {docs[d]['text']}".lower() for w in ("license", "token"))]
+        lines = [f"[{d // 20}] {docs[d]['source']} ({day[d]}) {docs[d]['text'][:100]}".replace("\n", " ") for d in met]
+        asked = "\n".join([r["text"], " -> searching", "\n".join([f"{len(met)} matched", *lines]) if met else "nothing matched"])
+        if met:
+            call = '{"name":"search","keywords":["license","token"]} -> reading ' + str(met[0] // 20)
+            asked = "\n".join([r["text"], " -> searching", call, docs[met[0]]["text"]])
+        want.add((f"{i % 20}_{i}", f"read {len(asked)}", 1 + bool(met), 2 + bool(met)))
+    assert {tuple(x) for x in QUERIES["win_11_rows"](spark, folder).collect()} == want and any(x[2] == 2 for x in want)
+    held = spark.range(1).select(F.array(*[F.struct(F.lit("c").alias("call"), F.lit(f"d{i}" if i != 1 else "").alias("draft")) for i in range(5)]).alias("h"), F.lit("s").alias("s"))
+    history, summary = agents.compact(F.col("h"), F.col("s"), 2)
+    got = held.select(history.alias("h"), summary.alias("s")).first()
+    assert [x["draft"] for x in got["h"]] == ["d3", "d4"] and got["s"] == "s; d0; d2"
+
+
+def test_agents_end_on_answers_that_do_not_parse_and_keep_few_steps(spark):
+    import json
+
+    from annalist.operators import agents
+    from annalist.sources.sinks import kept
+
+    tools = [{"name": "meta"}, {"name": "summary", "note_ids": [2, 0, 99]}, {"name": "note", "note_id": 7}, {"name": "dance"}, {"name": "meta"}]
+
+    def provider(prompts):
+        return ["broken" if "bad" in p else json.dumps({"draft": f"step {n}", "tool": tools[n]} if (n := p.count("step ")) < 5 else {"draft": p, "stop": True}) for p in prompts]
+
+    notes = spark.createDataFrame([("0", i, date(2024, 1, 1 + i), "t", f"text {i}") for i in range(3)], "subject_id string, note_idx bigint, note_date date, note_title string, text string")
+    asked = spark.createDataFrame([("a", "0", date(2024, 1, 2), "go"), ("b", "0", date(2024, 1, 2), "bad"), ("c", "0", None, "go")], "question_id string, subject_id string, cutoff date, question string")
+    got = {x["question_id"]: x for x in agents.run(asked, notes, provider, kept, keep=3).collect()}
+    assert got["b"]["answer"] == "" and got["b"]["n_steps"] == 0 and got["a"]["n_steps"] == 5
+    assert len(got["a"]["history"]) == 3 and got["a"]["summary"] == "step 0; step 1; step 2" and "2 notes, 2024-01-01 to 2024-01-02" in got["a"]["answer"]
+    assert "0 notes, ? to ?" in got["c"]["answer"] and agents.run(asked, notes, provider, kept, steps=2).where("n_steps = 2").count() == 2
+    seen = {tuple(x) for x in agents.observe(asked.selectExpr("question_id", "subject_id", "cutoff", "cast(from_json(if(question_id = 'a', '{\"name\":\"summary\",\"note_ids\":[1,0,2]}', '{\"name\":\"dance\"}'), 'name string, note_id bigint, keywords array<string>, note_ids array<bigint>') as struct<name:string,note_id:bigint,keywords:array<string>,note_ids:array<bigint>>) tool"), notes).collect()}
+    assert seen == {("a", "text 1 | text 0"), ("b", "unknown tool: dance"), ("c", "unknown tool: dance")}

@@ -53,7 +53,7 @@ def test_only_asked_terms_meet_their_postings(spark):
     notes = spark.createDataFrame([("0", i, date(2024, 1, 1 + i), "the old ship sails") for i in range(9)], NOTES)
     asked = spark.createDataFrame([("a", "0", date(2024, 2, 1), "ship")], ASKED)
     index = lexical.build_index(notes)
-    plan = lexical._hits(asked.selectExpr("question_id", "subject_id", "cutoff", "natural_query term", "1D weight", "4D avgdl"), index, 1.5, 0.75)._jdf.queryExecution().optimizedPlan().toString()
+    plan = lexical._hits(asked.selectExpr("question_id", "subject_id", "cutoff", "xxhash64(natural_query) term", "1D weight", "4D avgdl"), index, 1.5, 0.75)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "term" in plan.split("Join ")[1].split("\n")[0] and "salt" in plan.split("Join ")[1].split("\n")[0]
     assert lexical.bm25(asked, index, 2).count() == 2
 
