@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import fresh, let
 
 ROUNDS = 8
 #: The kinds and their patterns, in order of precedence.
@@ -247,14 +247,16 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     Null texts stay null with 0 matches.  Numbers that fail their check and
     impossible dates stay as they are.  Every row stands alone: null ids and
-    repeated rows are rewritten alike; no rows give none; other columns stay.
+    repeated rows are rewritten alike; no rows give none; other columns stay,
+    whatever their names (n_found and n_changed are replaced).
     Bank account numbers (IBAN) and names aren't looked for.
     """
+    hits, new = fresh(docs.columns, "hits", "new")
     found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
     none = F.array().cast("array<string>")
-    split = docs.withColumn("_found", F.when(F.col("text").rlike(TRIGGER), found).otherwise(none))
-    named = split.withColumn("_new", F.when(F.size("_found") == 0, none).otherwise(F.transform("_found", lambda s: pseudonym(s, key))))
-    joined = F.concat_ws("", F.flatten(F.zip_with(F.split("text", ANY, -1), "_new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
+    split = docs.withColumn(hits, F.when(F.col("text").rlike(TRIGGER), found).otherwise(none))
+    named = split.withColumn(new, F.when(F.size(hits) == 0, none).otherwise(F.transform(hits, lambda s: pseudonym(s, key))))
+    joined = F.concat_ws("", F.flatten(F.zip_with(F.split("text", ANY, -1), F.col(new), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
     out = [F.col(c) for c in docs.columns if c not in ("text", "n_found", "n_changed")]
-    changed = F.size(F.filter(F.arrays_zip("_found", "_new"), lambda x: x["_found"] != x["_new"]))
-    return named.select(*out, F.when(F.size("_found") == 0, F.col("text")).otherwise(joined).alias("text"), F.size("_found").cast("bigint").alias("n_found"), changed.cast("bigint").alias("n_changed"))
+    changed = F.size(F.filter(F.zip_with(hits, new, lambda a, b: a != b), lambda x: x))
+    return named.select(*out, F.when(F.size(hits) == 0, F.col("text")).otherwise(joined).alias("text"), F.size(hits).cast("bigint").alias("n_found"), changed.cast("bigint").alias("n_changed"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, key128, kept_pieces, later_copies, let, stored
+from .common import SPACE, fresh, key128, kept_pieces, later_copies, let, stored
 
 #: A piece ends behind a full stop, ! or ? with white space, or behind a line feed and the white space that follows.
 END = r"([.!?][\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*)"
@@ -64,16 +64,16 @@ def dedup_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, l
     without sentence marks and line feeds is one sentence, and never cut
     inside.  Null texts stay null.  Rows that repeat a doc_id count as one
     document and get the same cuts; rows without a doc_id are never cut.  No
-    rows give none; other columns stay.
+    rows give none; other columns stay, whatever their names (n_sentences and
+    n_removed are replaced).
     """
     later = later_copies(stored(postings(docs, span, min_words, long_words)), ["doc_id", "first"])
-    cuts = (
-        later.select("doc_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("length") - 1)).alias("at")).groupBy("doc_id").agg(F.collect_set("at").alias("_cut"))
-    )
-    joined = docs.join(cuts, "doc_id", "left").withColumn("_pieces", pieces(F.col("text")))
-    full = F.filter(F.transform("_pieces", lambda s, i: F.when(s.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.concat_ws("", kept_pieces(F.col("_pieces"), F.col("_full"), F.col("_cut"))))
+    gone, parts, full = fresh(docs.columns, "gone", "pieces", "full")
+    cuts = later.select("doc_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("length") - 1)).alias("at")).groupBy("doc_id").agg(F.collect_set("at").alias(gone))
+    joined = docs.join(cuts, "doc_id", "left").withColumn(parts, pieces(F.col("text")))
+    places = F.filter(F.transform(parts, lambda s, i: F.when(s.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.concat_ws("", kept_pieces(F.col(parts), F.col(full), F.col(gone))))
     out = [F.col(c) for c in docs.columns if c not in ("text", "n_sentences", "n_removed")]
-    return joined.withColumn("_full", full).select(
-        *out, text.alias("text"), F.size("_full").cast("bigint").alias("n_sentences"), F.coalesce(F.size("_cut"), F.lit(0)).cast("bigint").alias("n_removed")
+    return joined.withColumn(full, places).select(
+        *out, text.alias("text"), F.size(full).cast("bigint").alias("n_sentences"), F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias("n_removed")
     )

@@ -11,7 +11,7 @@ import pytest
 pytest.importorskip("annalist.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
-from annalist.llm import lines, queries, spans  # noqa: E402
+from annalist.llm import lines, pii, queries, spans  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -133,6 +133,13 @@ def test_column_names_may_clash(spark):
     docs = frame(spark, ["one line of a text", "one line of a text"]).selectExpr("doc_id", "text", "lang gone", "lang full", "lang _cut", "lang _full", "lang k", "lang n", "lang source")
     got = {x["doc_id"]: x for x in lines.dedup_lines(docs).collect()}
     assert got[1]["text"] == "" and {got[1][c] for c in ("gone", "full", "_cut", "_full", "k", "n", "source")} == {"en"}
+    said = " ".join(f"w{i}" for i in range(30)) + "."
+    spoken = frame(spark, [said, said]).selectExpr("doc_id", "text", "lang gone", "lang pieces", "lang _pieces", "lang FULL")
+    got = {x["doc_id"]: x for x in spans.dedup_spans(spoken).collect()}
+    assert got[1]["text"] == "" and got[0]["text"] == said and {got[1][c] for c in ("gone", "pieces", "_pieces", "FULL")} == {"en"}
+    mails = frame(spark, ["write to ann@example.org", "nothing here"]).selectExpr("doc_id", "text", "lang hits", "lang new", "lang _found")
+    got = {x["doc_id"]: x for x in pii.pseudonymise(mails, "k").collect()}
+    assert "ann@" not in got[0]["text"] and (got[0]["n_changed"], got[1]["n_changed"]) == (1, 0) and {got[0][c] for c in ("hits", "new", "_found")} == {"en"}
 
 
 def test_odd_rows(spark):
