@@ -267,6 +267,7 @@ def test_pipeline(spark):
             before = now
     assert {r["doc_id"] for r in state["packing"].collect()} == {r["doc_id"] for r in state["decontamination"].collect()}
     texts = {r["doc_id"]: r["text"] for r in state["line_dedup"].collect()}
-    prints = {d: slow_fingerprint(t) for d, t in texts.items()}
-    edges = [(a, b) for a in prints for b in prints if b < a and bin(prints[a] ^ prints[b]).count("1") <= 4]
-    assert {r["doc_id"] for r in state["simhash"].collect()} == {d for d, x in roots(edges, prints).items() if d == x}
+    words = {d: (t or "").lower().split() for d, t in texts.items()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for d, w in words.items()}
+    edges = [(a, b) for a in sets for b in sets if b < a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert {r["doc_id"] for r in state["simhash"].collect()} == {d for d, x in roots(edges, sets).items() if d == x}

@@ -56,6 +56,14 @@ def test_stage_finds_every_pair_at_080(spark):
     assert corpus_pipeline.simhash_stage(spark, df.limit(0), "").count() == 0
 
 
+def test_stage_on_a_whole_table(spark):
+    """All of sf0.01: every pair at 0.8 or more is found, so the stage's recall is one there, and no other pair is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    want = {rows[i][0] for i in kept_by_brute_force([t for _, t in rows])}
+    assert {r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, docs, "").collect()} == want and len(want) < len(rows)
+
+
 @pytest.mark.parametrize("dense,block", [(48, 200_000), (3, 500)])
 def test_clouds_compared_in_blocks(spark, monkeypatch, dense, block):
     from annalist.llm import jaccard
