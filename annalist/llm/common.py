@@ -119,17 +119,20 @@ def hot_join(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner
     of a hot key stay where they are; all others meet in a shuffle.  ``one``
     should be materialised: it is read more than once.
     """
-    least = _hot_from(one, count)
-    hot = one.where(F.col(count) > least)
-    if not hot.take(1):
+    least, any_hot = _hot_from(one, count)
+    if not any_hot:
         return rows.join(one, keys, how)
+    hot = one.where(F.col(count) > least)
     few = F.broadcast(hot)
     cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one.where(F.col(count) <= least), keys, how)
     return rows.join(few, keys).unionByName(cold)
 
 
-def _hot_from(counted: DataFrame, count: str) -> float:
-    return max((counted.agg(F.sum(count)).first()[0] or 0) * HOT, HOT_ROWS)
+def _hot_from(counted: DataFrame, count: str) -> tuple[float, bool]:
+    """The number of rows beyond which a key is hot, and whether one is."""
+    total, most = counted.agg(F.sum(count), F.max(count)).first()
+    least = max((total or 0) * HOT, HOT_ROWS)
+    return least, (most or 0) > least
 
 
 def salted_join(rows: DataFrame, one: DataFrame, key: str, other: str, counted: DataFrame) -> DataFrame:
@@ -140,10 +143,10 @@ def salted_join(rows: DataFrame, one: DataFrame, key: str, other: str, counted:
     ``counted`` has the keys of ``rows``, and should be materialised.
     """
     counts = cut(counted.groupBy(key).agg(F.count("*").alias("n")))
-    least = _hot_from(counts, "n")
-    hot = counts.where(F.col("n") > least).select(key, F.ceil(F.col("n") / least).cast("int").alias("parts"))
-    if not hot.take(1):
+    least, any_hot = _hot_from(counts, "n")
+    if not any_hot:
         return rows.join(one, key)
+    hot = counts.where(F.col("n") > least).select(key, F.ceil(F.col("n") / least).cast("int").alias("parts"))
     few, parts = F.broadcast(hot), F.coalesce("parts", F.lit(1))  # 1000 keys at most
     left = rows.join(few, key, "left").withColumn("salt", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
     right = one.join(few, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
