@@ -52,13 +52,28 @@ def _by_date(postings: DataFrame) -> DataFrame:
     return by_date.withColumn("df", F.sum("n").over(upto))  # a window holds a row a date, whatever the number of notes
 
 
+def _bound(value: Column, body) -> Column:
+    """``value`` computed once and used many times inside ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _frequencies(text: Column) -> Column:
+    """``(term, dl, tf)`` of each different term of a text: runs of its sorted hashes, so that counting needs no shuffle."""
+
+    def counted(h: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda s, j: F.struct(F.get(h, s).alias("term"), F.size(h).alias("dl"), (F.coalesce(F.get(starts, j + 1), F.size(h)) - s).alias("tf")))
+
+    starts = lambda h: F.filter(F.transform(h, lambda x, i: F.when((i == 0) | (x != F.get(h, i - 1)), i)), lambda i: i.isNotNull())
+    hashes = F.sort_array(F.transform(tokens(text), lambda x: F.xxhash64(x)))
+    return _bound(hashes, lambda h: _bound(starts(h), lambda s: counted(h, s)))
+
+
 def build_index(notes: DataFrame) -> Index:
     """An index of the dated ``notes(subject_id, note_idx, note_date, text)``; texts are cut into terms once, and the postings stored."""
     dated = notes.where("note_date is not null").select("subject_id", "note_idx", "note_date", "text")
-    terms = F.transform(F.array(tokens(F.col("text"))), lambda t: F.transform(t, lambda x: F.struct(F.xxhash64(x).alias("term"), F.size(t).alias("dl"))))[0]
     # a plain inline lets the optimizer ask for the size of the array first, which cuts the text twice
-    found = dated.select("subject_id", "note_idx", "note_date", F.inline_outer(terms)).where("term is not null")
-    postings = kept(found.groupBy("subject_id", "term", "note_idx", "note_date", "dl").agg(F.count("*").alias("tf")))
+    found = dated.select("subject_id", "note_idx", "note_date", F.inline_outer(_frequencies(F.col("text")))).where("term is not null")
+    postings = kept(found.select("subject_id", "term", "note_idx", "note_date", "dl", "tf"))
     length = postings.groupBy("subject_id", "note_date").agg(F.sum("tf").alias("length"))
     rows = dated.groupBy("subject_id", "note_date").agg(F.count("*").alias("n"))
     sizes = rows.join(length, ["subject_id", "note_date"], "left").withColumn("length", F.coalesce("length", F.lit(0)))
