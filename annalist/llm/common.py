@@ -116,16 +116,18 @@ def hot_join(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner
 
     A hot key may hold a third of all rows.  The few hot rows of ``one`` (1000
     at most, since each holds over a thousandth) are broadcast, so that the rows
-    of a hot key stay where they are; all others meet in a shuffle.  ``one``
-    should be materialised: it is read more than once.
+    of a hot key stay where they are; all others meet in a shuffle.  Both sides
+    are told apart by a filter on the keys' hashes: a key that shares the hash
+    of a hot one goes the same way on both.  ``one`` should be materialised: it
+    is read more than once.
     """
     least, any_hot = _hot_from(one, count)
     if not any_hot:
         return rows.join(one, keys, how)
-    hot = one.where(F.col(count) > least)
-    few = F.broadcast(hot)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one.where(F.col(count) <= least), keys, how)
-    return rows.join(few, keys).unionByName(cold)
+    mark = F.xxhash64(*[F.col(k).cast(rows.schema[k].dataType) for k in keys])
+    hot = mark.isin([r[0] for r in one.where(F.col(count) > least).select(mark).collect()])  # 1000 at most
+    cold = rows.where(~hot).join(one.where(~hot), keys, how)
+    return rows.where(hot).join(F.broadcast(one.where(hot)), keys).unionByName(cold)
 
 
 def _hot_from(counted: DataFrame, count: str) -> tuple[float, bool]:

@@ -126,6 +126,16 @@ def test_hot_join_is_a_join(spark):
     assert sorted(map(tuple, got.select("k", "v", "least").collect())) == sorted(map(tuple, rows.join(one, "k").select("k", "v", "least").collect()))
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_join_tells_hot_keys_apart_without_a_join(spark, how):
+    """Rows of no hot key pass one join; an anti-join before it emitted them once more as soon as a key was hot."""
+    rows = spark.createDataFrame([("a", i) for i in range(2000)] + [(f"b{i % 30}", i) for i in range(60)] + [(None, 7), ("alone", 8)], "k string, v bigint")
+    one = common.cut(rows.where("k <> 'alone'").groupBy("k").agg(F.count("*").alias("n")))
+    got = common.hot_join(rows, one, ["k"], how)
+    assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, got.select("k", "v", "n").collect())) == sorted(map(str, rows.join(one, "k", how).select("k", "v", "n").collect()))
+
+
 def test_empty_tables(spark):
     none, items = frame(spark, []), spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.clean(none, items).count() == 0 and quality.keep_good(none, spark.createDataFrame([], "doc_id bigint, quality int")).count() == 0
