@@ -1,6 +1,7 @@
 """Steps in Python hold a bounded part of a batch or group as Python objects."""
 
 import json
+import re
 from datetime import date
 
 import pyarrow as pa
@@ -63,3 +64,19 @@ def test_tool_outputs_equal_the_tools_and_gather_no_subject_in_python(spark):
         for name, args in (("meta", {}), ("search", {"keywords": ["license"], "match": "all"}), ("note", {"note_id": 1}), ("note", {"note_id": 10**9}), ("note", {}), ("other", {})):
             want.add((subject, f"{name} {json.dumps(args, sort_keys=True)}", agent.call(notes, name, args)))
     assert set(map(tuple, got.collect())) == want and got.count() == 18
+
+
+def test_small_keys_are_matched_together(spark, monkeypatch):
+    """A call for each key and date cost more than its match; a bucket of many gives the same."""
+    from annalist.operators import matching
+
+    kind = "k bigint, fact_idx bigint, fact string, fact_date date"
+    rows = [(k, i, f"the ship {k * i % 7} sails {i % 3}", date(2024, 1, 1 + i % 3) if i % 4 else None) for k in range(60) for i in range(5)]
+    left, right = spark.createDataFrame(rows, kind), spark.createDataFrame([(k, i, f"{t} home", d) for k, i, t, d in rows if (k + i) % 5], kind)
+    run = lambda: matching.best_matches(left, right, "k")
+    plan = run()._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"FlatMapCoGroupsInPandas[^\n]*\n[^\n]*Project \[bucket#", plan), plan  # the key of the groups comes first
+    best = lambda: sorted((r["k"], r["side"], r["fact_idx"], r["shared"] / r["total"]) for r in run().collect())
+    together = best()
+    monkeypatch.setattr(matching, "TOGETHER", 1)
+    assert together == best() and len(together) == 300 + right.count()
