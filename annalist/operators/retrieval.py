@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_chunks
+from ..sources.sinks import kept
 from .lexical import bm25, tokens, top_k  # noqa: F401  a part of this module's interface
 
 
@@ -19,6 +20,11 @@ def as_of(questions: DataFrame, notes: DataFrame) -> DataFrame:
     return questions.join(notes, "subject_id").where("note_date is not null and note_date <= cutoff")
 
 
+def with_notes(ranked: DataFrame, notes: DataFrame) -> DataFrame:
+    """``ranked(subject_id, note_idx, ...)`` with its notes.  It is stored first: Spark then knows its size, and a few ranked notes don't send all texts through a shuffle."""
+    return kept(ranked).join(notes, ["subject_id", "note_idx"])
+
+
 Scorer = Callable[[list[str], list[str]], list[float]]
 
 
