@@ -66,7 +66,7 @@ def test_words_end_where_word_boundaries_do(spark):
     assert points.where(lexical.tokens(text) != bounded).count() == 0 and points.count() > 1_000_000
 
 
-@pytest.mark.parametrize("name", ["ret_08"])
+@pytest.mark.parametrize("name", ["ret_08", "ret_11"])
 def test_texts_of_all_notes_are_not_shuffled(spark, name):
     """The texts met the ranked notes by a sort of both, since the size of a ranking isn't known before it is stored."""
     limit = "spark.sql.autoBroadcastJoinThreshold"
