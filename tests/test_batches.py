@@ -80,3 +80,30 @@ def test_small_keys_are_matched_together(spark, monkeypatch):
     together = best()
     monkeypatch.setattr(matching, "TOGETHER", 1)
     assert together == best() and len(together) == 300 + right.count()
+
+
+def test_summaries_are_asked_of_the_provider_with_whole_notes(spark):
+    silent = lambda prompts: [None if "SILENT" in p else f"said:{p}" for p in prompts]
+    rows = [("a", i, None if i else "2024-01-01", f"T{i}", f"text {i} " + "x" * 300) for i in range(3)]
+    rows += [("b", 9, None, None, "only {one}"), (None, 3, "2024-02-02", "t", "no"), (None, 8, "", "t", None), ("c", 0, None, "t", "SILENT")]
+    df = spark.createDataFrame(rows[::-1], "subject_id string, note_idx bigint, note_date string, note_title string, text string")
+    got = {(r["subject_id"], r["tool"]): r["output"] for r in agent.tool_outputs(df, silent).collect() if r["tool"].startswith("summary")}
+    args, want = {"note_ids": [1, 0, 10**9]}, {}
+    for subject in ("a", "b", "c", None):
+        notes = [{"note_date": d, "note_title": t or "", "text": x or ""} for s, _, d, t, x in rows if s == subject]
+        want |= {(subject, f"summary {json.dumps(args)}"): agent.call(notes, "summary", args, silent), (subject, "summary {}"): "no note ids"}
+    assert got == want
+    first = got["a", f"summary {json.dumps(args)}"]
+    assert first.startswith("said:Summarize") and first.index("Note ID: 1\nNote Title: T1\nNote Date: \nText:\ntext 1 " + "x" * 300) < first.index("Note Title: T0\nNote Date: 2024-01-01")
+    assert "note_id 1000000000 is not in 0..2" in first and "note_id 1 is not in 0..0" in got["b", f"summary {json.dumps(args)}"]
+    assert got["c", f"summary {json.dumps(args)}"] == "tool error (summary): no answer"
+    assert agent.call([], "summary", {"note_ids": ["x"]}, silent).startswith("tool error (summary)")
+
+
+def test_the_query_of_all_tools_has_the_summary(spark):
+    from annalist.queries import QUERIES
+
+    tools = {}
+    for r in QUERIES["udf_07"](spark, "/root/testdata/sf0.001").collect():
+        tools.setdefault(r["subject_id"], {})[r["tool"].split(" ")[0]] = r["output"]
+    assert len(tools) == 20 and all(set(t) == {"meta", "search", "note", "summary", "other"} for t in tools.values())
